@@ -24,6 +24,8 @@ def configure(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.session.timeZone", "UTC")
     conf.set("spark.sql.caseSensitive", "true")
     conf.set("spark.sql.adaptive.enabled", "true")
+    # Read and write CSV in any charset Java knows, Shift_JIS among them.
+    conf.set("spark.sql.legacy.javaCharsets", "true")
     if conf.get("spark.sql.files.minPartitionNum", None) is None:
         conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
     return spark

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.text import cell_text
 from ..plans.apply import table_cells
-from ..plans.cells import Cell, Stages, batch_json, json_string
+from ..plans.cells import Cell, Stages, batch_json, column, json_string
 from ..plans.plan import Plan, build_plan
 
 # NULL is written as nothing, the empty string as "". Quotes stand around cells
@@ -26,11 +28,21 @@ CSV_OPTIONS = {
 }
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write text columns as CSV files, each with a header. A table without
-    columns becomes blank lines: one for the header, one per row."""
+def text_columns(df: DataFrame) -> DataFrame:
+    """Every column as text; nested ones as JSON."""
+    nested = (T.StructType, T.MapType, T.ArrayType, T.VariantType)
+    shown = [
+        F.to_json(column(f.name)) if isinstance(f.dataType, nested) else cell_text(column(f.name), f.dataType)
+        for f in df.schema.fields
+    ]
+    return df.select(*(text.alias(name) for text, name in zip(shown, df.columns, strict=True)))
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", encoding: str = "UTF-8") -> None:
+    """Write a table as CSV files, each with a header. A table without columns
+    becomes blank lines: one for the header, one per row."""
     if df.columns:
-        df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+        text_columns(df).write.mode(mode).options(**CSV_OPTIONS, encoding=encoding).csv(path)
     else:
         header = df.sparkSession.range(1).select(F.lit("").alias("value"))
         header.unionByName(df.select(F.lit("").alias("value"))).write.mode(mode).text(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,15 @@ def format_of_path(path: str, allow_json: bool = True) -> str:
 _MAX_SINGLE_LOOKS = 200
 
 
+# A folder named like a file, as Spark writes them, gives its parts its extension.
+_EXTENSION = re.compile(r"(\.(?:csv|jsonl|json))/[^/]+$|(\.[^./]*)$", re.I)
+
+
+def _extension(path: str) -> str:
+    match = _EXTENSION.search(path)
+    return (match[1] or match[2]).lower() if match else ""
+
+
 def detect_formats(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, format, error) per file.
 
@@ -33,21 +43,27 @@ def detect_formats(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    marked = files.withColumn("extension", extension).join(_first_marks(spark, path), "path", "left")
+    folder = F.lower(F.regexp_extract("path", r"(?i)(\.(?:csv|jsonl|json))/[^/]+$", 1))
+    named = files.withColumn("extension", F.when(folder != "", folder).otherwise(extension))
+    documents = [name for name in files.inputFiles() if _extension(name) == ".json"]
+    marked = named.join(_first_marks(spark, documents), "path", "left")
     return marked.select("path", _format().alias("format"), _error().alias("error"))
 
 
-def _first_marks(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    lines = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]").text(path)
-    text = F.regexp_replace("value", "^\ufeff", "")
-    marks = lines.where(~text.rlike(r"^\s*$")).select(
-        F.col("_metadata.file_path").alias("path"), F.substring(F.ltrim(text), 1, 1).alias("mark"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("step"),
-    )
-    names = lines.inputFiles()
+def _first_marks(spark: SparkSession, names: list[str]) -> DataFrame:
+    if not names:
+        return spark.createDataFrame([], "path string, mark string")
+
+    def marks(source: str | list[str]) -> DataFrame:
+        text = F.regexp_replace("value", "^\ufeff", "")
+        return spark.read.text(source).where(~text.rlike(r"^\s*$")).select(
+            F.col("_metadata.file_path").alias("path"), F.substring(F.ltrim(text), 1, 1).alias("mark"),
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("step"),
+        )
+
     if len(names) > _MAX_SINGLE_LOOKS:
-        return marks.groupBy("path").agg(F.min_by("mark", F.struct("block", "step")).alias("mark"))
-    looks = [row for name in names for row in marks.where(F.col("path") == name).select("path", "mark").take(1)]
+        return marks(names).groupBy("path").agg(F.min_by("mark", F.struct("block", "step")).alias("mark"))
+    looks = [row for name in names for row in marks(name).select("path", "mark").take(1)]
     return spark.createDataFrame(looks, "path string, mark string")
 
 
