@@ -149,59 +149,77 @@ def exact_members(line: Column, whole_only: bool = False) -> Column:
     return reader(line)
 
 
-def raw_member(line: Column, key: Column) -> Column:
-    """Raw text of the member named by a second column; NULL for a NULL line."""
+class _Object(list):
+    """(key, value) pairs of a JSON object, to tell it from an array."""
 
-    @F.arrow_udf(T.StringType())
-    def reader(lines: pa.Array, keys: pa.Array) -> pa.Array:
-        pairs = zip(lines.to_pylist(), keys.to_pylist(), strict=True)
-        return pa.array([None if line is None else read_cells(line, (key,))[0]["raw"] for line, key in pairs], pa.string())
 
-    return reader(line, key)
+class _Number(str):
+    """A number as it is written."""
 
 
-class _Object(list):
-    """(key, value) pairs of a JSON object, to tell it from an array."""
+_decode = json.JSONDecoder(object_pairs_hook=_Object, parse_int=_Number, parse_float=_Number).raw_decode
 
 
-_pairs_decoder = json.JSONDecoder(object_pairs_hook=_Object, parse_int=len, parse_float=len)
+def _leaf(value: object, scalar_name: str) -> list[tuple[str, object]]:
+    return value if isinstance(value, _Object) else [(scalar_name, value)]
 
 
-def leaves(value: object, path: Sequence[tuple[str, str]], scalar_name: str) -> Iterator[list[str]]:
-    """Column names of every leaf row below a value, in document order."""
+def leaves(value: object, path: Sequence[tuple[str, str]], scalar_name: str) -> Iterator[list[tuple[str, object]]]:
+    """(column, value) pairs of every leaf row below a value, in document order."""
+    is_array = isinstance(value, list) and not isinstance(value, _Object)
     if not path:
-        if isinstance(value, _Object):
-            yield [key for key, _ in value]
-        elif isinstance(value, list):
-            for element in value:
-                yield [key for key, _ in element] if isinstance(element, _Object) else ["value"]
-        else:
-            yield [scalar_name]
+        yield from (_leaf(element, "value") for element in value) if is_array else (_leaf(value, scalar_name),)
         return
     (segment_kind, name), *rest = path
-    if segment_kind == "key":
-        if isinstance(value, _Object):
-            inner = next((inner for key, inner in value if key == name), _Object())
-            yield from leaves(inner, rest, scalar_name) if any(key == name for key, _ in value) else ()
-    elif isinstance(value, list) and not isinstance(value, _Object):
+    if segment_kind == "key" and isinstance(value, _Object):
+        for inner in [inner for key, inner in value if key == name][:1]:
+            yield from leaves(inner, rest, scalar_name)
+    elif segment_kind == "index" and is_array:
         for element in value if rest else [value]:
             yield from leaves(element, rest, scalar_name)
 
 
-def ordered_leaf_keys(line: str, path: Sequence[tuple[str, str]], scalar_name: str) -> list[str]:
+def leaf_cells(line: str, path: Sequence[tuple[str, str]], scalar_name: str) -> list[tuple[str, object]]:
     try:
-        value, _ = _pairs_decoder.raw_decode(line, _SPACE.match(line, 0).end())
+        value, _ = _decode(line, _SPACE.match(line, 0).end())
     except (ValueError, RecursionError):
         return []
-    return list(dict.fromkeys(key for names in leaves(value, path, scalar_name) for key in names))
+    return [cell for row in leaves(value, path, scalar_name) for cell in row]
 
 
 def leaf_key_order(line: Column, path: Sequence, scalar_name: str = "value") -> Column:
-    """array<string>: column names of the line's leaf rows in first-seen order."""
+    """array<string>: columns of the line's leaf rows in first-seen order."""
     steps = [(segment.kind, segment.name) for segment in path]
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def reader(lines: pa.Array) -> pa.Array:
-        return pa.array([None if line is None else ordered_leaf_keys(line, steps, scalar_name) for line in lines.to_pylist()], pa.list_(pa.string()))
+        keys = [None if line is None else list(dict(leaf_cells(line, steps, scalar_name))) for line in lines.to_pylist()]
+        return pa.array(keys, pa.list_(pa.string()))
 
     return reader(line)
+
+
+def _point_bits(cells: list[tuple[str, object]]) -> dict[str, int]:
+    found: dict[str, int] = {}
+    for key, value in cells:
+        if isinstance(value, _Number) and not (value.lstrip("-").isdigit() and -(2**63) <= int(value) < 2**63):
+            found[key] = found.get(key, 0) | (1 if "." in value else 2)
+    return found
+
+
+# Lines that may hold a number with an exponent, or one of 19 digits and more.
+UNUSUAL_NUMBER = r"[:,\[]\s*-?(?:\d+(?:\.\d+)?[eE]|[\d.]{19})"
+
+
+def point_bits(line: Column, path: Sequence = (), scalar_name: str = "value") -> Column:
+    """map<string,int>: for numbers of the leaf rows that are no 64-bit integers,
+    1 if one is written with a decimal point, 2 if one is without, 3 for both.
+    NULL for lines without unusual numbers."""
+    steps = [(segment.kind, segment.name) for segment in path]
+
+    @F.arrow_udf(T.MapType(T.StringType(), T.IntegerType()))
+    def reader(lines: pa.Array) -> pa.Array:
+        bits = [None if line is None else list(_point_bits(leaf_cells(line, steps, scalar_name)).items()) for line in lines.to_pylist()]
+        return pa.array(bits, pa.map_(pa.string(), pa.int32()))
+
+    return reader(F.when(line.rlike(UNUSUAL_NUMBER), line))

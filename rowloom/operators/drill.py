@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json_cells as J
-from ..functions.json_exact import leaf_key_order
+from ..functions.json_exact import leaf_key_order, point_bits
 from ..functions.types import ColumnType
 from ..plans.apply import apply_recipe
 from ..plans.cells import Cell, DisplayCell, Stages, column
@@ -17,7 +17,7 @@ from ..plans.plan import VIEW
 from ..recipes.actions import Action
 from ..recipes.recipe import Recipe
 from ..sources.jsonl import LINE, drop_blank, in_first_seen_order
-from .profile import ColumnInfo, _typed_entries, drill_schema, entry_summary
+from .profile import ColumnInfo, entry_of, line_mark, drill_schema, entry_summary, typed_entries
 
 LINEAGE = "#"
 
@@ -107,20 +107,16 @@ def leaf_summary(records: DataFrame, path: Sequence[Segment], order: Column | No
     plain values only name their column, which stays text."""
     place = F.monotonically_increasing_id() if order is None else order.cast("bigint")
     columns = [c for c in (LINE, "record") if c in records.columns]
-    placed = records.select(*columns, place.alias("place"))
-    leaf_frame = leaf_rows(placed, path, "place", on_error, keep=["place"])
+    points = point_bits(F.col(LINE), path, scalar_column(path)) if LINE in columns else F.lit(None).cast("map<string,int>")
+    placed = records.select(*columns, place.alias("place")).withColumn("points", points)
+    rows = leaf_rows(placed, path, "place", on_error, keep=["place", "points"])
     pairs = F.map_entries(F.try_variant_get("leaf", "$", "map<string,variant>"))
-    nothing = F.lit(None).cast("string")
-    mark = F.struct(nothing.alias("key"), F.try_parse_json(F.lit("null")).alias("value"))
-    own = F.array(F.struct(F.col("holder").alias("key"), F.try_parse_json(F.lit('""')).alias("value")))
+    own = F.array(entry_of(F.col("holder"), F.try_parse_json(F.lit('""')), F.lit(False)))
     members = F.coalesce(
         F.when(F.col("holder").isNotNull(), own),
-        F.transform(pairs, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))),
+        F.transform(pairs, lambda e: entry_of(e["key"], e["value"], F.lit(False))),
     )
-    entries = leaf_frame.select("place", "leaf", F.explode(F.concat(F.array(mark), members)).alias("e")).select(
-        "place", F.to_json("leaf").alias(LINE), "e.key", "e.value", nothing.alias("raw"), F.lit(False).alias("again")
-    )
-    return entry_summary(_typed_entries(entries))
+    return entry_summary(typed_entries(rows.select("place", "points", F.explode(F.concat(F.array(line_mark()), members)).alias("e"))))
 
 
 def infer_leaves(records: DataFrame, path: Sequence[Segment], order: Column | None = None, on_error: str = "skip") -> list[ColumnInfo]:

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import json_cells as J
-from ..functions.json_exact import exact_members, raw_member
+from ..functions.json_exact import exact_members, point_bits
 from ..functions.parsing import is_blank, parse_timestamp, text_type_code
 from ..functions.types import ColumnType, label_of, merge_types, merged_type_name, type_bit
 from ..plans.cells import column
@@ -101,45 +102,53 @@ def infer_csv(df: DataFrame, rows: int | None = None, order: Column | None = Non
 # ------------------------------------------------------------------------ JSON
 
 def json_entries(lines: DataFrame, order: Column | None = None) -> DataFrame:
-    """(place, key, bit, empty) per member of every JSON object line, and one row
-    with a NULL key per such line to count them by."""
+    """(place, name, bits, empty, again) per member of every JSON object line, and
+    one row with a NULL name per such line to count them by."""
     place = F.monotonically_increasing_id() if order is None else order.cast("bigint")
     line, record = F.col(LINE), F.col("record")
     parsed = drop_blank(lines.select(place.alias("place"), LINE)).withColumn("record", F.try_parse_json(LINE))
     # The parser refuses repeated keys; such lines are read member by member.
     refused = F.when(record.isNull() & J.is_object_line(line), line)
-    read = parsed.withColumn("members", exact_members(refused))
+    read = parsed.withColumn("members", exact_members(refused)).withColumn("points", point_bits(line))
     pairs = F.map_entries(F.try_variant_get(F.when(J.is_object_line(line), record), "$", "map<string,variant>"))
-    nothing = F.lit(None)
     entries = F.coalesce(
-        F.transform(pairs, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), nothing.cast("string").alias("raw"), F.lit(False).alias("again"))),
-        F.transform(F.col("members"), lambda m: F.struct(m["key"].alias("key"), F.try_parse_json(m["raw"]).alias("value"), m["raw"].alias("raw"), m["again"].alias("again"))),
+        F.transform(pairs, lambda e: entry_of(e["key"], e["value"], F.lit(False))),
+        F.transform(F.col("members"), lambda m: entry_of(m["key"], F.try_parse_json(m["raw"]), m["again"])),
     )
-    mark = F.array(F.struct(nothing.cast("string").alias("key"), F.try_parse_json(F.lit("null")).alias("value"), nothing.cast("string").alias("raw"), F.lit(False).alias("again")))
-    one = read.select("place", line, F.explode(F.concat(mark, entries)).alias("e")).select("place", line, "e.*")
-    return _typed_entries(one)
-
-
-def _typed_entries(one: DataFrame) -> DataFrame:
-    """Type the values. Only doubles and huge decimals need their source text:
-    with a decimal point they are floats, without one they are text."""
-    named = one.withColumn("schema", F.schema_of_variant("value"))
-    type_name = F.regexp_extract("schema", "^[A-Z]+", 0)
-    typed = named.withColumn("kind", type_name)
-    unclear = (F.col("kind") == "DOUBLE") | ((F.col("kind") == "DECIMAL") & F.col("schema").rlike(r",0\)$"))
-    raw = F.coalesce(F.col("raw"), raw_member(F.when(unclear, F.col(LINE)), F.col("key")))
-    text = F.when(F.col("kind") == "STRING", F.try_variant_get("value", "$", "string"))
-    with_raw = typed.select("place", "key", "kind", "again", text.alias("text"), raw.alias("raw"), unclear.alias("unclear"))
-    number = F.when(~F.col("unclear") | F.contains("raw", F.lit(".")), F.col("kind"))
-    kind = F.when(F.col("kind").isin("DOUBLE", "DECIMAL"), F.coalesce(number, F.lit("TEXT"))).otherwise(F.col("kind"))
-    code = J.json_type_code(kind, parse_timestamp(F.col("text")).isNotNull())
-    return with_raw.select("place", "key", "again", code.alias("code"), (F.col("kind") == "VOID").alias("empty"))
+    return typed_entries(read.select("place", "points", F.explode(F.concat(F.array(line_mark()), entries)).alias("e")))
+
+
+def entry_of(name: Column, value: Column, again: Column) -> Column:
+    return F.struct(name.alias("name"), value.alias("value"), again.alias("again"))
+
+
+def line_mark() -> Column:
+    return entry_of(F.lit(None).cast("string"), F.try_parse_json(F.lit("null")), F.lit(False))
+
+
+def typed_entries(exploded: DataFrame) -> DataFrame:
+    """Type the values. Numbers with a decimal point are floats, others beyond 64
+    bits are text; a variant only leaves that open for doubles and for decimals
+    of 19 and more digits, which ``points`` (see ``point_bits``) settles."""
+    members = exploded.select("place", "points", "e.*")
+    schemas = members.withColumn("schema", F.schema_of_variant("value"))
+    named = schemas.select(
+        "place", "name", "again", F.regexp_extract("schema", "^[A-Z]+", 0).alias("kind"),
+        F.when(F.col("schema") == "STRING", F.try_variant_get("value", "$", "string")).alias("text"),
+        F.when(F.col("schema").rlike(r"^(?:DOUBLE|DECIMAL\((?:19|[23]\d),0\))$"), F.try_element_at("points", "name")).alias("points"),
+        F.col("schema").rlike(r"^DECIMAL\((?:19|[23]\d),0\)$").alias("huge"),
+    )
+    code = J.json_type_code(F.col("kind"), parse_timestamp(F.col("text")).isNotNull())
+    float_bit, text_bit = (F.lit(1 << kind.code) for kind in (ColumnType.FLOAT, ColumnType.TEXT))
+    pointed = F.when(F.col("points") == 1, float_bit).when(F.col("points") == 2, text_bit).when(F.col("points") == 3, float_bit.bitwiseOR(text_bit))
+    bits = F.coalesce(pointed, F.when(F.col("huge"), text_bit), type_bit(code))
+    return named.select("place", "name", "again", bits.alias("bits"), (F.col("kind") == "VOID").alias("empty"))
 
 
 def entry_summary(entries: DataFrame) -> DataFrame:
     """Summary rows of members; the row without a name counts the lines."""
-    grouped = entries.groupBy(F.col("key").alias("name")).agg(
-        F.bit_or(type_bit(F.col("code"))).alias("mask"),
+    grouped = entries.groupBy("name").agg(
+        F.bit_or("bits").alias("mask"),
         F.count(F.when(~F.col("empty") & ~F.col("again"), 1)).alias("filled"),
         F.count(F.lit(1)).alias("rows"),
         F.min("place").alias("first"),
@@ -153,9 +162,11 @@ def json_summary(lines: DataFrame, order: Column | None = None) -> DataFrame:
 
 
 def _with_total(summary: DataFrame) -> DataFrame:
-    """Put the line count next to every column (one small row, broadcast)."""
-    total = summary.where("name is null").select(F.col("rows").alias("total"))
-    return summary.where("name is not null").join(F.broadcast(total))
+    """Put the line count next to every column. A summary has one row per column
+    of the table, so one window over it stays small."""
+    everything = Window.partitionBy(F.lit(0))
+    total = F.max(F.when(F.col("name").isNull(), F.col("rows"))).over(everything)
+    return summary.withColumn("total", total).where("name is not null")
 
 
 def json_schema(summary: DataFrame) -> DataFrame:

@@ -39,9 +39,10 @@ def detect_formats(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, format, error) per file.
 
     The extension decides; for ``.json`` the first non-blank character after a
-    byte order mark. Of other files only names and sizes are read.
+    byte order mark. Of other files only the names are read. Empty files hold no
+    records and are not listed, as in any file scan.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    files = spark.read.format("binaryFile").load(path).select("path")
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     folder = F.lower(F.regexp_extract("path", r"(?i)(\.(?:csv|jsonl|json))/[^/]+$", 1))
     named = files.withColumn("extension", F.when(folder != "", folder).otherwise(extension))
@@ -69,20 +70,18 @@ def _first_marks(spark: SparkSession, names: list[str]) -> DataFrame:
 
 def _format() -> Column:
     extension, mark = F.col("extension"), F.col("mark")
-    return F.when(
-        F.col("length") > 0,
+    return (
         F.when(extension == ".csv", "csv")
         .when(extension == ".jsonl", "jsonl")
         .when((extension == ".json") & (mark == "["), "json_array")
-        .when((extension == ".json") & (mark == "{"), "json_object"),
+        .when((extension == ".json") & (mark == "{"), "json_object")
     )
 
 
 def _error() -> Column:
     extension, mark = F.col("extension"), F.col("mark")
     return (
-        F.when(F.col("length") == 0, "File is empty")
-        .when(extension.isin(".csv", ".jsonl") | mark.isin("[", "{"), F.lit(None).cast("string"))
+        F.when(extension.isin(".csv", ".jsonl") | mark.isin("[", "{"), F.lit(None).cast("string"))
         .when(extension != ".json", F.concat(F.lit("Unsupported file format: "), extension))
         .when(mark.isNull(), "File contains no valid JSON root token")
         .otherwise(F.concat(F.lit("Unrecognized JSON root token: '"), mark, F.lit("'")))
