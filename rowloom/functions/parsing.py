@@ -82,7 +82,10 @@ _ISO = (
     r"^\s*(?!0000)\d{4}-\d{1,2}-\d{1,2}"
     r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?\s*$"
 )
-_OTHER_START = r"(?i)^\s*(?:\d{1,4}[-/.:\s]|(?:mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[,\s])"
+# Month first, digits only: common enough to be read in one step.
+_SLASHED = r"^\s*(\d{1,2})[-/](\d{1,2})[-/](\d{4})(?:\s+(\d{1,2}:\d{2})(?:(:\d{2}(?:\.\d{1,9})?))?)?\s*$"
+_NAMES = "mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+_OTHER_START = rf"(?i)^\s*(?:\d{{1,4}}[-/.]\d{{1,2}}(?:[-/.\s]|$)|\d{{1,2}}:\d|\d{{1,2}}[\s-]+(?:{_NAMES})|(?:{_NAMES})[a-z]*[,\s])"
 _DAY_NAME = r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+"
 _MONTH_NAME = (
     r"\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
@@ -123,7 +126,12 @@ def parse_timestamp(text: Column) -> Column:
     """Timestamp or NULL, read the invariant-culture way (month before day)."""
     seconds_added = F.regexp_replace(trimmed(text), r"^(\S+[T ]\d{1,2}:\d{2})( ?(?:Z|[+-]))", "$1:00$2")
     other = F.when(text.rlike(_OTHER_START) & (F.length(text) <= 80), _other_timestamp(text))
-    return F.when(text.rlike(_ISO), seconds_added.try_cast("timestamp")).otherwise(other)
+    slashed = F.regexp_replace(text, _SLASHED, "$3-$1-$2 $4$5")
+    return (
+        F.when(text.rlike(_ISO), seconds_added.try_cast("timestamp"))
+        .when(text.rlike(_SLASHED), slashed.try_cast("timestamp"))
+        .otherwise(other)
+    )
 
 
 def _other_timestamp(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.folding import fold, folded
 from ..functions.parsing import literal_float, literal_is_whole, parse_float, parse_timestamp, parse_whole
 from ..functions.text import cell_text
 from ..functions.types import ColumnType
@@ -25,26 +26,36 @@ _COMPARE = {
     Operator.GREATER_OR_EQUAL: op.ge,
     Operator.LESS_OR_EQUAL: op.le,
 }
+_PLAIN = {
+    Operator.EQUALS: op.eq,
+    Operator.NOT_EQUALS: op.eq,
+    Operator.CONTAINS: F.contains,
+    Operator.NOT_CONTAINS: F.contains,
+    Operator.STARTS_WITH: F.startswith,
+    Operator.ENDS_WITH: F.endswith,
+}
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONS = (T.FloatType, T.DoubleType)
 
 
 def text_test(text: Column, operator: Operator, value: str) -> Column:
-    """Case-insensitive, code point by code point, no locale rules."""
-    if value.lower() != value.upper():
-        text = F.collate(text, "UTF8_LCASE")
-    wanted = F.lit(value)
-    if operator is Operator.EQUALS:
-        return text == wanted
-    if operator is Operator.NOT_EQUALS:
-        return text != wanted
-    if operator is Operator.CONTAINS:
-        return F.contains(text, wanted)
-    if operator is Operator.NOT_CONTAINS:
-        return ~F.contains(text, wanted)
-    if operator is Operator.STARTS_WITH:
-        return F.startswith(text, wanted)
-    return F.endswith(text, wanted)
+    """Case-insensitive, character by character, no locale rules. Only as much
+    of a text as the value can match is looked at; a value without letters is
+    compared as it is, which the file readers understand."""
+    negated = operator in (Operator.NOT_EQUALS, Operator.NOT_CONTAINS)
+    if value.lower() == value.upper():
+        found = _PLAIN[operator](text, F.lit(value))
+    else:
+        size = len(value)
+        part = {
+            Operator.EQUALS: F.left(text, F.lit(size + 1)),
+            Operator.NOT_EQUALS: F.left(text, F.lit(size + 1)),
+            Operator.STARTS_WITH: F.left(text, F.lit(size)),
+            Operator.ENDS_WITH: F.right(text, F.lit(size)),
+        }.get(operator, text)
+        compare = F.contains if operator in (Operator.CONTAINS, Operator.NOT_CONTAINS) else op.eq
+        found = compare(folded(part, value), F.lit(fold(value)))
+    return ~found if negated else found
 
 
 def whole_test(text: Column, operator: Operator, value: str) -> Column:

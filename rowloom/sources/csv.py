@@ -38,7 +38,7 @@ def has_quoted_breaks(spark: SparkSession, path: str | list[str]) -> bool:
     """Does any line leave a quote open? One pass, stopping at the first such line."""
     line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    return not spark.read.text(path).where(F.contains(line, F.lit('"')) & (quotes % 2 == 1)).isEmpty()
 
 
 def read_csv(

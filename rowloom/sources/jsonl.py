@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,9 +166,7 @@ def with_cells(lines: DataFrame, keys: Iterable[str], exact: bool = True, prefix
         return first.select(*base, *(F.coalesce(F.col(f"__p{i}"), broken).alias(f"{prefix}_{i}") for i in range(len(keys))))
     if not keys:
         return first.select(*base)
-    some_open = F.lit(False)
-    for i in range(len(keys)):
-        some_open = some_open | F.col(f"__p{i}").isNull()
+    some_open = reduce(lambda a, b: a | b, (F.col(f"__p{i}").isNull() for i in range(len(keys))))
     read = first.select("*", exact_cells(F.when(some_open, line), keys).alias("__exact"))
     return read.select(
         *base, *(F.coalesce(F.col(f"__p{i}"), F.col("__exact")[i]).alias(f"{prefix}_{i}") for i in range(len(keys)))
@@ -204,30 +203,52 @@ def _plain_cell(value: Column, type_name: Column, line: Column, exact: bool) ->
     )
 
 
-def shown_text(cell: Column, stages: Stages) -> Column:
+def with_shown(lines: DataFrame, keys: Iterable[str], exact: bool = True, prefix: str = "shown") -> DataFrame:
+    """Add the view text of each key as ``<prefix>_0``, ``<prefix>_1``, ...
+
+    Nearly all of it comes from the variant. Only lines it refuses, and strings in
+    lines with escapes (which a view shows unescaped), need the exact reader.
+    """
+    keys = list(keys)
+    line, record = F.col(LINE), F.col("record")
+    parsed = lines if "record" in lines.columns else lines.withColumn("record", F.try_parse_json(LINE))
+    base = parsed.columns
+    count = range(len(keys))
+    values = parsed.select("*", *(J.member(record, key).alias(f"__v{i}") for i, key in enumerate(keys)))
+    typed = values.select("*", *(J.variant_type(F.col(f"__v{i}")).alias(f"__k{i}") for i in count))
+    numbers = typed.select(
+        "*", *(F.when(F.col(f"__k{i}").isin("DECIMAL", "DOUBLE"), J.as_double(F.col(f"__v{i}"))).alias(f"__n{i}") for i in count)
+    )
+    readable = record.isNotNull() & J.is_object_line(line)
+    escaped = F.contains(line, F.lit("\\"))
+    shown = []
+    for i in count:
+        plain = readable & ~(escaped & (F.coalesce(F.col(f"__k{i}"), F.lit("")) == "STRING")) if exact else readable
+        shown.append(F.when(plain, J.display(F.col(f"__v{i}"), F.col(f"__k{i}"), F.col(f"__n{i}"))).alias(f"__s{i}"))
+    first = numbers.select(*base, *shown)
+    if not exact:
+        return first.select(*base, *(F.coalesce(f"__s{i}", F.lit(ERROR_TEXT)).alias(f"{prefix}_{i}") for i in count))
+    some_open = reduce(lambda a, b: a | b, (F.col(f"__s{i}").isNull() for i in count), F.lit(False))
+    read = first.select("*", exact_cells(F.when(some_open, line), keys).alias("__exact"))
+    stages = Stages()
+    late = [_shown_cell(F.col("__exact")[i], stages) for i in count]
+    return stages.before(read).select(
+        *base, *(F.coalesce(F.col(f"__s{i}"), text).alias(f"{prefix}_{i}") for i, text in enumerate(late))
+    )
+
+
+def _shown_cell(cell: Column, stages: Stages) -> Column:
     """View text of a CELL: sentinels, normalised numbers, previews of nested values."""
+    cell = stages.keep(cell)
     kind, raw = cell["kind"], cell["raw"]
-    whole = raw.try_cast("bigint")
-    nested = stages.keep(F.when(kind.isin("object", "array"), F.try_parse_json(raw)))
-    number = stages.keep(F.when(kind == "number", raw.try_cast("double")))
+    nested = stages.keep(F.when(kind.isin("object", "array"), F.try_parse_json(raw)), step=1)
+    number = stages.keep(F.when(kind == "number", raw.try_cast("double")), step=1)
     return (
         F.when(kind == "string", raw)
-        .when(kind == "number", F.coalesce(whole.cast("string"), double_text(number), F.lit(ERROR_TEXT)))
+        .when(kind == "number", F.coalesce(raw.try_cast("bigint").cast("string"), double_text(number), F.lit(ERROR_TEXT)))
         .when(kind == "boolean", F.initcap(raw))
         .when(kind == "object", F.coalesce(object_preview(J.property_count(nested)), F.lit(ERROR_TEXT)))
         .when(kind == "array", F.coalesce(array_preview(J.element_count(nested)), F.lit(ERROR_TEXT)))
         .when(kind == "invalid", ERROR_TEXT)
         .otherwise(NULL_TEXT)
     )
-
-
-def with_shown(lines: DataFrame, keys: Iterable[str], exact: bool = True, prefix: str = "shown") -> DataFrame:
-    """Add the view text of each key as ``<prefix>_0``, ``<prefix>_1``, ..."""
-    keys = list(keys)
-    base = lines.columns
-    cells = with_cells(lines, keys, exact, prefix="__cell")
-    stages = Stages()
-    shown = [shown_text(F.col(f"__cell_{i}"), stages).alias(f"{prefix}_{i}") for i in range(len(keys))]
-    return stages.before(cells).select(*base, *shown)
-
-
