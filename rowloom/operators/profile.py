@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +20,7 @@ from ..functions.json_exact import exact_members, point_bits
 from ..functions.parsing import is_blank, parse_timestamp, text_type_code
 from ..functions.types import ColumnType, label_of, merge_types, merged_type_name, type_bit
 from ..plans.cells import column
+from ..sources.csv import check_first_row, header_names, read_csv
 from ..sources.jsonl import LINE, drop_blank, in_first_seen_order
 
 INITIAL_ROWS = 200
@@ -99,6 +100,13 @@ def infer_csv(df: DataFrame, rows: int | None = None, order: Column | None = Non
     return out
 
 
+def infer_csv_file(spark: SparkSession, path: str | list[str], rows: int | None = None, quoted_breaks: bool | None = None) -> list[ColumnInfo]:
+    """Schema of CSV files: ragged rows are skipped, a ragged first row is an error."""
+    names = header_names(spark, path)
+    check_first_row(spark, path, names)
+    return infer_csv(read_csv(spark, path, names, quoted_breaks, on_ragged="skip"), rows)
+
+
 # ------------------------------------------------------------------------ JSON
 
 def json_entries(lines: DataFrame, order: Column | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,13 +26,36 @@ def configure(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.session.timeZone", "UTC")
     conf.set("spark.sql.caseSensitive", "true")
     conf.set("spark.sql.adaptive.enabled", "true")
+    # Java never compiles methods above 8000 bytes; run such stages operator by
+    # operator, in methods it does compile.
+    conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     # Read and write CSV in any charset Java knows, Shift_JIS among them.
     conf.set("spark.sql.legacy.javaCharsets", "true")
     if conf.get("spark.sql.files.minPartitionNum", None) is None:
         conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
+    _ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="rowloom-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
+        for source in sorted(package.rglob("*.py")):
+            target.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def session(app_name: str = "rowloom", master: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:

@@ -75,6 +75,19 @@ def read_csv(
     return _named(_ragged(rows, on_ragged), names)
 
 
+def check_first_row(spark: SparkSession, path: str | list[str], names: Sequence[str], encoding: str = "UTF-8") -> None:
+    """Schema inference starts from the first data row, which must be as wide as
+    the header; ragged rows further down are left out of it."""
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    schema = T.StructType([*fields, T.StructField(_WHOLE_ROW, T.StringType())])
+    options = {**_OPTIONS, "header": "true", "encoding": encoding, "multiLine": "false", "columnNameOfCorruptRecord": _WHOLE_ROW}
+    first = spark.read.options(**options).schema(schema).csv(path).first()
+    whole = first and first[_WHOLE_ROW]
+    # A row cut short inside quotes is not ragged, it goes on in the next line.
+    if whole is not None and whole.count('"') % 2 == 0:
+        raise ValueError(f"First row has another width than the header of {len(names)} columns: {whole}")
+
+
 def _ragged(rows: DataFrame, on_ragged: str) -> DataFrame:
     if on_ragged == "pad":
         return rows

@@ -85,12 +85,14 @@ def _joined(values: pa.Array, separator: str) -> np.ndarray:
 def _by_split(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Batches cut where a new file split begins."""
     for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if batch.num_rows else []
-        start = 0
-        for end in range(1, len(keys) + 1):
-            if end == len(keys) or keys[end] != keys[start]:
-                yield keys[start], batch.slice(start, end - start)
-                start = end
+        if not batch.num_rows:
+            continue
+        files, blocks = (batch.column(c).dictionary_encode().indices.to_numpy() for c in (0, 1))
+        changes = np.flatnonzero((np.diff(files) != 0) | (np.diff(blocks) != 0)) + 1
+        edges = [0, *changes.tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:], strict=False):
+            part = batch.slice(start, end - start)
+            yield (part.column(0)[0].as_py(), part.column(1)[0].as_py()), part
 
 
 _SUMMARY = f"{FILE} string, {BLOCK} bigint, flips int, moves array<bigint>, marks array<map<bigint,bigint>>"
@@ -142,6 +144,18 @@ _PIECE = f"{FILE} string, {BLOCK} bigint, number bigint, text string, closed boo
 _ARROW_PIECE = pa.schema([(FILE, pa.string()), (BLOCK, pa.int64()), ("number", pa.int64()), ("text", pa.string()), ("closed", pa.bool_())])
 
 
+def _as_text(values: pa.Array) -> pa.Array:
+    return pc.cast(values, options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
+
+
+def _between(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The texts between neighbouring cuts, taken from the buffer in one go: first
+    with the mark that ends them, which is one byte, then without."""
+    offsets = pa.py_buffer(np.ascontiguousarray(cuts + 1, np.int64))
+    ended = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(data)])
+    return _as_text(pc.binary_slice(ended, 0, -1))
+
+
 def _cut(grammar: Grammar, separator: str, whole: bool):
     """Cut splits into records: the ``whole`` ones, or the pieces at split ends."""
 
@@ -149,16 +163,19 @@ def _cut(grammar: Grammar, separator: str, whole: bool):
         moves = grammar.moves()
         split, open_piece, inside, depth, number, is_first = None, [], 0, 0, 0, True
 
-        def rows(texts: list[bytes], first_number: int, closed: bool) -> pa.RecordBatch:
+        def rows(texts: pa.Array, first_number: int, closed: bool) -> pa.RecordBatch:
             size = len(texts)
-            columns = [[split[0]] * size, [split[1]] * size, list(range(first_number, first_number + size)),
-                       [t.decode("utf-8", "replace") for t in texts], [closed] * size]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_PIECE, strict=True)], schema=_ARROW_PIECE)
+            numbers = pa.array(np.arange(first_number, first_number + size, dtype=np.int64))
+            constants = [pa.repeat(pa.scalar(value, kind), size) for value, kind in zip((*split, closed), (pa.string(), pa.int64(), pa.bool_()), strict=True)]
+            return pa.RecordBatch.from_arrays([*constants[:2], numbers, texts, constants[2]], schema=_ARROW_PIECE)
+
+        def one(text: bytes) -> pa.Array:
+            return _as_text(pa.array([text], pa.large_binary()))
 
         for key, batch in _by_split(batches):
             if key != split:
                 if split is not None and not whole:
-                    yield rows([b"".join(open_piece)], number, False)
+                    yield rows(one(b"".join(open_piece)), number, False)
                 split, open_piece, is_first = key, [], True
                 inside, depth, number = (batch.column(c)[0].as_py() for c in (3, 4, 5))
             data = _joined(batch.column(2), separator)
@@ -168,23 +185,17 @@ def _cut(grammar: Grammar, separator: str, whole: bool):
             cuts = at[_levels(move) + depth == 1]
             inside ^= flip
             depth += int(move.sum(dtype=np.int64))
-            body = data.tobytes()
             if not cuts.size:
-                open_piece.append(body)
+                open_piece.append(data.tobytes())
                 continue
-            ends = cuts.tolist()
-            texts = [body[a + 1 : b] for a, b in zip(ends, ends[1:], strict=False)]
-            head = b"".join(open_piece) + body[: ends[0]]
-            if whole:
-                # The first piece of a split belongs to a record begun earlier.
-                final = texts if is_first else [head, *texts]
-                if final:
-                    yield rows(final, number + (1 if is_first else 0), True)
-            elif is_first:
-                yield rows([head], number, True)
-            number, open_piece, is_first = number + len(ends), [body[ends[-1] + 1 :]], False
+            # The first piece of a split belongs to a record begun in an earlier one.
+            if whole != is_first:
+                yield rows(one(b"".join(open_piece) + data[: cuts[0]].tobytes()), number, True)
+            if whole and cuts.size > 1:
+                yield rows(_between(data, cuts), number + 1, True)
+            number, open_piece, is_first = number + int(cuts.size), [data[cuts[-1] + 1 :].tobytes()], False
         if split is not None and not whole:
-            yield rows([b"".join(open_piece)], number, False)
+            yield rows(one(b"".join(open_piece)), number, False)
 
     return run
 
@@ -195,7 +206,8 @@ def split_records(spark: SparkSession, path: str | list[str], grammar: Grammar,
     ``separator`` is what the text source is cut at when it is read; any byte that
     turns up often enough and never follows a backslash will do.
     """
-    pieces = spark.read.option("lineSep", separator).text(path).select(
+    paths = [path] if isinstance(path, str) else list(dict.fromkeys(path))
+    pieces = spark.read.option("lineSep", separator).text(paths).select(
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
         "value",

@@ -11,7 +11,7 @@ from ..recipes import Delete, Fill, FormatTimestamp, Rename, where
 from ..sinks.files import json_lines, write_csv, write_json_array, write_json_object, write_jsonl
 from ..sources.csv import header_names, read_csv
 from ..sources.json_documents import read_json_array, read_json_object
-from ..sources.jsonl import JsonLinesCell, key_names, key_union, read_jsonl, read_lines, with_cells
+from ..sources.jsonl import JsonLinesCell, key_names, key_union, read_jsonl, read_jsonl_columns, read_lines, with_cells
 from ..sources.mixed import read_mixed
 from ..sources.scan import page, row_count, row_ranges, with_position
 from .registry import query, table, written
@@ -126,6 +126,21 @@ def jsonl_round_trip(spark, sf):
     return cells_of(lines, key_names(lines))
 
 
+@query(
+    "jsonl_raw_columns",
+    """select printf('%.3f', o_totalprice) as amount, '{ "z": ' || o_custkey || '.0, "a": [ 1e2 ] }' as nested,
+              case when o_orderstatus = 'F' then o_orderpriority end as priority from orders""",
+)
+def jsonl_raw_columns(spark, sf):
+    """Exact member text without Python."""
+    def write(path: str) -> None:
+        text = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit('"'), "o_orderpriority", F.lit('"'))).otherwise("null")
+        line = F.format_string('{"amount": %.3f, "nested": { "z": %d.0, "a": [ 1e2 ] }, "priority":%s}', "o_totalprice", "o_custkey", text)
+        write_jsonl(table(spark, sf, "orders").select(line.alias("value")), path)
+
+    return read_jsonl_columns(spark, written(spark, sf, "orders-raw", write), ["amount", "nested", "priority"])
+
+
 @query("json_keys_union", "select unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props', 'late']) as key")
 def json_keys_union(spark, sf):
     """Keys over all lines, one of them found on few lines only."""

@@ -6,7 +6,7 @@ from rowloom.functions.json_cells import kind, member, presence
 from rowloom.functions.types import ColumnType
 from rowloom.operators.drill import key_path
 from rowloom.operators.profile import (
-    ColumnInfo, csv_schema, csv_summary, describe, infer_csv, infer_json, json_schema, json_summary, merge_schemas, merge_summaries,
+    ColumnInfo, csv_schema, csv_summary, describe, infer_csv, infer_csv_file, infer_json, json_schema, json_summary, merge_schemas, merge_summaries,
 )
 from rowloom.sources.csv import read_csv
 from rowloom.sources.jsonl import read_lines, records
@@ -29,6 +29,12 @@ def test_csv_schema(spark, text_file):
     ]
 
 
+def test_ragged_first_row_is_an_error(spark, text_file):
+    with pytest.raises(ValueError, match="width"):
+        infer_csv_file(spark, text_file("bad.csv", "a,b\n1\n2,3\n"))
+    assert kinds(infer_csv_file(spark, text_file("ok.csv", 'a,b\n"1\n2",2\n2\n'))) == [("a", T.TEXT, False), ("b", T.WHOLE, False)]
+
+
 def test_header_only_csv_is_nullable_text(spark, text_file):
     assert kinds(infer_csv(read_csv(spark, text_file("h.csv", "a,b\n")))) == [("a", T.TEXT, True), ("b", T.TEXT, True)]
 
