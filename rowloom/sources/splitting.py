@@ -57,18 +57,24 @@ def _marks(text: np.ndarray, grammar: Grammar, moves: np.ndarray) -> tuple[np.nd
     """Positions, moves and quote parity of all marks, and the parity at the end."""
     quotes = np.flatnonzero(text == ord('"'))
     if grammar.backslash_escapes and quotes.size:
-        slashes = text == ord("\\")
-        if slashes.any():
-            plain_up_to = np.maximum.accumulate(np.where(slashes, -1, np.arange(text.size)))
-            before = quotes - 1
-            run = np.where(before >= 0, before - plain_up_to[before], 0)
-            quotes = quotes[run % 2 == 0]
+        slashes = np.flatnonzero(text == ord("\\"))
+        if slashes.size:
+            quotes = quotes[_run_before(quotes, slashes) % 2 == 0]
     move = moves[text]
     at = np.flatnonzero(move != _NOT_A_MARK)
     parity = np.searchsorted(quotes, at) & 1
     return at, move[at], parity, int(quotes.size & 1)
 
 
+def _run_before(places: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """How many marked positions stand directly before each place."""
+    order = np.arange(marked.size)
+    run_start = np.maximum.accumulate(np.where(np.diff(marked, prepend=-2) > 1, order, 0))
+    last = np.searchsorted(marked, places) - 1
+    touches = (last >= 0) & (marked[last] == places - 1)
+    return np.where(touches, last - run_start[last] + 1, 0)
+
+
 def _levels(move: np.ndarray) -> np.ndarray:
     """Depth, relative to the start, of the container each mark belongs to."""
     return np.cumsum(move) + (move < 0)

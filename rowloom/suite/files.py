@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.profile import csv_summary
 from ..plans.apply import apply_recipe, project
 from ..plans.run import open_input, run_recipe
 from ..recipes import Delete, Fill, FormatTimestamp, Rename, where
@@ -67,10 +68,21 @@ def csv_round_trip(spark, sf):
     return read_csv(spark, csv_of(spark, sf, "orders"), quoted_breaks=False)
 
 
-@query("csv_header", "select name, row_number() over (order by place) - 1 as place from (values ('doc_id', 0), ('text', 1), ('lang', 2), ('source', 3), ('n_chars', 4)) t(name, place)")
+@query(
+    "csv_header",
+    """select 'doc_id' as name, 0::bigint as place, count(*) as filled from documents
+       union all select 'text', 1, count(*) filter (text <> '') from documents
+       union all select 'lang', 2, count(*) filter (lang <> '') from documents
+       union all select 'source', 3, count(*) filter (source <> '') from documents
+       union all select 'n_chars', 4, count(*) from documents""",
+)
 def csv_header(spark, sf):
-    names = header_names(spark, csv_of(spark, sf, "documents"))
-    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, place bigint")
+    """Columns in header order with their filled cells."""
+    path = csv_of(spark, sf, "documents")
+    names = header_names(spark, path)
+    order = F.create_map(*(part for i, n in enumerate(names) for part in (F.lit(n), F.lit(i).cast("bigint"))))
+    cells = csv_summary(read_csv(spark, path, names))
+    return cells.select("name", order[F.col("name")].alias("place"), "filled")
 
 
 @query("csv_row_count", "select count(*) as total from documents")
@@ -144,7 +156,7 @@ def jsonl_raw_columns(spark, sf):
 @query("json_keys_union", "select unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props', 'late']) as key")
 def json_keys_union(spark, sf):
     """Keys over all lines, one of them found on few lines only."""
-    line = F.to_json(F.struct("event_id", "ts", "user_id", "event_type", "value", "props", F.when(F.col("user_id") % 97 == 5, 1).alias("late")))
+    line = F.to_json(F.struct("event_id", "ts", "user_id", "event_type", "value", "props", F.when((F.col("event_type") == "purchase") & (F.col("value") > 50), 1).alias("late")))
     return key_union(table(spark, sf, "events").select(line.alias("line"))).select("key")
 
 

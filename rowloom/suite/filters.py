@@ -52,18 +52,17 @@ def filter_num_on_text_excludes(spark, sf):
 
 @query(
     "filter_num_text_mixed",
-    """select o_orderkey, case when o_orderkey % 3 = 0 then printf('%.2f', o_totalprice)
-              when o_orderkey % 3 = 1 then cast(cast(floor(o_totalprice) as bigint) as varchar)
-              else 'n/a ' || o_orderpriority end as amount
-       from orders where o_orderkey % 3 <> 2
-        and case when o_orderkey % 3 = 0 then round(o_totalprice, 2) else floor(o_totalprice) end >= 250000""",
+    """select o_orderkey, case o_orderstatus when 'F' then printf('%.2f', o_totalprice)
+              else cast(cast(floor(o_totalprice) as bigint) as varchar) end as amount
+       from orders where o_orderstatus in ('F', 'O')
+        and case o_orderstatus when 'F' then round(o_totalprice, 2) else floor(o_totalprice) end >= 250000""",
 )
 def filter_num_text_mixed(spark, sf):
     """Amounts as text: decimals, integers and words in one column."""
-    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    status, price = F.col("o_orderstatus"), F.col("o_totalprice")
     amount = (
-        F.when(key % 3 == 0, F.format_string("%.2f", price))
-        .when(key % 3 == 1, F.floor(price).cast("string"))
+        F.when(status == "F", F.format_string("%.2f", price))
+        .when(status == "O", F.floor(price).cast("string"))
         .otherwise(F.concat(F.lit("n/a "), "o_orderpriority"))
     )
     frame = table(spark, sf, "orders").select("o_orderkey", amount.alias("amount"))
@@ -137,7 +136,7 @@ def filter_after_rename(spark, sf):
 
 @query(
     "filter_documents_text",
-    "select doc_id, lang, source from documents where contains(lower(text), 'license') or false",
+    "select doc_id, lang, source from documents where contains(lower(text), 'license')",
 )
 def filter_documents_text(spark, sf):
     """Substring search in whole texts of any length."""

@@ -56,20 +56,21 @@ def paragraph_lines(spark, sf) -> DataFrame:
 
 
 def uneven_lines(spark, sf) -> DataFrame:
-    """One key whose value is an object, an array, a text, null, absent or broken."""
-    k = F.col("o_orderkey")
+    """One key whose value is an object, an array, a text, null, absent or broken,
+    by order priority and, for the lowest one, by status."""
+    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     value = (
-        F.when(k % 6 == 0, F.to_json(F.struct(F.col("o_orderstatus").alias("status"))))
-        .when(k % 6 == 1, F.concat(F.lit('[{"status":"'), "o_orderstatus", F.lit('"},5,null]')))
-        .when(k % 6 == 2, json_string(F.col("o_orderpriority")))
-        .when(k % 6 == 3, "null")
+        F.when(priority == "1-URGENT", F.to_json(F.struct(status.alias("status"))))
+        .when(priority == "2-HIGH", F.concat(F.lit('[{"status":"'), status, F.lit('"},5,null]')))
+        .when(priority == "3-MEDIUM", json_string(status))
+        .when(priority == "4-NOT SPECIFIED", "null")
     )
     line = (
-        F.when(k % 6 == 4, '{"other":1}')
-        .when(k % 6 == 5, '{"leaf":{"status":')
-        .otherwise(F.concat(F.lit('{"leaf":'), value, F.lit("}")))
+        F.when(value.isNotNull(), F.concat(F.lit('{"leaf":'), value, F.lit("}")))
+        .when(status == "F", '{"other":1}')
+        .otherwise('{"leaf":{"status":')
     )
-    return table(spark, sf, "orders").select(k.alias("position"), line.alias("line"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("position"), line.alias("line"))
 
 
 # --------------------------------------------------------------- cell functions
@@ -97,8 +98,8 @@ def json_preview(spark, sf):
 
 @query(
     "json_kinds",
-    """select case o_orderkey % 6 when 0 then 'object' when 1 then 'array' when 2 then 'string' when 3 then 'null' end as kind,
-              count(*) as records from orders group by 1""",
+    """select case o_orderpriority when '1-URGENT' then 'object' when '2-HIGH' then 'array' when '3-MEDIUM' then 'string'
+              when '4-NOT SPECIFIED' then 'null' end as kind, count(*) as records from orders group by 1""",
 )
 def json_kinds(spark, sf):
     rows = records(uneven_lines(spark, sf))
@@ -108,8 +109,8 @@ def json_kinds(spark, sf):
 
 @query(
     "json_presence",
-    """select o_orderkey as position, case o_orderkey % 6 when 3 then 'null' when 4 then 'missing' when 5 then 'invalid'
-              else 'value' end as presence from orders""",
+    """select o_orderkey as position, case when o_orderpriority = '4-NOT SPECIFIED' then 'null' when o_orderpriority <> '5-LOW' then 'value'
+              when o_orderstatus = 'F' then 'missing' else 'invalid' end as presence from orders""",
 )
 def json_presence(spark, sf):
     rows = records(uneven_lines(spark, sf))
@@ -186,19 +187,20 @@ def drill_nested_arrays(spark, sf):
 
 @query(
     "drill_mixed_leaf",
-    """select o_orderkey || '' as "#", o_orderstatus as status, '<null>' as value, '<null>' as leaf from orders where o_orderkey % 6 = 0
-       union all select o_orderkey || ':0', o_orderstatus, '<null>', '<null>' from orders where o_orderkey % 6 = 1
-       union all select o_orderkey || ':1', '<null>', '5', '<null>' from orders where o_orderkey % 6 = 1
-       union all select o_orderkey || ':2', '<null>', '<null>', '<null>' from orders where o_orderkey % 6 = 1
-       union all select o_orderkey || '', '<null>', '<null>', o_orderpriority from orders where o_orderkey % 6 = 2
-       union all select o_orderkey || '', '<null>', '<null>', '<null>' from orders where o_orderkey % 6 = 3""",
+    """with u as (select cast(o_orderkey as varchar) as k, o_orderstatus as s, o_orderpriority as p from orders)
+       select k as "#", s as status, '<null>' as value, '<null>' as leaf from u where p = '1-URGENT'
+       union all select k || ':0', s, '<null>', '<null>' from u where p = '2-HIGH'
+       union all select k || ':1', '<null>', '5', '<null>' from u where p = '2-HIGH'
+       union all select k || ':2', '<null>', '<null>', '<null>' from u where p = '2-HIGH'
+       union all select k, '<null>', '<null>', s from u where p = '3-MEDIUM'
+       union all select k, '<null>', '<null>', '<null>' from u where p = '4-NOT SPECIFIED'""",
 )
 def drill_mixed_leaf(spark, sf):
     """Objects, arrays, plain values and nulls under one key, broken lines skipped."""
     return drill(uneven_lines(spark, sf), key_path("leaf"))
 
 
-@query("drill_missing_skipped", """select cast(o_orderkey as varchar) as "#", o_orderstatus as status from orders where o_orderkey % 6 = 0""")
+@query("drill_missing_skipped", """select cast(o_orderkey as varchar) as "#", o_orderstatus as status from orders where o_orderpriority = '1-URGENT'""")
 def drill_missing_skipped(spark, sf):
     return drill(uneven_lines(spark, sf), key_path("leaf", "status"), schema=["status"])
 

@@ -83,13 +83,13 @@ def recipe_cast_batch_noop(spark, sf):
     return apply_recipe(frame, [Cast("o_orderpriority", ColumnType.WHOLE)])
 
 
-@query("recipe_unknown_columns_skipped", "select n_nationkey, n_name as name, n_regionkey from nation")
+@query("recipe_unknown_columns_skipped", "select c_custkey, c_name as name, c_nationkey, c_acctbal, c_mktsegment from customer")
 def recipe_unknown_columns_skipped(spark, sf):
     actions = [
-        Rename("n_name", "name"), where("n_name", "Equals", "nothing"), Delete("n_name"), Fill("nowhere", "x"),
-        FormatTimestamp("n_name", "yyyy"),
+        Rename("c_name", "name"), where("c_name", "Equals", "nothing"), Delete("c_name"), Fill("nowhere", "x"),
+        FormatTimestamp("c_name", "yyyy"),
     ]
-    return apply_recipe(table(spark, sf, "nation"), actions)
+    return apply_recipe(table(spark, sf, "customer"), actions)
 
 
 CHAINED = [

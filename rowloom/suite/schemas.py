@@ -40,12 +40,12 @@ def schema_csv(spark, sf):
 )
 def schema_csv_nullable(spark, sf):
     """Empty cells further down make a column nullable and leave its type."""
-    key = F.col("event_id")
+    later, kind = F.col("event_id") > 0, F.col("event_type")
     rows = table(spark, sf, "events").select(
-        key.cast("string").alias("id"),
-        F.when(key % 10 == 3, "").otherwise(F.format_string("%.2f", "value")).alias("amount"),
-        F.when(key % 10 == 4, " ").otherwise(F.when(F.col("event_type") == "error", "TRUE").otherwise("false")).alias("flag"),
-        F.when(key % 10 == 5, "1.5").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("mixed"),
+        F.col("event_id").cast("string").alias("id"),
+        F.when(later & (kind == "click"), "").otherwise(F.format_string("%.2f", "value")).alias("amount"),
+        F.when(later & (kind == "view"), " ").otherwise(F.when(kind == "error", "TRUE").otherwise("false")).alias("flag"),
+        F.when(later & (kind == "signup"), "1.5").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("mixed"),
     )
     return csv_schema(csv_summary(rows, F.col("id"))).drop("first")
 
@@ -73,7 +73,7 @@ def schema_jsonl(spark, sf):
 @query(
     "schema_jsonl_uneven",
     """select 'leaf' as name, 'Text' as type, 'text' as label, true as nullable from orders group by 1
-       union all select 'other', 'WholeNumber', 'number', true from orders where o_orderkey % 6 = 4 group by 1""",
+       union all select 'other', 'WholeNumber', 'number', true from orders where o_orderpriority = '5-LOW' and o_orderstatus = 'F' group by 1""",
 )
 def schema_jsonl_uneven(spark, sf):
     """Values of all kinds, nulls, absent keys and broken lines."""
@@ -92,8 +92,11 @@ def schema_jsonl_ordered(spark, sf):
 
 @query(
     "schema_drilled",
-    """select * from (values (0, 'status', 'Text', 'status (text)', true), (1, 'value', 'Text', 'value (text)', true),
-         (2, 'leaf', 'Text', 'leaf (text)', true)) t(index, name, type, label, nullable)""",
+    """with f as (
+         select 'status' as name, 0 as tie, min(o_orderkey) filter (o_orderpriority in ('1-URGENT', '2-HIGH')) as first from orders
+         union all select 'value', 1, min(o_orderkey) filter (o_orderpriority = '2-HIGH') from orders
+         union all select 'leaf', 2, min(o_orderkey) filter (o_orderpriority in ('3-MEDIUM', '4-NOT SPECIFIED')) from orders)
+       select cast(row_number() over (order by first, tie) - 1 as int) as index, name, 'Text' as type, name || ' (text)' as label, true as nullable from f""",
 )
 def schema_drilled(spark, sf):
     return describe(infer_leaves(uneven_lines(spark, sf), key_path("leaf"), order=F.col("position")), spark)

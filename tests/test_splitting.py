@@ -97,3 +97,13 @@ def test_without_broadcast(spark, text_file, tiny_splits, monkeypatch):
     data = [random_value(rnd) for _ in range(150)]
     rows = read_json_array(spark, text_file("s.json", json.dumps(data)))
     assert {r.position: json.loads(r.line) for r in rows.collect()} == dict(enumerate(data))
+
+
+def test_backslash_runs():
+    import numpy as np
+
+    text = b'a\\"b\\\\"c"\\\\\\"\\x""'
+    raw = np.frombuffer(text, np.uint8)
+    quotes, slashes = np.flatnonzero(raw == 34), np.flatnonzero(raw == 92)
+    expected = [len(text[:q]) - len(text[:q].rstrip(b"\\")) for q in quotes]
+    assert splitting._run_before(quotes, slashes).tolist() == expected
