@@ -209,8 +209,8 @@ def _schema(summary: DataFrame, starts_empty: Column, nullable: Column) -> DataF
 
 
 def merge_summaries(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Summary of two stretches of data. Places must be comparable, see
-    ``rowloom.streaming.schema``."""
+    """Summary of two stretches of data whose places are comparable (given by a
+    common ``order``). ``rowloom.streaming.schema`` merges those of batches."""
     both = earlier.unionByName(later)
     return both.groupBy("name").agg(
         F.bit_or("mask").alias("mask"),

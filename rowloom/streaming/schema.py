@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.profile import csv_summary, json_summary, merge_summaries
+from ..operators.profile import csv_summary, json_summary
 
-# Places of one batch come after those of all batches before it. Within a batch
-# they are below this bound (2**43 rows); batch numbers may go up to 2**20.
-_PLACES_PER_BATCH = 1 << 43
+_SUMMARISE: dict[str, Callable[[DataFrame], DataFrame]] = {"jsonl": json_summary, "csv": csv_summary}
 
 
 class SchemaState:
     """Merged summary of all batches so far, kept as small parquet tables in a
     shared folder, one per batch, so that a restarted query goes on from there.
 
-    A summary has one row per column; it does not grow with the data.
+    A summary has one row per column; it does not grow with the data. Places of
+    first rows only have an order within a batch, so the batch is kept with them.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -29,34 +28,29 @@ class SchemaState:
         return f"{self._folder}/batch-{batch:010d}"
 
     def summary(self, batch: int) -> DataFrame:
-        return self._spark.read.parquet(self._path(batch))
+        """Summary of everything up to a batch (see ``operators.profile``)."""
+        kept = self._spark.read.parquet(self._path(batch))
+        same = F.col("first.batch") == F.col("first_empty.batch")
+        return kept.withColumn("first_empty", F.when(same, F.col("first_empty.place"))).withColumn("first", F.col("first.place"))
 
     def add(self, part: DataFrame, batch: int) -> None:
-        """Merge a batch. Writing the same batch again gives the same table."""
-        offset = F.lit(batch * _PLACES_PER_BATCH)
-        placed = part.withColumn("first", F.col("first") + offset).withColumn("first_empty", F.col("first_empty") + offset)
-        if batch > 0:
-            placed = merge_summaries(self.summary(batch - 1), placed)
-        placed.coalesce(1).write.mode("overwrite").parquet(self._path(batch))
+        """Merge a batch. Adding the same batch again gives the same table."""
 
+        def placed(place: str) -> Column:
+            return F.when(F.col(place).isNotNull(), F.struct(F.lit(batch).alias("batch"), F.col(place).alias("place")))
 
-def _dense_places(batch: DataFrame) -> DataFrame:
-    """Running numbers without the gaps between tasks of scan-order ids: task
-    number in the upper bits, 2**30 rows per task."""
-    ident = F.monotonically_increasing_id()
-    task, row = F.shiftright(ident, 33), ident.bitwiseAND(F.lit((1 << 30) - 1))
-    return batch.withColumn("__place", F.shiftleft(task, 30) + row)
+        merged = part.withColumn("first", placed("first")).withColumn("first_empty", placed("first_empty"))
+        if batch > 0:
+            merged = self._spark.read.parquet(self._path(batch - 1)).unionByName(merged).groupBy("name").agg(
+                F.bit_or("mask").alias("mask"), F.sum("filled").alias("filled"), F.sum("rows").alias("rows"),
+                F.min("first").alias("first"), F.min("first_empty").alias("first_empty"),
+            )
+        merged.coalesce(1).write.mode("overwrite").parquet(self._path(batch))
 
 
 def refine_schema(stream: DataFrame, state: SchemaState, checkpoint: str, data_format: str = "jsonl", **trigger) -> StreamingQuery:
-    """Start a query that merges every batch's summary into ``state``."""
-    summarise: dict[str, Callable] = {
-        "jsonl": lambda batch: json_summary(batch, F.col("__place")),
-        "csv": lambda batch: csv_summary(batch.drop("__place"), None),
-    }
-
-    def merge(batch: DataFrame, number: int) -> None:
-        state.add(summarise[data_format](_dense_places(batch) if data_format == "jsonl" else batch), number)
-
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    """Start a query that merges every batch's summary into ``state``: of JSON
+    lines (column ``line``) or, for "csv", of a table of text columns."""
+    summarise = _SUMMARISE[data_format]
+    writer = stream.writeStream.foreachBatch(lambda batch, number: state.add(summarise(batch), number))
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -122,6 +122,18 @@ def test_schema_refines_batch_by_batch_and_restarts(spark, tmp_path):
     assert last == {r["name"]: (r["type"], r["nullable"]) for r in json_schema(whole).collect()}
 
 
+def test_csv_schema_refines_on_a_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    state = SchemaState(spark, str(tmp_path / "state"))
+    for number, row in enumerate(["1,,x", "2.5,3,", "7,4,5"]):
+        (source / f"{number}.csv").write_text(row + "\n")
+        stream = spark.readStream.schema("a string, b string, c string").csv(str(source))
+        refine_schema(stream, state, str(tmp_path / "checkpoint"), "csv").awaitTermination()
+    found = {r["name"]: (r["type"], r["nullable"]) for r in csv_schema(state.summary(2)).collect()}
+    assert found == {"a": ("FloatingPoint", False), "b": ("Text", True), "c": ("Text", True)}
+
+
 def run_stream(frame, name):
     query = frame.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
