@@ -103,7 +103,7 @@ def _named(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _read_broken_rows(spark: SparkSession, path: str | list[str], names: Sequence[str], on_ragged: str) -> DataFrame:
-    records = split_records(spark, path, CSV_ROWS, "\n").where(F.col("number") > 0)
+    records = split_records(spark, path, CSV_ROWS, "\n", with_file=False).where(F.col("number") > 0)
     text = F.regexp_replace("text", r"\r$", "")
     schema = ", ".join([*(f"c{i} string" for i in range(len(names))), f"{_WHOLE_ROW} string"])
     options = {**{k: v for k, v in _OPTIONS.items() if k != "inferSchema"}, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _WHOLE_ROW}

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -93,17 +93,17 @@ def _by_split(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Rec
     for batch in batches:
         if not batch.num_rows:
             continue
-        files, blocks = (batch.column(c).dictionary_encode().indices.to_numpy() for c in (0, 1))
-        changes = np.flatnonzero((np.diff(files) != 0) | (np.diff(blocks) != 0)) + 1
+        files, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        changes = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
         edges = [0, *changes.tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:], strict=False):
             part = batch.slice(start, end - start)
             yield (part.column(0)[0].as_py(), part.column(1)[0].as_py()), part
 
 
-_SUMMARY = f"{FILE} string, {BLOCK} bigint, flips int, moves array<bigint>, marks array<map<bigint,bigint>>"
+_SUMMARY = f"{FILE} bigint, {BLOCK} bigint, flips int, moves array<bigint>, marks array<map<bigint,bigint>>"
 _ARROW_SUMMARY = pa.schema([
-    (FILE, pa.string()), (BLOCK, pa.int64()), ("flips", pa.int32()), ("moves", pa.list_(pa.int64())),
+    (FILE, pa.int64()), (BLOCK, pa.int64()), ("flips", pa.int32()), ("moves", pa.list_(pa.int64())),
     ("marks", pa.list_(pa.map_(pa.int64(), pa.int64()))),
 ])
 
@@ -146,8 +146,8 @@ def _starts(summaries: DataFrame, grammar: Grammar) -> DataFrame:
     return cuts.select(FILE, BLOCK, "inside", "depth", F.coalesce(F.sum("cuts").over(before), F.lit(0)).alias("number"))
 
 
-_PIECE = f"{FILE} string, {BLOCK} bigint, number bigint, text string, closed boolean"
-_ARROW_PIECE = pa.schema([(FILE, pa.string()), (BLOCK, pa.int64()), ("number", pa.int64()), ("text", pa.string()), ("closed", pa.bool_())])
+_PIECE = f"{FILE} bigint, {BLOCK} bigint, number bigint, text string, closed boolean"
+_ARROW_PIECE = pa.schema([(FILE, pa.int64()), (BLOCK, pa.int64()), ("number", pa.int64()), ("text", pa.string()), ("closed", pa.bool_())])
 
 
 def _as_text(values: pa.Array) -> pa.Array:
@@ -172,7 +172,7 @@ def _cut(grammar: Grammar, separator: str, whole: bool):
         def rows(texts: pa.Array, first_number: int, closed: bool) -> pa.RecordBatch:
             size = len(texts)
             numbers = pa.array(np.arange(first_number, first_number + size, dtype=np.int64))
-            constants = [pa.repeat(pa.scalar(value, kind), size) for value, kind in zip((*split, closed), (pa.string(), pa.int64(), pa.bool_()), strict=True)]
+            constants = [pa.repeat(pa.scalar(value, kind), size) for value, kind in zip((*split, closed), (pa.int64(), pa.int64(), pa.bool_()), strict=True)]
             return pa.RecordBatch.from_arrays([*constants[:2], numbers, texts, constants[2]], schema=_ARROW_PIECE)
 
         def one(text: bytes) -> pa.Array:
@@ -206,20 +206,43 @@ def _cut(grammar: Grammar, separator: str, whole: bool):
     return run
 
 
-def split_records(spark: SparkSession, path: str | list[str], grammar: Grammar, separator: str) -> DataFrame:
+# A table of file names and keys of at most this many rows may be broadcast.
+MAX_BROADCAST_FILES = 500_000
+
+
+def _file_key(path: Column, salt: int) -> Column:
+    return F.xxhash64(path, F.lit(salt))
+
+
+def _file_names(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, int, int]:
+    """(file, key) per file, the salt that makes the keys unique, and the number
+    of files. A key stands in for the name next to every piece of text; only file
+    names are read here."""
+    names = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"))
+    amount, salt = len(names.inputFiles()), 0
+    while amount > 1:
+        found = names.agg(F.count(F.lit(1)).alias("files"), F.count_distinct(_file_key(F.col("file"), salt)).alias("keys")).first()
+        if found["files"] == found["keys"]:
+            break
+        salt += 1
+    return names.withColumn(FILE, _file_key(F.col("file"), salt)), salt, amount
+
+
+def split_records(spark: SparkSession, path: str | list[str], grammar: Grammar, separator: str, with_file: bool = True) -> DataFrame:
     """(file, number, text): the stretches between cut marks, numbered per file.
 
     ``separator`` is what the text source is cut at when it is read; any byte that
     turns up often enough and never follows a backslash will do.
     """
     paths = [path] if isinstance(path, str) else list(dict.fromkeys(path))
+    names, salt, files = _file_names(spark, paths)
     pieces = spark.read.option("lineSep", separator).text(paths).select(
-        F.col("_metadata.file_path").alias(FILE),
+        _file_key(F.col("_metadata.file_path"), salt).alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
         "value",
         F.monotonically_increasing_id().alias(STEP),
     )
-    summaries = pieces.mapInArrow(_summarise(grammar, separator), _SUMMARY)
+    summaries = pieces.select(FILE, BLOCK, "value").mapInArrow(_summarise(grammar, separator), _SUMMARY)
     starts = _starts(summaries, grammar)
     columns = [FILE, BLOCK, "value", "inside", "depth", "number"]
     if split_bound(pieces) <= MAX_BROADCAST_SPLITS:
@@ -235,4 +258,7 @@ def split_records(spark: SparkSession, path: str | list[str], grammar: Grammar,
         F.bool_or("closed").alias("closed"),
     )
     records = inner.select(FILE, "number", "text").unionByName(stitched.where("closed").select(FILE, "number", "text"))
-    return records.withColumnRenamed(FILE, "file")
+    if not with_file:
+        return records.select("number", "text")
+    named = records.join(F.broadcast(names) if files <= MAX_BROADCAST_FILES else names, FILE)
+    return named.select("file", "number", "text")
