@@ -12,7 +12,7 @@ from ..functions.types import ColumnType, logical_type
 from ..recipes.actions import Action
 from ..recipes.recipe import Recipe
 from .cells import Cell, Stages, TypedCell, batch_value, column, typed_view_value, view_condition, view_value
-from .plan import BATCH, VIEW, Plan, build_plan
+from .plan import BATCH, VIEW, Plan, build_plan  # noqa: F401
 
 
 def actions_of(recipe: Recipe | Iterable[Action]) -> tuple[Action, ...]:
