@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
+from . import brown_lm, language_id, toxicity
+from .decontaminate import find_benchmark
+from .frames import remainder
+from .licenses import find_licenses
 from .ngram_join import join_ngrams
+from .quality import BASE, apply_policy, ledger
+from .quotes import link_quotes, with_quotes
+from .raking import mixture
+from .substring_dedup import find_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +39,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def ngram_jaccard_join(spark, sf):
     return join_ngrams(table(spark, sf, "documents"), n=3, percent=90)
+
+
+@query("op2_language_id")
+def language_of_documents(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language_id.learn(docs.where(remainder(4) != 2).select("text", "lang"))
+    found = language_id.label(docs, model)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "n_letter_words", F.size("spans").alias("n_spans"))
+
+
+@query("op3_brown_lm")
+def brown_scores(spark, sf):
+    docs = table(spark, sf, "documents")
+    model, rare = brown_lm.learn(docs.where(remainder(7) != 2))
+    return brown_lm.score(docs, model, rare, remainder(7) == 2)
+
+
+@query("op4_benchmark_decontamination")
+def benchmark_decontamination(spark, sf):
+    return find_benchmark(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("items")
+
+
+@query("op5_quotation_linking")
+def quotation_linking(spark, sf):
+    """Conversations as mail, in which messages quote those before them."""
+    linked = link_quotes(with_quotes(table(spark, sf, "conversations")))
+    return linked.select("conv_id", "turn", "role", "quote_levels", "n_linked", "n_unlinked", "reply_conv", "reply_turn", "thread_conv", "thread_turn", "depth", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op6_license_scan")
+def license_scan(spark, sf):
+    return find_licenses(table(spark, sf, "documents"))
+
+
+@query("op7_mixing")
+def mixing(spark, sf):
+    return mixture(table(spark, sf, "documents"))
+
+
+@query(
+    "op8_quality_rules",
+    r"""
+    with w as (
+        select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+    ), grams as (
+        select doc_id, i, array_to_string(words[i : i + 4], ' ') as gram from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from w where len(words) >= 5)
+    ), twice as (
+        select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, gram) as n from grams) where n > 1
+    ), covered as (
+        select doc_id, count(distinct i + k) as n from twice, (select unnest(range(0, 5)) as k) group by doc_id
+    ), m as (
+        select w.doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+            length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+            list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+            coalesce(covered.n, 0) as n_repeat_words, length(regexp_replace(text, '\P{Lu}+', '', 'g')) as n_upper
+        from w left join covered using (doc_id)
+    ), l as (select *, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines from m)
+    select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper,
+        cast((n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_words)::int + 4 * (10 * n_symbols > n_words)::int + 8 * (100 * n_dup_lines > 30 * n_lines)::int
+            + 16 * (2 * n_upper > word_chars)::int + 32 * (word_chars > 20 * n_words)::int + 64 * (word_chars < 2 * n_words)::int as bigint) as failed_bits,
+        failed_bits & 3 <> 0 as base_failed, failed_bits = 0 as kept
+    from l
+    """,
+)
+def quality_rules(spark, sf):
+    rows = ledger(table(spark, sf, "documents"))
+    return apply_policy(rows.withColumn("base_failed", F.col("failed_bits").bitwiseAND(F.lit(BASE).cast("long")) != 0), "v3")
+
+
+@query("op9_substring_dedup")
+def substring_dedup(spark, sf):
+    return find_repeats(table(spark, sf, "documents"))
+
+
+@query("op10_toxicity")
+def toxic_passages(spark, sf):
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").select("doc_id", "toxic").where(remainder(5) != 0)
+    model = toxicity.learn(docs, labels)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "n_words", F.size("passages").alias("n_passages"))
