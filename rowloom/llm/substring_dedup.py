@@ -190,7 +190,7 @@ def _twice(batches):
     most one row waits for the next batch."""
     carried = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.table(dict(zip(batch.schema.names, batch.columns)))
         if carried is not None:
             table = pa.concat_tables([carried, table])
         values = table["hash"].to_numpy()
