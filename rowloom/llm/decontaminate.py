@@ -53,8 +53,8 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, remove: str = "docum
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
     left = scanned.where("n_hit = 0 or n_hit < n_words").withColumn("cleaned", F.expr("null").cast("binary"))
     left = left.mapInArrow(_without_hits, left.schema)
-    text = F.when(F.col("n_hit") > 0, F.decode("cleaned", F.lit("utf-8"))).otherwise(F.col("row.text"))
-    columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    text = F.when(F.col("n_hit") > 0, F.decode("cleaned", "utf-8")).otherwise(F.col("row.text"))
+    columns = [text.alias("text") if c == "text" else F.when(F.col("n_hit") > 0, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return left.select(*columns)
 
 

@@ -115,13 +115,13 @@ def ablations(rows: DataFrame, policies: dict[str, int] | None = None) -> DataFr
     of = [(version, mask, rule, 1 << bit) for version, mask in (policies or POLICIES).items() for bit, (rule, _) in enumerate(RULES) if mask >> bit & 1]
     cases = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(m).cast("long").alias("mask"), F.lit(r).alias("rule"), F.lit(b).cast("long").alias("bit")) for v, m, r, b in of]))
     each = counts.select("failed_bits", "n", cases.alias("case")).select("failed_bits", "n", "case.*")
-    masked = F.col("failed_bits").bitwiseAND("mask")
-    without = masked.bitwiseAND(F.bitwise_not("bit"))
+    masked = F.col("failed_bits").bitwiseAND(F.col("mask"))
+    without = masked.bitwiseAND(F.bitwise_not(F.col("bit")))
 
     def number(condition):
         return F.sum(F.when(condition, F.col("n")).otherwise(F.lit(0)).cast("long"))
 
     return each.groupBy("version", "rule").agg(
-        number(F.col("failed_bits").bitwiseAND("bit") != 0).alias("n_failed"), number(masked == F.col("bit")).alias("n_alone"),
+        number(F.col("failed_bits").bitwiseAND(F.col("bit")) != 0).alias("n_failed"), number(masked == F.col("bit")).alias("n_alone"),
         number(masked == 0).alias("n_kept"), number(without == 0).alias("n_kept_without"),
     )

@@ -23,8 +23,7 @@ from ..session import configure
 from .frames import cut
 from .text import ALNUM_OR_BLANK
 
-PRIOR, LEAST_Z, MOST_WORDS, MOST_TEXTS, DRIFT, HELD = 50.0, 3.0, 50_000, 10_000, -0.1, 200_000
-EULER = 0.5772156649
+PRIOR, LEAST_ODDS, MOST_WORDS, MOST_TEXTS, DRIFT, HELD = 50.0, 2.3, 50_000, 10_000, -0.1, 200_000
 
 
 @dataclass
@@ -79,12 +78,13 @@ def bounded(labels: DataFrame, most: int = MOST_TEXTS) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, prior: float = PRIOR, least_z: float = LEAST_Z, most_words: int = MOST_WORDS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, prior: float = PRIOR, least_odds: float = LEAST_ODDS, most_words: int = MOST_WORDS) -> Model:
     """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) names.
 
     The share of toxic texts is counted over all labels. Words are counted over at most
-    `most_texts` texts of each class, equal texts once, a word once per text. `most_words`
-    bounds the words whose odds are kept: those furthest from even, by standard errors.
+    `most_texts` texts of each class, equal texts once, a word once per text. A word's
+    odds are those it has two standard errors below the estimate; words below `least_odds`
+    only drift. `most_words` bounds the words kept, by their odds.
     Without a toxic or without a harmless text every text is scored with the share alone."""
     spark = configure(docs.sparkSession)
     by_class = dict(labels.where("toxic is not null").groupBy((F.col("toxic") > 0).cast("int")).count().collect())
@@ -118,8 +118,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, prio
     mass = F.lit(0.5) + F.lit(prior) * (F.col("h") + F.col("t")) / F.lit(float(all_h + all_t))
     high, low = F.col("t") + mass, F.col("h") + mass
     odds = F.log(high / F.lit(float(all_t + prior))) - F.log(low / F.lit(float(all_h + prior)))
-    scored = counts.select("word", odds.alias("odds"), (odds / F.sqrt(1 / high + 1 / low)).alias("z")).where(F.abs("z") >= least_z)
-    kept = scored.orderBy(F.abs("z").desc(), "word").limit(most_words).select("word", "odds").toArrow()
+    sure = odds - 2 * F.sqrt(1 / high + 1 / low)
+    kept = counts.select("word", sure.alias("odds")).where(F.col("odds") >= least_odds).orderBy(F.col("odds").desc(), "word").limit(most_words).toArrow()
     model = Model(dict(zip(kept["word"].to_pylist(), kept["odds"].to_pylist())), DRIFT, share, 1.0, 1.0, [])
     sent = spark.sparkContext.broadcast(model)
 
@@ -128,19 +128,27 @@ def learn(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, prio
             values = [_best(sent.value, _words(text.as_py()))[0] for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.float64())], ["toxic", "height"])
 
-    reached = source.mapInArrow(reach, "toxic int, height double").groupBy("toxic").agg(F.count("*"), F.count("height"), F.avg("height"), F.stddev_pop("height"))
+    reached = source.mapInArrow(reach, "toxic int, height double").groupBy("toxic").agg(F.count("*"), F.count("height"), F.expr("percentile(height, array(0.1, 0.5, 0.9))"))
     fitted = {row[0]: row[1:] for row in reached.collect()}
     rises = []
-    for toxic in (0, 1):
-        texts, risen, mean, spread = fitted[toxic]
+    for toxic, usual in ((0, (-4.0, 1.0)), (1, (0.0, 1.0))):
+        texts, risen, at = fitted[toxic]
         rises.append((risen + 0.5) / (texts + 1))
-        mean, spread = (mean, spread) if risen > 1 else ((-3.0, 1.0) if not toxic else (3.0, 1.0))
-        scale = max(spread * math.sqrt(6) / math.pi, 0.5)
-        model.laws.append((mean - EULER * scale, scale))
+        # Each law is fitted on the side that faces the other: medians and outer tenths.
+        if risen >= 10:
+            scale = (at[1] - at[0]) / (_reduced(0.5) - _reduced(0.1)) if toxic else (at[2] - at[1]) / (_reduced(0.9) - _reduced(0.5))
+            scale = max(scale, 0.25)
+            usual = (at[1] - scale * _reduced(0.5), scale)
+        model.laws.append(usual)
     model.rise_harmless, model.rise_toxic = rises
     return model
 
 
+def _reduced(share: float) -> float:
+    """Below this many scales over its location lies `share` of an extreme-value law."""
+    return -math.log(-math.log(share))
+
+
 def _best(model: Model, words: list[bytes]) -> tuple[float | None, list[tuple[int, int, float]]]:
     """Height of the best segment, less the logarithm of the number of words, by which the
     best of many chances rises; None where no word scores above 0. And all segments."""
