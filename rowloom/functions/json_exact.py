@@ -160,6 +160,46 @@ class _Number(str):
 _decode = json.JSONDecoder(object_pairs_hook=_Object, parse_int=_Number, parse_float=_Number).raw_decode
 
 
+class _Raw(str):
+    """JSON text that stands as it is."""
+
+
+def _text_of(value: object) -> str:
+    if isinstance(value, _Raw):
+        return str(value)
+    if isinstance(value, list):
+        return "[" + ",".join(map(_text_of, value)) + "]"
+    return json.dumps(value)
+
+
+def _first_pairs(pairs: list[tuple[str, object]]) -> _Raw:
+    first: dict[str, object] = {}
+    for key, value in pairs:
+        first.setdefault(key, value)
+    return _Raw("{" + ",".join(f"{json.dumps(key)}:{_text_of(value)}" for key, value in first.items()) + "}")
+
+
+_decode_first = json.JSONDecoder(object_pairs_hook=_first_pairs, parse_int=_Raw, parse_float=_Raw, parse_constant=_no_constant).raw_decode
+
+
+def _with_first_members(line: str) -> str | None:
+    try:
+        return _text_of(_decode_first(line, _SPACE.match(line, 0).end())[0])
+    except (ValueError, RecursionError):
+        return None
+
+
+def first_members(line: Column) -> Column:
+    """The JSON text with only the first member of each name in every object, which
+    is the one that counts; NULL for what is not JSON. Numbers keep their spelling."""
+
+    @F.arrow_udf(T.StringType())
+    def reader(lines: pa.Array) -> pa.Array:
+        return pa.array([None if line is None else _with_first_members(line) for line in lines.to_pylist()], pa.string())
+
+    return reader(line)
+
+
 def _leaf(value: object, scalar_name: str) -> list[tuple[str, object]]:
     return value if isinstance(value, _Object) else [(scalar_name, value)]
 

@@ -126,7 +126,9 @@ _CANONICAL = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{
 def parse_timestamp(text: Column) -> Column:
     """Timestamp or NULL, read the invariant-culture way (month before day)."""
     seconds_added = F.regexp_replace(trimmed(text), r"^(\S+[T ]\d{1,2}:\d{2})( ?(?:Z|[+-]))", "$1:00$2")
-    other = F.when(text.rlike(_OTHER_START) & (F.length(text) <= 80), _other_timestamp(text))
+    # No readable form is longer than this once runs of blanks count as one.
+    brief = F.regexp_replace(trimmed(text), r"\s+", " ")
+    other = F.when(text.rlike(_OTHER_START) & (F.length(brief) <= 80), _other_timestamp(text))
     slashed = F.regexp_replace(text, _SLASHED, "$3-$1-$2 $4$5")
     return (
         F.when(text.rlike(_ISO), seconds_added.try_cast("timestamp"))

@@ -32,7 +32,7 @@ class ColumnType(Enum):
         for member in cls:
             if member.value == name:
                 return member
-        raise ValueError(f"Invalid enum value for targetType: '{name}'")
+        raise ValueError(f"There is no column type '{name}'.")
 
 
 _CODES = {member: bit for bit, member in enumerate(ColumnType)}

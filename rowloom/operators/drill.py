@@ -16,10 +16,10 @@ from ..plans.cells import Cell, DisplayCell, Stages, column
 from ..plans.plan import VIEW
 from ..recipes.actions import Action
 from ..recipes.recipe import Recipe
-from ..sources.jsonl import LINE, drop_blank, in_first_seen_order
+from ..sources.jsonl import LINE, drop_blank, in_first_seen_order, with_record
 from .profile import ColumnInfo, entry_of, line_mark, drill_schema, entry_summary, typed_entries
 
-LINEAGE = "#"
+LINEAGE, _TASK = "#", "__task"
 
 
 @dataclass(frozen=True)
@@ -72,28 +72,31 @@ def leaf_rows(records: DataFrame, path: Sequence[Segment], position: str, on_err
     if on_error not in ("skip", "fail"):
         raise ValueError(f"Unknown on_error '{on_error}'.")
     keep = list(keep)
-    if "record" in records.columns and on_error == "skip":
-        node = F.col("record")
-    else:
-        node = F.try_parse_json(LINE) if on_error == "skip" else F.parse_json(LINE)
     kept = [column(name) for name in keep]
     rows = records if on_error == "skip" or LINE not in records.columns else drop_blank(records)
-    rows = rows.select(*kept, column(position).cast("string").alias(LINEAGE), node.alias("node")).where("node is not null")
+    if "record" not in rows.columns:
+        rows = with_record(rows)
+    node = F.col("record")
+    if on_error == "fail" and LINE in rows.columns:
+        node = F.coalesce(node, F.raise_error(F.concat(F.lit("Not JSON: "), F.left(LINE, F.lit(200)))).cast("variant"))
+    # What a step does not fit becomes NULL, and NULL arrays open to no row. Without
+    # filters in between nothing is parsed twice: the optimizer would push them, and a
+    # copy of the parsing, below the steps. It takes the task number for changing, so
+    # what it infers from an array that depends on it stays above.
+    rows = rows.select(*kept, column(position).cast("string").alias(LINEAGE), node.alias("node"), F.spark_partition_id().alias(_TASK))
     for step, segment in enumerate(path):
         if segment.kind == "key":
-            rows = rows.select(*keep, LINEAGE, J.member(F.col("node"), segment.name).alias("node"))
-            rows = rows.where("node is not null")
+            rows = rows.select(*keep, LINEAGE, J.member(F.col("node"), segment.name).alias("node"), _TASK)
         elif step < len(path) - 1:
-            opened = rows.select(*keep, LINEAGE, F.posexplode(J.elements(F.col("node"))).alias("i", "node"))
-            rows = opened.select(*keep, F.concat_ws(":", LINEAGE, F.col("i").cast("string")).alias(LINEAGE), "node")
-    with_elements = rows.select(*keep, LINEAGE, "node", J.elements(F.col("node")).alias("items"))
-    if path and path[-1].kind == "index":
-        # A last index step stands for the array itself, and accepts nothing else.
-        with_elements = with_elements.where("items is not null")
+            opened = rows.select(*keep, LINEAGE, _TASK, F.posexplode(F.when(F.col(_TASK) >= 0, J.elements(F.col("node")))).alias("i", "node"))
+            rows = opened.select(*keep, F.concat_ws(":", LINEAGE, F.col("i").cast("string")).alias(LINEAGE), "node", _TASK)
+    with_elements = rows.select(*keep, LINEAGE, "node", _TASK, J.elements(F.col("node")).alias("items"))
     is_array = F.col("items").isNotNull()
+    # A last index step stands for the array itself, and accepts nothing else.
+    single = F.lit(None) if path and path[-1].kind == "index" else F.when(F.col("node").isNotNull(), F.array("node"))
     opened = with_elements.select(
         *keep, LINEAGE, is_array.alias("in_array"),
-        F.posexplode(F.coalesce("items", F.array("node"))).alias("i", "leaf"),
+        F.posexplode(F.when(F.col(_TASK) >= 0, F.coalesce("items", single))).alias("i", "leaf"),
     )
     lineage = F.when(F.col("in_array"), F.concat_ws(":", LINEAGE, F.col("i").cast("string"))).otherwise(column(LINEAGE))
     holder = F.when(J.variant_type(F.col("leaf")) != "OBJECT", F.when(F.col("in_array"), "value").otherwise(scalar_column(path)))
@@ -125,7 +128,7 @@ def infer_leaves(records: DataFrame, path: Sequence[Segment], order: Column | No
     found = {row["name"]: row for row in rows}
     if not found:
         any_leaf = not leaf_rows(records.withColumn("__at", F.lit(0)), path, "__at", on_error).isEmpty()
-        raise ValueError("All child objects have no keys" if any_leaf else "No matching records found.")
+        raise ValueError("What the path reaches has no members." if any_leaf else "The path reaches nothing.")
     first = {name: row["first"] for name, row in found.items()}
     if LINE in records.columns:
         order_of = lambda line, steps: leaf_key_order(line, steps, scalar_column(path))
@@ -214,21 +217,21 @@ def drill_node(node: DataFrame, keep: Iterable[str] = ()) -> tuple[DataFrame, Da
 def drill_single(node: DataFrame, cells: str = "display") -> DataFrame:
     """Table of one chosen node (column ``line``): a non-empty array of objects.
     Anything else is an error, found by one counting pass."""
-    parsed = node.withColumn("record", F.try_parse_json(LINE))
+    parsed = with_record(node)
     head = parsed.agg(
         F.count(F.when(F.col("record").isNull(), 1)).alias("broken"),
         F.count(F.when(J.variant_type(F.col("record")) != "ARRAY", 1)).alias("not_arrays"),
     ).first()
     if head["broken"]:
-        raise ValueError("Malformed JSON.")
+        raise ValueError("The node is not JSON.")
     if head["not_arrays"]:
-        raise ValueError("Node is not a JSON Array.")
+        raise ValueError("The node is no array.")
     rows, counts = drill_node(parsed)
     found = counts.first()
     if found["others"]:
-        raise ValueError("Array contains non-Object elements.")
+        raise ValueError("The array holds something else than objects.")
     if not found["elements"]:
-        raise ValueError("Array is empty.")
+        raise ValueError("The array has no elements.")
     schema = infer_leaves(node, ())
     return leaf_table(rows, [info.name for info in schema], cells)
 
@@ -238,7 +241,8 @@ def drill_single(node: DataFrame, cells: str = "display") -> DataFrame:
 def json_children(records: DataFrame, path: Sequence[Segment], position: str = "position") -> DataFrame:
     """Children of the node a path reaches in every record: position, label, kind
     and display text. Members are listed by name, elements by number."""
-    rows = records.select(column(position).alias(position), (F.col("record") if "record" in records.columns else F.try_parse_json(LINE)).alias("node"))
+    rows = records if "record" in records.columns else with_record(records)
+    rows = rows.select(column(position).alias(position), F.col("record").alias("node"))
     for segment in path:
         if segment.kind == "key":
             step = J.member(F.col("node"), segment.name)

@@ -64,7 +64,7 @@ def csv_summary(df: DataFrame, order: Column | None = None) -> DataFrame:
     the typing code is compiled once, however wide the table is."""
     names = df.columns
     if not names:
-        raise ValueError("CSV has no columns")
+        raise ValueError("The CSV has no header row.")
     place = F.monotonically_increasing_id() if order is None else order.cast("bigint")
     placed = df.select(place.alias("place"), F.array(*(column(n).cast("string") for n in names)).alias("cells"))
     cells = placed.select("place", F.posexplode("cells").alias("index", "cell"))
@@ -195,7 +195,7 @@ def infer_json(lines: DataFrame, rows: int | None = None, order: Column | None =
     part = lines if rows is None else lines.limit(rows)
     found = {row["name"]: row for row in json_schema(json_summary(part, order)).collect()}
     if not found:
-        raise ValueError("No valid JSON objects found in the provided lines.")
+        raise ValueError("None of the lines is a JSON object.")
     names = in_first_seen_order(part, order, {name: row["first"] for name, row in found.items()}, ())
     return [ColumnInfo(n, ColumnType(found[n]["type"]), found[n]["nullable"], i) for i, n in enumerate(names)]
 

@@ -166,7 +166,7 @@ def batch_text(cell: Cell, out: OutputColumn) -> Column | None:
         return F.lit(out.fill)
     if out.target_format is not None:
         failure = F.raise_error(
-            F.concat(F.lit("Could not parse timestamp value '"), F.coalesce(cell.text, F.lit("")), F.lit("'."))
+            F.concat(F.lit("Not a readable timestamp: '"), F.coalesce(cell.text, F.lit("")), F.lit("'"))
         ).cast("string")
         return F.coalesce(format_timestamp(cell.timestamp(), out.target_format), failure)
     return None

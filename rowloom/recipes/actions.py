@@ -67,7 +67,7 @@ class FormatTimestamp:
 
     def __post_init__(self) -> None:
         if not self.target_format.strip():
-            raise ValueError("Field 'targetFormat' must not be empty for format_timestamp action")
+            raise ValueError("Formatting a timestamp needs a targetFormat.")
 
 
 @dataclass(frozen=True)

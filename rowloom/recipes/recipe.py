@@ -40,7 +40,7 @@ def _member(enum: type, name: str, field: str):
     try:
         return enum(name)
     except ValueError:
-        raise ValueError(f"Invalid enum value for {field}: '{name}'") from None
+        raise ValueError(f"{field} has no choice '{name}'.") from None
 
 
 _BUILD = {
@@ -58,13 +58,13 @@ _BUILD = {
 def action_from_fields(fields: dict[str, str]) -> Action:
     """Build one action from the fields of a recipe file entry."""
     if "type" not in fields:
-        raise ValueError("Missing action type")
+        raise ValueError("An action without a type.")
     kind = fields["type"]
     if kind not in _FIELDS:
-        raise ValueError(f"Unknown action type: '{kind}'")
+        raise ValueError(f"There is no action '{kind}'.")
     missing = next((name for name in _FIELDS[kind] if name not in fields), None)
     if missing:
-        raise ValueError(f"Missing required field '{missing}' for {kind} action")
+        raise ValueError(f"A {kind} action needs '{missing}'.")
     return _BUILD[kind](*(fields[name] for name in _FIELDS[kind]))
 
 
@@ -93,7 +93,7 @@ def loads(text: str) -> Recipe:
         elif line != "actions: []":
             _read_root_line(line, root)
     if not root.get("name"):
-        raise ValueError("Missing required field: 'name'")
+        raise ValueError("A recipe needs a 'name'.")
     modified = root.get("lastModified")
     return Recipe(
         name=root["name"],
@@ -106,11 +106,11 @@ def loads(text: str) -> Recipe:
 def _read_root_line(line: str, root: dict[str, str]) -> None:
     key, colon, value = line.partition(": ")
     if not colon:
-        raise ValueError(f"Malformed root-level line: '{line}'")
+        raise ValueError(f"Cannot read the line '{line}'.")
     if key not in _ROOT_KEYS:
-        raise ValueError(f"Unknown root-level key: '{key}'")
+        raise ValueError(f"A recipe has no '{key}'.")
     if root.get(key):
-        raise ValueError(f"Duplicate root-level key: '{key}'")
+        raise ValueError(f"'{key}' is given twice.")
     root[key] = _unquoted(value)
 
 
@@ -119,9 +119,9 @@ def _read_entry_line(line: str, entries: list[dict[str, str]]) -> None:
     if match and match["type"] is not None:
         entries.append({"type": match["type"]})
     elif not entries or not line.startswith("    "):
-        raise ValueError(f"Unexpected line in actions context: '{line}'")
+        raise ValueError(f"No action begins in the line '{line}'.")
     elif not match:
-        raise ValueError(f"Malformed action field: '{line}'")
+        raise ValueError(f"Cannot read the action's line '{line}'.")
     else:
         entries[-1][match["key"]] = _unquoted(match["value"])
 
@@ -130,7 +130,7 @@ def _read_time(text: str) -> datetime.datetime:
     try:
         return datetime.datetime.fromisoformat(re.sub(r"(\.\d{6})\d+", r"\1", text))
     except ValueError:
-        raise ValueError(f"Invalid lastModified value: '{text}'") from None
+        raise ValueError(f"lastModified is no time: '{text}'.") from None
 
 
 def _unquoted(text: str) -> str:

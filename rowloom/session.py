@@ -15,7 +15,7 @@ _own_folder: str | None = None
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings the library's semantics rest on.
+    """Apply the settings the library's semantics rest on, to the given session itself.
 
     Column names are compared case-sensitively, timestamps are rendered in UTC,
     and the split layout of file scans is pinned: record positions are computed
@@ -66,13 +66,17 @@ def session(app_name: str = "rowloom", master: str | None = None) -> SparkSessio
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, is a temporary folder made (and dropped at exit).
+    The cluster names it in ``spark.checkpoint.dir``. Only on a local master may
+    that be unset: then a temporary folder is made (and dropped at exit). Elsewhere
+    every executor would write to a disk of its own, so it is an error.
     """
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share.")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="rowloom-")
         atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)

@@ -21,7 +21,7 @@ def resolve_names(header: Sequence[str | None]) -> list[str]:
     seen: set[str] = set()
     for name in names:
         if name in seen:
-            raise ValueError(f"Duplicate column name found: '{name}'")
+            raise ValueError(f"Two columns are called '{name}'.")
         seen.add(name)
     return names
 
@@ -30,7 +30,7 @@ def header_names(spark: SparkSession, path: str | list[str], encoding: str = "UT
     """Names in the header row, which must be the same in all files of a path."""
     first = spark.read.options(**_OPTIONS, encoding=encoding, header="false").csv(path).first()
     if first is None:
-        raise ValueError("CSV has no columns")
+        raise ValueError("The CSV has no header row.")
     return resolve_names(first)
 
 

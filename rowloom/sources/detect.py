@@ -18,7 +18,7 @@ def format_of_path(path: str, allow_json: bool = True) -> str:
         return extension[1:]
     if extension == ".json" and allow_json:
         return "json"
-    raise ValueError(f"Unsupported file format: {extension or path}")
+    raise ValueError(f"Files of this kind are not read: {extension or path}")
 
 
 # Up to this many .json files are looked into one by one, which stops at the
@@ -82,7 +82,7 @@ def _error() -> Column:
     extension, mark = F.col("extension"), F.col("mark")
     return (
         F.when(extension.isin(".csv", ".jsonl") | mark.isin("[", "{"), F.lit(None).cast("string"))
-        .when(extension != ".json", F.concat(F.lit("Unsupported file format: "), extension))
-        .when(mark.isNull(), "File contains no valid JSON root token")
-        .otherwise(F.concat(F.lit("Unrecognized JSON root token: '"), mark, F.lit("'")))
+        .when(extension != ".json", F.concat(F.lit("Files of this kind are not read: "), extension))
+        .when(mark.isNull(), "The file holds no JSON.")
+        .otherwise(F.concat(F.lit("The JSON begins with '"), mark, F.lit("'.")))
     )

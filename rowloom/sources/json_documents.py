@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jsonl import LINE
+from .jsonl import LINE, with_record
 from .splitting import JSON_ROOT, split_records
 
-# Repeated root keys are rare; up to this many are joined by broadcast.
-MAX_BROADCAST_KEYS = 100_000
-
-
 def read_json_array(spark: SparkSession, path: str | list[str], separator: str = "}") -> DataFrame:
     """One row per element: file, position (0-based), ``line`` (its exact text)
     and ``record`` (its variant). Elements may be of any kind.
@@ -21,12 +17,13 @@ def read_json_array(spark: SparkSession, path: str | list[str], separator: str =
     """
     parts = split_records(spark, path, JSON_ROOT, separator)
     elements = parts.where((F.col("number") > 0) & ~F.col("text").rlike(r"^\s*$"))
-    return elements.select(
+    placed = elements.select(
         "file", (F.col("number") - 1).alias("position"), F.trim(F.col("text"), F.lit(" \t\r\n")).alias(LINE)
-    ).withColumn("record", F.try_parse_json(LINE))
+    )
+    return with_record(placed)
 
 
-_ENTRY_KEY = r'^\s*"(?:[^"\\]|\\.)*"\s*:\s*'
+_ENTRY_KEY = r'^\s*"(?:[^"\\]++|\\.)*+"\s*:\s*'
 
 
 def read_json_object(spark: SparkSession, path: str | list[str], separator: str = ",") -> DataFrame:
@@ -40,12 +37,6 @@ def read_json_object(spark: SparkSession, path: str | list[str], separator: str
         F.json_object_keys(F.concat(F.lit("{"), text, F.lit("}")))[0].alias("key"),
         F.trim(F.regexp_replace(text, _ENTRY_KEY, ""), F.lit(" \t\r\n")).alias(LINE),
     )
-    repeats = entries.groupBy("file", "key").agg(
-        F.min("position").alias("first"), F.max("position").alias("last"), F.count(F.lit(1)).alias("times")
-    ).where("times > 1").drop("times")
-    amount = repeats.limit(MAX_BROADCAST_KEYS + 1).count()
-    if amount:
-        joined = entries.join(F.broadcast(repeats) if amount <= MAX_BROADCAST_KEYS else repeats, ["file", "key"], "left")
-        kept = joined.where(F.col("last").isNull() | (F.col("last") == F.col("position")))
-        entries = kept.withColumn("position", F.coalesce("first", "position"))
-    return entries.select("file", "position", "key", LINE).withColumn("record", F.try_parse_json(LINE))
+    last = F.max_by(LINE, "position").alias(LINE)
+    entries = entries.groupBy("file", "key").agg(F.min("position").alias("position"), last)
+    return with_record(entries.select("file", "position", "key", LINE))

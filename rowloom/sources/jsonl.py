@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import json_cells as J
-from ..functions.json_exact import exact_cells, exact_members, leaf_key_order
+from ..functions.json_exact import exact_cells, exact_members, first_members, leaf_key_order
 from ..functions.parsing import parse_whole
 from ..functions.text import ERROR_TEXT, NULL_TEXT, array_preview, double_text, object_preview
 from ..plans.cells import Cell, Stages, json_string
@@ -45,7 +45,17 @@ def read_jsonl_columns(spark: SparkSession, path: str | list[str], names: Iterab
 
 
 def records(lines: DataFrame) -> DataFrame:
-    return drop_blank(lines).withColumn("record", F.try_parse_json(LINE))
+    return with_record(drop_blank(lines))
+
+
+def with_record(lines: DataFrame) -> DataFrame:
+    """Add ``record``, the variant of the line. The parser refuses objects that name a
+    member twice; such lines, and no others, are written anew with the first member of
+    each name before they are parsed."""
+    parsed = lines.withColumn("record", F.try_parse_json(LINE))
+    refused = F.col("record").isNull() & F.col(LINE).rlike(r"^\s*[\[{]")
+    anew = first_members(F.when(refused, F.col(LINE)))
+    return parsed.withColumn("record", F.coalesce("record", F.try_parse_json(anew)))
 
 
 def drop_blank(lines: DataFrame) -> DataFrame:

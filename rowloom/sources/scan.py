@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-FILE, BLOCK, STEP = "__file", "__block", "__step"
+FILE, BLOCK, STEP, TASK = "__file", "__block", "__step", "__task"
 
-# A table of at most this many splits (about 100 bytes each) may be broadcast.
-MAX_BROADCAST_SPLITS = 500_000
+# A table of splits has numeric columns only, some 40 bytes a row: 100 TB in splits of
+# 128 MB are 32 MB. Beyond this bound, at twenty times that, it is joined by a shuffle.
+SPLIT_BYTES, MAX_BROADCAST_BYTES = 40, 640_000_000
 
 
 def has_file_metadata(df: DataFrame) -> bool:
@@ -37,11 +38,14 @@ def with_position(df: DataFrame, name: str = "position", start: int = 1, per_fil
         F.monotonically_increasing_id().alias(STEP),
     )
     counts = placed.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("__rows"), F.min(STEP).alias("__first"))
-    offsets = split_offsets(counts, "__rows", per_file).select(FILE, BLOCK, "__first", "__before")
-    if split_bound(df) <= MAX_BROADCAST_SPLITS:
+    # A split is named by its task, which has few, and a hash of its file.
+    key = [F.shiftright(STEP, 33).alias(TASK), F.xxhash64(FILE).alias(FILE), BLOCK]
+    offsets = split_offsets(counts, "__rows", per_file)
+    offsets = offsets.select(F.shiftright("__first", 33).alias(TASK), *key[1:], "__first", "__before")
+    if may_broadcast(df):
         offsets = F.broadcast(offsets)
     position = F.col("__before") + F.col(STEP) - F.col("__first") + F.lit(start)
-    return placed.join(offsets, [FILE, BLOCK]).select(*df.columns, position.alias(name))
+    return placed.select(*df.columns, STEP, *key).join(offsets, [TASK, FILE, BLOCK]).select(*df.columns, position.alias(name))
 
 
 def split_offsets(counts: DataFrame, amount: str, per_file: bool) -> DataFrame:
@@ -63,6 +67,10 @@ def split_bound(df: DataFrame) -> int:
     return df.rdd.getNumPartitions() + len(df.inputFiles())
 
 
+def may_broadcast(df: DataFrame) -> bool:
+    return split_bound(df) * SPLIT_BYTES <= MAX_BROADCAST_BYTES
+
+
 def row_count(df: DataFrame) -> int:
     return df.count()
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scan import BLOCK, FILE, MAX_BROADCAST_SPLITS, STEP, split_bound
+from .scan import BLOCK, FILE, STEP, may_broadcast
 
 _NOT_A_MARK = 9
 
@@ -206,8 +206,8 @@ def _cut(grammar: Grammar, separator: str, whole: bool):
     return run
 
 
-# A table of file names and keys of at most this many rows may be broadcast.
-MAX_BROADCAST_FILES = 500_000
+# A table of file names and keys of at most this many rows, some 300 bytes each, may be broadcast.
+MAX_BROADCAST_FILES = 2_000_000
 
 
 def _file_key(path: Column, salt: int) -> Column:
@@ -245,7 +245,7 @@ def split_records(spark: SparkSession, path: str | list[str], grammar: Grammar,
     summaries = pieces.select(FILE, BLOCK, "value").mapInArrow(_summarise(grammar, separator), _SUMMARY)
     starts = _starts(summaries, grammar)
     columns = [FILE, BLOCK, "value", "inside", "depth", "number"]
-    if split_bound(pieces) <= MAX_BROADCAST_SPLITS:
+    if may_broadcast(pieces):
         placed = pieces.join(F.broadcast(starts), [FILE, BLOCK]).select(columns)
     else:
         # Too many splits to broadcast: a shuffle join, then splits put back in order.

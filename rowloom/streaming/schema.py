@@ -33,6 +33,14 @@ class SchemaState:
         same = F.col("first.batch") == F.col("first_empty.batch")
         return kept.withColumn("first_empty", F.when(same, F.col("first_empty.place"))).withColumn("first", F.col("first.place"))
 
+    def last(self) -> int:
+        """Number of the last batch that was merged."""
+        parts = self._spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self._folder}/batch-*")
+        found = parts.select(F.max(F.regexp_extract("path", r"batch-(\d{10})/[^/]*$", 1))).first()[0]
+        if found is None:
+            raise ValueError("No batch has been merged yet.")
+        return int(found)
+
     def add(self, part: DataFrame, batch: int) -> None:
         """Merge a batch. Adding the same batch again gives the same table."""
 

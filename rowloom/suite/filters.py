@@ -16,7 +16,7 @@ _TEXT = {
     "contains": ("Contains", "TAND", "contains(lower(p_type), 'tand')"),
     "not_contains": ("NotContains", "o", "not contains(lower(p_type), 'o')"),
     "starts": ("StartsWith", "sma", "starts_with(lower(p_type), 'sma')"),
-    "ends": ("EndsWith", "umE", "ends_with(lower(p_type), 'ume')"),
+    "ends": ("EndsWith", "uM", "ends_with(lower(p_type), 'um')"),
 }
 _ORDER = {"gt": ("GreaterThan", ">"), "lt": ("LessThan", "<"), "ge": ("GreaterThanOrEqual", ">="), "le": ("LessThanOrEqual", "<=")}
 
@@ -45,6 +45,14 @@ def filter_num_decimal_threshold(spark, sf):
     return apply_recipe(table(spark, sf, "part"), [where("p_size", "GreaterThan", "20.5", "Number")])
 
 
+@query("filter_ts_padded", "select event_id, '  ' || strftime(ts, '%A, %B %-d, %Y %-H:%M:%S') || repeat(' ', 100) as shown from events where date_trunc('second', ts) > timestamp '2024-01-15 12:00:00'")
+def filter_ts_padded(spark, sf):
+    """Written dates with far more blanks around them than text."""
+    shown = F.concat(F.lit("  "), F.date_format("ts", "EEEE, MMMM d, yyyy H:mm:ss"), F.repeat(F.lit(" "), 100))
+    rows = table(spark, sf, "events").select("event_id", shown.alias("shown"))
+    return apply_recipe(rows, [where("shown", "GreaterThan", "2024-01-15T12:00:00", "Timestamp")])
+
+
 @query("filter_num_on_text_excludes", "select * from part where false")
 def filter_num_on_text_excludes(spark, sf):
     return apply_recipe(table(spark, sf, "part"), [where("p_name", "GreaterThan", "5", "Number")])

@@ -271,6 +271,31 @@ def structure(spark, sf):
     return structure_profile(order_lines(spark, sf), [])
 
 
+def repeating_lines(spark, sf) -> DataFrame:
+    """{"id", "user": {"a", "a"}, "user": 0}: members named twice, on two levels, in two
+    of three records."""
+    again = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(',"a":"second"')
+    user = F.when(F.col("o_orderkey") % 3 == 2, ',"user":0').otherwise("")
+    line = F.concat(F.lit('{"id":'), "o_orderkey", F.lit(',"user":{"a":'), "o_custkey", again, F.lit("}"), user, F.lit("}"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("position"), line.alias("line"))
+
+
+@query("drill_repeated_keys", """select cast(o_orderkey as varchar) as "#", cast(o_custkey as varchar) as a from orders""")
+def drill_repeated_keys(spark, sf):
+    return drill(repeating_lines(spark, sf), key_path("user"))
+
+
+@query("json_presence_repeated", "select o_orderkey as position, 'value' as presence from orders")
+def presence_repeated(spark, sf):
+    rows = records(repeating_lines(spark, sf))
+    return rows.select("position", J.presence(F.col("line"), F.col("record"), "user").alias("presence"))
+
+
+@query("json_structure_repeated", "select label, kind, count(*) as records from orders, (values ('id', 'number'), ('user', 'object')) t(label, kind) group by 1, 2")
+def structure_repeated(spark, sf):
+    return structure_profile(repeating_lines(spark, sf), [])
+
+
 # ------------------------------------------------------------ flatten, explode
 
 @query(

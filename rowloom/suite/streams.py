@@ -11,12 +11,13 @@ from ..recipes import Delete, Fill, FormatTimestamp, Rename, where
 from ..session import fresh_path
 from ..streaming.recipe import stream_drill, stream_recipe, stream_recipe_over_lines
 from ..streaming.schema import SchemaState, refine_schema
-from .registry import query, table
+from .registry import query, table, written
 
 
 def stream_of(spark, sf, name: str) -> DataFrame:
+    """The table as a stream, be it a file or a folder of files: a pattern may name either."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/{name}.parque[t]")
 
 
 def finished(spark, frame: DataFrame, label: str) -> DataFrame:
@@ -52,9 +53,21 @@ def drilled(spark, sf):
     return finished(spark, stream_drill(lines, key_path("k"), "event_id", ["k"]), "stream-drill")
 
 
-@query("stream_schema", "select 'k' as name, 'WholeNumber' as type, 'number' as label, false as nullable from events group by 1")
+@query(
+    "stream_schema",
+    """select 'id' as name, 'WholeNumber' as type, 'number' as label, false as nullable from events group by 1
+       union all select event_type, 'WholeNumber', 'number', true from events group by 1""",
+)
 def schema(spark, sf):
+    """Events in one file per kind, each with a key of its own, so that every batch of
+    the stream refines the schema of those before."""
+
+    def write(path: str) -> None:
+        value = F.concat(F.lit('{"id":'), "event_id", F.lit(',"'), "event_type", F.lit('":'), "user_id", F.lit("}"))
+        table(spark, sf, "events").select("event_type", value.alias("line")).repartition("event_type").write.partitionBy("event_type").parquet(path)
+
+    path = written(spark, sf, "events-by-kind", write)
     state = SchemaState(spark, fresh_path(spark, "stream-schema"))
-    lines = stream_of(spark, sf, "events").select(F.col("props").alias("line"))
+    lines = spark.readStream.schema("line string").option("maxFilesPerTrigger", 1).parquet(path).select("line")
     refine_schema(lines, state, fresh_path(spark, "stream-schema-checkpoint")).awaitTermination()
-    return json_schema(state.summary(0)).drop("first")
+    return json_schema(state.summary(state.last())).drop("first")

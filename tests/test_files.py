@@ -118,7 +118,7 @@ def test_native_mode_normalises(run):
 def test_header_names(spark, text_file):
     assert resolve_names(["name", None, " ", "age"]) == ["name", "Column2", "Column3", "age"]
     for bad in (["a", "a"], ["Column2", ""], ["Column2", None]):
-        with pytest.raises(ValueError, match="Duplicate column name"):
+        with pytest.raises(ValueError, match="Two columns are called"):
             resolve_names(bad)
     assert header_names(spark, text_file("h.csv", '﻿"a ""b""",,c\n1,2,3\n')) == ['a "b"', "Column2", "c"]
     assert resolve_names(["a", "A"]) == ["a", "A"]
@@ -148,13 +148,13 @@ def test_formats(spark, text_file, tmp_path):
         text_file(name, content)
     found = {row["path"].rsplit("/", 1)[1]: row for row in detect_formats(spark, str(tmp_path)).collect()}
     assert {name: row["format"] for name, row in found.items()} == expected
-    assert found["e.json"]["error"] == "Unrecognized JSON root token: '5'"
-    assert found["f.json"]["error"] == "File contains no valid JSON root token" and found["g.txt"]["error"] == "Unsupported file format: .txt"
+    assert found["e.json"]["error"] == "The JSON begins with '5'."
+    assert found["f.json"]["error"] == "The file holds no JSON." and found["g.txt"]["error"] == "Files of this kind are not read: .txt"
     assert format_of_path("x/Y.CSV") == "csv"
     for path in ("x.json", "x.txt", "x"):
         with pytest.raises(ValueError):
             format_of_path(path, allow_json=False)
-    with pytest.raises(ValueError, match="root token|Unsupported"):
+    with pytest.raises(ValueError, match="begins with|holds no JSON|not read"):
         read_mixed(spark, str(tmp_path), ["a"])
 
 

@@ -9,7 +9,7 @@ import pytest
 
 from rowloom.sources.csv import has_quoted_breaks, read_csv
 from rowloom.sources.json_documents import read_json_array, read_json_object
-from rowloom.sources import splitting
+from rowloom.sources import scan, splitting
 
 PIECES = ["x,]}\"\\", '{["é', "", "\\", "\\\\\"", "a\nb", "日本語", "]", '",', "}}}"]
 
@@ -92,7 +92,7 @@ def test_broken_rows_follow_the_ragged_rule(spark, text_file):
 
 def test_without_broadcast(spark, text_file, tiny_splits, monkeypatch):
     """So many splits that their states are joined by a shuffle instead."""
-    monkeypatch.setattr(splitting, "MAX_BROADCAST_SPLITS", 0)
+    monkeypatch.setattr(scan, "MAX_BROADCAST_BYTES", 0)
     rnd = random.Random(6)
     data = [random_value(rnd) for _ in range(150)]
     rows = read_json_array(spark, text_file("s.json", json.dumps(data)))
