@@ -5,9 +5,10 @@ class are ordered rare first; two sets that are similar enough share an n-gram a
 their first few (their prefixes). Classes meet on such an n-gram, pairs pass a length, a
 positional and a suffix filter, and each pair that is left is verified once.
 
-N-grams are 64-bit hashes. The order only has to be the same everywhere, so frequencies
-come from a table of counters of fixed size, filled from all documents, in which n-grams
-with the same leading hash bits share a counter.
+N-grams are 64-bit hashes. The order only has to be the same everywhere. An n-gram is at
+most as frequent as its rarest word, so n-grams are ordered by that word's count, from a
+table of counters of fixed size, filled from all documents, in which words with the same
+leading hash bits share a counter.
 
 Where an n-gram is in more than `hot` prefixes, its pairs are not made as rows: classes
 connected by such n-grams are a family, cut into blocks by length and hash, and each task
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import components, cut, texts
-from .text import WordHashes, lower_words, shingle_set
+from .text import WordHashes, lower_words, shingle_set, window_hashes
 
-COUNTER_BITS, HOT, BLOCK_CLASSES, BLOCK_SHINGLES, RANGES = 20, 128, 512, 2_000_000, 16
+COUNTER_BITS, HOT, BLOCK_CLASSES, BLOCK_SHINGLES, RANGES = 22, 128, 512, 2_000_000, 16
 
 
 def needed(size: int, percent: int) -> int:
@@ -43,16 +44,16 @@ def join_ngrams(docs: DataFrame, n: int = 3, percent: int = 90, hot: int = HOT)
     document's own if it has none; n_links counts the other rows linked directly.
 
     Text that is null or without words has an empty set and links with nothing. A text of
-    fewer than n words has one n-gram, all its words. Rows with the same doc_id are one
-    document. A row without doc_id gets no component. An empty table gives an empty table.
+    fewer than n words has one n-gram, all its words. Repeated rows are copies. A row without doc_id gets no component. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     source = texts(docs)
-    counters = spark.sparkContext.broadcast(counted(source, n))
+    counters = spark.sparkContext.broadcast(counted(source))
     rows = cut(source.mapInArrow(lambda batches: prefixes(batches, counters.value, n, percent), "doc_id long, size int, f1 long, f2 long, head array<long>, ranges array<int>"), "prefixes")
 
-    classes = rows.where("size > 0 and doc_id is not null").groupBy("f1", "f2").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("head").alias("head"), F.first("ranges").alias("ranges")
+    # A class is named by the hash of its set, and stands for its smallest doc_id.
+    classes = rows.where("size > 0 and doc_id is not null").groupBy(F.col("f1").alias("rep"), "f2").agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("head").alias("head"), F.first("ranges").alias("ranges")
     )
     classes = cut(classes, "classes")
     postings = classes.select("rep", "size", F.posexplode("head").alias("at", "token"))
@@ -60,47 +61,43 @@ def join_ngrams(docs: DataFrame, n: int = 3, percent: int = 90, hot: int = HOT)
     postings = cut(postings.join(met, "token"), "postings")
 
     family = families(postings.where(F.col("n") > hot))
-    facts = classes.select("rep", "copies", "ranges").join(postings.select("rep").distinct(), "rep", "left_semi")
-    cold = postings.where(F.col("n") <= hot).join(facts, "rep").join(family, "rep", "left")
-    pairs = cut(paired(cold, percent), "pairs")
-
+    facts = classes.select("rep", "ranges").join(family, "rep", "left")
+    pairs = cut(paired(postings.where(F.col("n") <= hot), facts, percent), "pairs")
     blocks = cut(blocked(family.join(classes.select("rep", "size", "copies"), "rep")), "blocks")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(blocks.select("rep")).distinct()
-    chosen = source.join(wanted, "doc_id", "left_semi")
-    sets = cut(chosen.mapInArrow(lambda batches: sets_of(batches, n), "rep long, grams binary").dropDuplicates(["rep"]), "sets")
+
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(blocks.select("rep")).distinct()
+    ids = classes.join(wanted, "rep", "left_semi").select(F.col("least").alias("doc_id"))
+    sets = cut(source.join(ids, "doc_id", "left_semi").mapInArrow(lambda batches: sets_of(batches, n), "rep long, grams binary").dropDuplicates(["rep"]), "sets")
 
     sizes = classes.select("rep", "copies")
     left, right = sets.toDF("a", "grams_a"), sets.toDF("b", "grams_b")
     links = pairs.join(left, "a").join(right, "b").mapInArrow(lambda batches: verified(batches, percent), "a long, b long")
     links = links.join(sizes.toDF("a", "copies_a"), "a").join(sizes.toDF("b", "copies_b"), "b")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("copies_b").alias("links")), F.struct(F.col("b").alias("rep"), F.col("copies_a").alias("links"))))
     compared = blocks.join(sets, "rep").groupBy("family", "low", "high", "i", "j").applyInArrow(lambda table: within(table, percent), "a long, b long, links long")
-    found = cut(
-        links.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("copies_b").alias("links")), F.struct(F.col("b").alias("rep"), F.col("copies_a").alias("links")))).alias("of")).select("a", "b", "of.rep", "of.links")
-        .union(compared.select("a", "b", F.when(F.col("b").isNull(), F.col("a")), "links")),
-        "links",
-    )
+    found = cut(links.select("a", "b", ends.alias("of")).select("a", "b", "of.rep", "of.links").union(compared.select("a", "b", F.when(F.col("b").isNull(), F.col("a")), "links")), "links")
+
     component = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
+    linked = component.join(classes.select("rep", "least"), "rep")
+    component = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("rep", "component_id")
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.select("f1", "f2", "rep", "copies").join(component, "rep", "left").join(degree, "rep", "left").select(
-        "f1", "f2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
-    )
-    thin = rows.select("doc_id", "size", "f1", "f2")
-    alone = thin.where("size = 0 or doc_id is null").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    joined = thin.where("size > 0 and doc_id is not null").join(of_class, ["f1", "f2"]).select(
-        "doc_id", F.col("size").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links")
+    of_class = classes.select("rep", "f2", "least", "copies").join(component, "rep", "left").join(degree, "rep", "left").select(
+        F.col("rep").alias("f1"), "f2", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
+    thin = rows.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "f1", "f2")
+    joined = thin.where("n_shingles > 0 and doc_id is not null").join(of_class, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id", "n_links")
+    alone = thin.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return joined.union(alone)
 
 
-def counted(source: DataFrame, n: int) -> np.ndarray:
-    """How many documents hold the n-grams of each counter: 2**20 numbers at every size of input."""
+def counted(source: DataFrame) -> np.ndarray:
+    """How often the words of each counter occur: 2**22 numbers at every size of input."""
 
     def tally(batches):
         counts, hashes, shift = np.zeros(1 << COUNTER_BITS, np.int64), WordHashes(), np.uint64(64 - COUNTER_BITS)
         for batch in batches:
             for text in batch.column(1):
-                grams = shingle_set(hashes.of(lower_words(text.as_py())), n)
-                np.add.at(counts, (grams >> shift).astype(np.int64), 1)
+                np.add.at(counts, (hashes.of(lower_words(text.as_py())) >> shift).astype(np.int64), 1)
         at = np.flatnonzero(counts)
         for first in range(0, len(at), 100_000):
             part = at[first : first + 100_000]
@@ -112,15 +109,25 @@ def counted(source: DataFrame, n: int) -> np.ndarray:
     return counts
 
 
+def rare_first(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of a text's words, and their order: by the counter of their
+    rarest word, then by hash."""
+    n = min(n, len(hashes))
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    of_words = counts[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+    rarest = np.lib.stride_tricks.sliding_window_view(of_words, n).min(1)
+    grams, at = np.unique(window_hashes(hashes, n), return_index=True)
+    return grams, np.lexsort((grams, rarest[at]))
+
+
 def prefixes(batches, counts: np.ndarray, n: int, percent: int):
-    hashes, shift = WordHashes(), np.uint64(64 - COUNTER_BITS)
+    hashes = WordHashes()
     for batch in batches:
         sizes, first, second, heads, ranges = [], [], [], [], []
         for text in batch.column(1):
-            grams = shingle_set(hashes.of(lower_words(text.as_py())), n)
-            digest = xxhash.xxh3_128_digest(grams.tobytes())
-            f1, f2 = np.frombuffer(digest, np.int64)
-            order = np.lexsort((grams, counts[(grams >> shift).astype(np.int64)]))
+            grams, order = rare_first(hashes.of(lower_words(text.as_py())), counts, n)
+            f1, f2 = class_of(grams.tobytes())
             heads.append(grams[order[: len(grams) - needed(len(grams), percent) + 1]].view(np.int64))
             sizes.append(len(grams))
             first.append(f1)
@@ -140,23 +147,24 @@ def families(hot: DataFrame) -> DataFrame:
     return cut(first.join(parts.select(F.col("node").alias("first"), F.col("component").alias("family")), "first", "left").select("rep", F.coalesce("family", "first").alias("family")), "families")
 
 
-def paired(cold: DataFrame, percent: int) -> DataFrame:
+def paired(cold: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that meet on an n-gram and pass the filters.
 
     With the overlap that the sizes call for, a pair goes if the sizes differ too much, if
     what follows the meeting point is too short, or if sixteen ranges of hash values show
-    more differing n-grams than there may be."""
-    a = cold.select("token", *[F.col(c).alias(f"{c}_a") for c in ("rep", "size", "at", "ranges", "family")])
-    b = cold.select("token", *[F.col(c).alias(f"{c}_b") for c in ("rep", "size", "at", "ranges", "family")])
+    more differing n-grams than there may be. Pairs of one family are left to its blocks."""
+    a, b = (cold.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "size", "at")]) for side in "ab")
     both = F.col("size_a") + F.col("size_b")
     overlap = F.ceil(F.lit(percent) * both / (100 + percent))
-    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
     met = a.join(b, (a["token"] == b["token"]) & (F.col("rep_a") < F.col("rep_b"))).where(
         (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-        & (F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= overlap - F.least("at_a", "at_b"))
-        & ~F.coalesce(F.col("family_a") == F.col("family_b"), F.lit(False))
+        & (F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= overlap)
     )
-    return met.where(apart <= both - 2 * overlap).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    pairs = met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "size_a", "size_b").distinct()
+    for side in "ab":
+        pairs = pairs.join(facts.select(F.col("rep").alias(side), F.col("ranges").alias(f"ranges_{side}"), F.col("family").alias(f"family_{side}")), side)
+    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    return pairs.where((apart <= both - 2 * overlap) & ~F.coalesce(F.col("family_a") == F.col("family_b"), F.lit(False))).select("a", "b")
 
 
 def blocked(members: DataFrame) -> DataFrame:
@@ -192,7 +200,12 @@ def sets_of(batches, n: int):
     hashes = WordHashes()
     for batch in batches:
         grams = [shingle_set(hashes.of(lower_words(text.as_py())), n).tobytes() for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(grams, pa.binary())], ["rep", "grams"])
+        names = [class_of(x)[0] for x in grams]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(grams, pa.binary())], ["rep", "grams"])
+
+
+def class_of(grams: bytes) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(grams), np.int64)
 
 
 def verified(batches, percent: int):
