@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,8 +74,9 @@ def _framed(opening: str, closing: str):
         lead = opening
         for batch in batches:
             if batch.num_rows:
-                texts = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_pydict({"value": [lead + texts[0], *("," + t for t in texts[1:])]})
+                before = pa.concat_arrays([pa.array([lead]), pa.repeat(",", batch.num_rows - 1)])
+                texts = pc.binary_join_element_wise(before, batch.column(0), "")
+                yield pa.RecordBatch.from_arrays([texts], ["value"])
                 lead = ","
         yield pa.RecordBatch.from_pydict({"value": [closing if lead == "," else opening + closing]})
 

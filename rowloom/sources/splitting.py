@@ -5,9 +5,9 @@ quoted line breaks can only be told apart by what precedes them: a comma or line
 break counts unless a string is open or nesting is deeper. Reading such a file
 whole would put it into one task. Instead:
 
-1. Every file split is summarised on its own: whether it flips the string state,
+1. Every file split is summarised on its own: in which string state it ends,
    how far it moves the nesting depth, and how many cut marks it has per depth,
-   both for the case that it starts outside a string and inside one.
+   each for the case that it starts outside a string and inside one.
 2. These summaries, one row per split, are summed up in file order. Now the state
    at the start of every split is known.
 3. Every split cuts its text. Records inside a split are final; only the pieces
@@ -18,7 +18,7 @@ The record text itself is never shuffled, apart from those end pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,11 +35,14 @@ _NOT_A_MARK = 9
 
 @dataclass(frozen=True)
 class Grammar:
-    """Which bytes open (+1), close (-1) or separate (0), and string escapes."""
+    """Which bytes open (+1), close (-1) or separate (0), and how strings begin:
+    at any quote that no backslash escapes, or only after one of ``before_quote``,
+    a quote elsewhere outside a string being text."""
 
     marks: tuple[tuple[str, int], ...]
     start_depth: int
     backslash_escapes: bool
+    before_quote: str = ""
 
     def moves(self) -> np.ndarray:
         table = np.full(256, _NOT_A_MARK, np.int8)
@@ -50,20 +53,39 @@ class Grammar:
 
 # A cut is any mark at depth 1: the root's brackets and the commas in between.
 JSON_ROOT = Grammar((("[", 1), ("{", 1), ("]", -1), ("}", -1), (",", 0)), 0, True)
-CSV_ROWS = Grammar((("\n", 0),), 1, False)
+CSV_ROWS = Grammar((("\n", 0),), 1, False, ",\n")
 
 
-def _marks(text: np.ndarray, grammar: Grammar, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Positions, moves and quote parity of all marks, and the parity at the end."""
+def _marks(text: np.ndarray, grammar: Grammar, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and moves of all marks; for both states at the start (outside, inside
+    a string) the state at each mark, and the state at the end.
+
+    ``text`` begins where a record may begin: after a separator of the scan."""
     quotes = np.flatnonzero(text == ord('"'))
+    closes_only = np.zeros(quotes.size, np.bool_)
     if grammar.backslash_escapes and quotes.size:
         slashes = np.flatnonzero(text == ord("\\"))
         if slashes.size:
             quotes = quotes[_run_before(quotes, slashes) % 2 == 0]
+        closes_only = np.zeros(quotes.size, np.bool_)
+    elif grammar.before_quote and quotes.size:
+        # Runs of an even number leave the state as it is: empty cells, escaped quotes.
+        first = np.flatnonzero(np.diff(quotes, prepend=-2) > 1)
+        odd = np.diff(np.append(first, quotes.size)) % 2 == 1
+        quotes = quotes[first[odd]]
+        before = text[np.maximum(quotes - 1, 0)]
+        closes_only = (quotes > 0) & ~np.isin(before, np.frombuffer(grammar.before_quote.encode(), np.uint8))
+    # A quote toggles the state; one that cannot open a string only closes one. Behind
+    # such a quote the state no longer depends on the start.
+    toggles = np.cumsum(~closes_only)
+    last_close = np.maximum.accumulate(np.where(closes_only, np.arange(quotes.size), -1))
+    since = toggles - np.where(last_close >= 0, toggles[np.maximum(last_close, 0)], 0)
+    free = (last_close < 0).astype(np.int64)
+    after = np.stack([since & 1, (since + free) & 1])
+    states = np.concatenate([np.array([[0], [1]]), after], axis=1)
     move = moves[text]
     at = np.flatnonzero(move != _NOT_A_MARK)
-    parity = np.searchsorted(quotes, at) & 1
-    return at, move[at], parity, int(quotes.size & 1)
+    return at, move[at], states[:, np.searchsorted(quotes, at)], states[:, -1]
 
 
 def _run_before(places: np.ndarray, marked: np.ndarray) -> np.ndarray:
@@ -101,9 +123,9 @@ def _by_split(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Rec
             yield (part.column(0)[0].as_py(), part.column(1)[0].as_py()), part
 
 
-_SUMMARY = f"{FILE} bigint, {BLOCK} bigint, flips int, moves array<bigint>, marks array<map<bigint,bigint>>"
+_SUMMARY = f"{FILE} bigint, {BLOCK} bigint, ends array<int>, moves array<bigint>, marks array<map<bigint,bigint>>"
 _ARROW_SUMMARY = pa.schema([
-    (FILE, pa.int64()), (BLOCK, pa.int64()), ("flips", pa.int32()), ("moves", pa.list_(pa.int64())),
+    (FILE, pa.int64()), (BLOCK, pa.int64()), ("ends", pa.list_(pa.int32())), ("moves", pa.list_(pa.int64())),
     ("marks", pa.list_(pa.map_(pa.int64(), pa.int64()))),
 ])
 
@@ -111,39 +133,51 @@ _ARROW_SUMMARY = pa.schema([
 def _summarise(grammar: Grammar, separator: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moves = grammar.moves()
-        split, flips, depth, counts = None, 0, [0, 0], [{}, {}]
+        split, ends, depth, counts = None, [0, 1], [0, 0], [{}, {}]
 
         def finished() -> pa.RecordBatch:
-            row = {FILE: split[0], BLOCK: split[1], "flips": flips, "moves": depth, "marks": [list(c.items()) for c in counts]}
+            row = {FILE: split[0], BLOCK: split[1], "ends": ends, "moves": depth, "marks": [list(c.items()) for c in counts]}
             return pa.RecordBatch.from_pylist([row], _ARROW_SUMMARY)
 
         for key, batch in _by_split(batches):
             if key != split:
                 if split is not None:
                     yield finished()
-                split, flips, depth, counts = key, 0, [0, 0], [{}, {}]
-            _, move, parity, flip = _marks(_joined(batch.column(2), separator), grammar, moves)
+                split, ends, depth, counts = key, [0, 1], [0, 0], [{}, {}]
+            _, move, states, final = _marks(_joined(batch.column(2), separator), grammar, moves)
             for inside in (0, 1):  # the split starts outside / inside a string
-                chosen = move[(parity ^ flips) == inside]
+                chosen = move[states[ends[inside]] == 0]
                 levels, amounts = np.unique(_levels(chosen) + depth[inside], return_counts=True)
                 for level, amount in zip(levels.tolist(), amounts.tolist(), strict=True):
                     counts[inside][level] = counts[inside].get(level, 0) + amount
                 depth[inside] += int(chosen.sum(dtype=np.int64))
-            flips ^= flip
+            ends = [int(final[state]) for state in ends]
         if split is not None:
             yield finished()
 
     return run
 
 
-def _starts(summaries: DataFrame, grammar: Grammar) -> DataFrame:
-    """State at the start of every split: in a string, depth, cuts so far."""
-    before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    inside = summaries.withColumn("inside", (F.coalesce(F.sum("flips").over(before), F.lit(0)) % 2).cast("int"))
-    moved = inside.select(FILE, BLOCK, "inside", F.col("moves")[F.col("inside")].alias("move"), F.col("marks")[F.col("inside")].alias("levels"))
+def _starts(summaries: DataFrame, grammar: Grammar, end_depths: Collection[int]) -> DataFrame:
+    """State at the start of every split: in a string, depth, cuts so far; and whether
+    its file ends in a string or at another depth than one of ``end_depths``, which
+    means that it is cut short."""
+    ordered = Window.partitionBy(FILE).orderBy(BLOCK)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # A split either keeps or flips the state it starts with, or ends in one all the same.
+    outside, within = F.col("ends")[0], F.col("ends")[1]
+    flips = summaries.withColumn("flip", ((outside == 1) & (within == 0)).cast("int")).withColumn("so_far", F.sum("flip").over(ordered))
+    settled = F.when(outside == within, (outside + F.col("so_far")) % 2)
+    known = F.coalesce(F.last(settled, ignorenulls=True).over(before), F.lit(0))
+    inside = flips.withColumn("inside", ((known + F.coalesce(F.sum("flip").over(before), F.lit(0))) % 2).cast("int"))
+    moved = inside.select(
+        FILE, BLOCK, "inside", F.col("moves")[F.col("inside")].alias("move"), F.col("marks")[F.col("inside")].alias("levels"), F.col("ends")[F.col("inside")].alias("end"),
+    )
     depth = moved.withColumn("depth", F.coalesce(F.sum("move").over(before), F.lit(0)) + grammar.start_depth)
     cuts = depth.withColumn("cuts", F.coalesce(F.try_element_at("levels", (1 - F.col("depth")).cast("bigint")), F.lit(0)))
-    return cuts.select(FILE, BLOCK, "inside", "depth", F.coalesce(F.sum("cuts").over(before), F.lit(0)).alias("number"))
+    cut_short = (F.last("end").over(whole) == 1) | ~F.sum("move").over(whole).isin(list(end_depths))
+    return cuts.select(FILE, BLOCK, "inside", "depth", F.coalesce(F.sum("cuts").over(before), F.lit(0)).alias("number"), cut_short.alias("cut_short"))
 
 
 _PIECE = f"{FILE} bigint, {BLOCK} bigint, number bigint, text string, closed boolean"
@@ -185,11 +219,11 @@ def _cut(grammar: Grammar, separator: str, whole: bool):
                 split, open_piece, is_first = key, [], True
                 inside, depth, number = (batch.column(c)[0].as_py() for c in (3, 4, 5))
             data = _joined(batch.column(2), separator)
-            at, move, parity, flip = _marks(data, grammar, moves)
-            outside = (parity ^ inside) == 0
+            at, move, states, final = _marks(data, grammar, moves)
+            outside = states[inside] == 0
             at, move = at[outside], move[outside]
             cuts = at[_levels(move) + depth == 1]
-            inside ^= flip
+            inside = int(final[inside])
             depth += int(move.sum(dtype=np.int64))
             if not cuts.size:
                 open_piece.append(data.tobytes())
@@ -228,12 +262,21 @@ def _file_names(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, int,
     return names.withColumn(FILE, _file_key(F.col("file"), salt)), salt, amount
 
 
-def split_records(spark: SparkSession, path: str | list[str], grammar: Grammar, separator: str, with_file: bool = True) -> DataFrame:
+def split_records(
+    spark: SparkSession, path: str | list[str], grammar: Grammar, separator: str, with_file: bool = True, on_damage: str = "fail",
+    root: str = "",
+) -> DataFrame:
     """(file, number, text): the stretches between cut marks, numbered per file.
 
     ``separator`` is what the text source is cut at when it is read; any byte that
     turns up often enough and never follows a backslash will do.
+
+    ``on_damage``: a file that ends inside a string or inside brackets fails the run
+    ("fail"), or what follows its last cut mark is a stretch as well ("row"). ``root``:
+    the bracket that closes the document, where there is one.
     """
+    if on_damage not in ("fail", "row"):
+        raise ValueError(f"Unknown on_damage '{on_damage}'.")
     paths = [path] if isinstance(path, str) else list(dict.fromkeys(path))
     names, salt, files = _file_names(spark, paths)
     pieces = spark.read.option("lineSep", separator).text(paths).select(
@@ -243,7 +286,12 @@ def split_records(spark: SparkSession, path: str | list[str], grammar: Grammar,
         F.monotonically_increasing_id().alias(STEP),
     )
     summaries = pieces.select(FILE, BLOCK, "value").mapInArrow(_summarise(grammar, separator), _SUMMARY)
-    starts = _starts(summaries, grammar)
+    # A separator is put after the last piece as well, unless the file ends with one.
+    added = dict(grammar.marks).get(separator, 0)
+    starts = _starts(summaries, grammar, {0, added} if root == separator else {added})
+    if on_damage == "fail":
+        failure = F.raise_error("A file ends inside a string or inside brackets.").cast("boolean")
+        starts = starts.where(F.when(F.col("cut_short"), failure).otherwise(True))
     columns = [FILE, BLOCK, "value", "inside", "depth", "number"]
     if may_broadcast(pieces):
         placed = pieces.join(F.broadcast(starts), [FILE, BLOCK]).select(columns)
@@ -257,7 +305,8 @@ def split_records(spark: SparkSession, path: str | list[str], grammar: Grammar,
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(BLOCK, "text"))), lambda p: p["text"]), "").alias("text"),
         F.bool_or("closed").alias("closed"),
     )
-    records = inner.select(FILE, "number", "text").unionByName(stitched.where("closed").select(FILE, "number", "text"))
+    complete = "closed" if on_damage == "fail" else r"closed or not rlike(text, '^[ \\t\\r\\n]*$')"
+    records = inner.select(FILE, "number", "text").unionByName(stitched.where(complete).select(FILE, "number", "text"))
     if not with_file:
         return records.select("number", "text")
     named = records.join(F.broadcast(names) if files <= MAX_BROADCAST_FILES else names, FILE)

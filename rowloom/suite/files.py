@@ -14,7 +14,8 @@ from ..sources.csv import header_names, read_csv
 from ..sources.json_documents import read_json_array, read_json_object
 from ..sources.jsonl import JsonLinesCell, key_names, key_union, read_jsonl, read_jsonl_columns, read_lines, with_cells
 from ..sources.mixed import read_mixed
-from ..sources.scan import page, row_count, row_ranges, with_position
+from ..sources.scan import page, range_size, row_ranges, with_position
+from ..sources.splitting import CSV_ROWS, split_records
 from .registry import query, table, written
 
 
@@ -282,6 +283,55 @@ def ranges(spark, sf):
     return row_ranges(table(spark, sf, "events"), "event_id", 1000)
 
 
+@query(
+    "row_ranges_of_file",
+    """select (n - 1) // 1000 as bucket, min(n) as first_row, max(n) as last_row, count(*) as rows
+       from (select row_number() over (order by o_orderkey) as n from orders) group by 1""",
+)
+def ranges_of_file(spark, sf):
+    """Ranges over the places of lines in files, as wide as the size of the files calls for."""
+    lines = with_position(read_lines(spark, ordered_lines(spark, sf)))
+    total = read_lines(spark, ordered_lines(spark, sf)).agg(F.sum(F.octet_length("line") + 1)).first()[0] or 0
+    return row_ranges(lines, "position", range_size(total), start=1)
+
+
 @query("row_count", "select count(*) as total from lineitem")
 def count(spark, sf):
-    return spark.createDataFrame([(row_count(table(spark, sf, "lineitem")),)], "total bigint")
+    return table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query(
+    "csv_stray_quotes",
+    """select cast(doc_id as varchar) as doc_id, '5" ' || source as size, replace(text, chr(10), ' ') as text, breaks
+       from documents, (values (true), (false)) t(breaks)""",
+)
+def csv_stray_quotes(spark, sf):
+    """Quotes inside unquoted cells are text, whichever way the file is read."""
+
+    def write(path: str) -> None:
+        text = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""'))
+        rows = table(spark, sf, "documents").select(F.concat("doc_id", F.lit(',5" '), "source", F.lit(',"'), text, F.lit('"')).alias("value"))
+        rows.write.text(path)
+
+    path = written(spark, sf, "documents-stray-quotes", write)
+    names = ["doc_id", "size", "text"]
+    # These files have no header, so no row is given up for one.
+    cut = split_records(spark, path, CSV_ROWS, "\n", with_file=False)
+    parsed = F.from_csv("text", ", ".join(f"{n} string" for n in names), {"sep": ",", "quote": '"', "escape": '"'})
+    plain = spark.read.options(sep=",", quote='"', escape='"').schema(", ".join(f"{n} string" for n in names)).csv(path)
+    return cut.select(parsed.alias("row")).select("row.*", F.lit(True).alias("breaks")).unionByName(plain.withColumn("breaks", F.lit(False)))
+
+
+@query("csv_no_rows", "select 'r_regionkey,r_name' as line from region limit 1")
+def csv_no_rows(spark, sf):
+    """A recipe that keeps no row still writes the header."""
+    path = written(spark, sf, "region-no-rows", lambda p: write_csv(apply_recipe(table(spark, sf, "region").coalesce(1), [where("r_name", "Equals", "nowhere")]), p))
+    return read_lines(spark, path).distinct()
+
+
+@query("jsonl_no_columns", "select '{}' as line from events")
+def jsonl_no_columns(spark, sf):
+    """A recipe that deletes every column still writes a line for each row."""
+    rows = table(spark, sf, "events")
+    path = written(spark, sf, "events-no-columns", lambda p: write_jsonl(json_lines(apply_recipe(rows, [Delete(c) for c in rows.columns])), p))
+    return read_lines(spark, path)

@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from ..functions import json_cells as J
 from ..functions.types import ColumnType
 from ..operators.drill import (
-    apply_to_drilled, drill, drill_node, index, infer_leaves, json_children, key, key_path, leaf_table, structure_profile,
+    apply_to_drilled, drill, drill_node, drill_single, index, infer_leaves, json_children, key, key_path, leaf_table, structure_profile,
 )
 from ..operators.flatten import explode_array, flatten_object
 from ..plans.apply import project
 from ..plans.cells import json_string
 from ..plans.run import recipe_over_lines
 from ..recipes import Cast, Delete, Fill, Rename, where
+from ..sinks.files import write_json_object
+from ..sources.json_documents import read_json_object
 from ..sources.jsonl import records, with_cells, with_shown
-from .registry import query, table
+from .registry import query, table, written
 
 
 def event_lines(spark, sf) -> DataFrame:
@@ -253,6 +255,43 @@ def drill_each_node(spark, sf):
     return leaf_table(rows, ["name", "text", "extra"], keep=["id"])
 
 
+@query(
+    "drill_single_node",
+    """select 'table' as node, '[' || r.i || ']' as "#", n_name as name, cast(null as varchar) as error from
+         (select n_name, row_number() over (order by n_nationkey) - 1 as i from nation where n_regionkey = 1) r
+       union all select 'text', null, null, 'The node is no array.' from region where r_regionkey = 1
+       union all select 'numbers', null, null, 'The array holds something else than objects.' from region where r_regionkey = 1
+       union all select 'nothing', null, null, 'The array has no elements.' from region where r_regionkey = 1
+       union all select 'blanks', null, null, 'What the path reaches has no members.' from region where r_regionkey = 1
+       union all select 'broken', null, null, 'The node is not JSON.' from region where r_regionkey = 1""",
+)
+def drill_single_node(spark, sf):
+    """Entries of a JSON Object file, each taken as the one chosen node: a table, or its error."""
+
+    def write(path: str) -> None:
+        names = table(spark, sf, "nation").where("n_regionkey = 1")
+        ordered = F.array_sort(F.collect_list(F.struct("n_nationkey", F.col("n_name").alias("name"))))
+        listed = names.groupBy("n_regionkey").agg(ordered.alias("all"))
+        values = {
+            "table": F.to_json(F.transform("all", lambda x: F.struct(x["name"].alias("name")))), "text": F.concat(F.lit('"'), F.col("all")[0]["name"], F.lit('"')),
+            "numbers": F.to_json(F.transform("all", lambda x: x["n_nationkey"])), "nothing": F.lit("[]"), "blanks": F.lit("[{},{}]"),
+        }
+        entries = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()]))
+        write_json_object(listed.select(entries.alias("e")).select("e.*").coalesce(1), path)
+
+    entries = read_json_object(spark, written(spark, sf, "nodes-object", write))
+    broken = table(spark, sf, "region").where("r_regionkey = 1").select(F.lit("broken").alias("key"), F.concat(F.lit("[{"), "r_name").alias("line"))
+    out = None
+    for name in ("table", "text", "numbers", "nothing", "blanks", "broken"):
+        node = (broken if name == "broken" else entries.select("key", "line")).where(F.col("key") == name).select("line")
+        try:
+            found = drill_single(node).select(F.lit(name).alias("node"), "#", "name", F.lit(None).cast("string").alias("error"))
+        except ValueError as error:
+            found = node.select(F.lit(name).alias("node"), F.lit(None).cast("string").alias("#"), F.lit(None).cast("string").alias("name"), F.lit(str(error)).alias("error"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(
     "json_children",
     """select o_orderkey as position, 'key' as label, 'number' as kind, 'key: ' || o_custkey as display from orders

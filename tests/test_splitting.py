@@ -107,3 +107,70 @@ def test_backslash_runs():
     quotes, slashes = np.flatnonzero(raw == 34), np.flatnonzero(raw == 92)
     expected = [len(text[:q]) - len(text[:q].rstrip(b"\\")) for q in quotes]
     assert splitting._run_before(quotes, slashes).tolist() == expected
+
+
+@pytest.mark.parametrize("text", ['[{"a":1},{"a":2},{"a":3}', "[1,2", '[{"a":"x', '[{"a":1},'])
+def test_array_cut_short(spark, text_file, text):
+    path = text_file("cut.json", text)
+    with pytest.raises(Exception, match="ends inside"):
+        read_json_array(spark, path).collect()
+    assert read_json_array(spark, path, on_damage="row").count() == text.count("{") or text == "[1,2"
+
+
+def test_object_cut_short(spark, text_file):
+    with pytest.raises(Exception, match="ends inside"):
+        read_json_object(spark, text_file("cut.json", '{"a":1,"b":2,"c":{"d":')).collect()
+    assert read_json_object(spark, text_file("long.json", '{"' + "k" * 50_000 + '":1}')).count() == 1
+
+
+@pytest.mark.parametrize("separator", ["}", ","])
+@pytest.mark.parametrize("text", ['[{"a":1},{"b":[2]}]', "[1,2]\n", "[]", '[{"a":{"b":1}}] \n'])
+def test_whole_arrays(spark, text_file, separator, text):
+    rows = read_json_array(spark, text_file("w.json", text), separator).collect()
+    assert [json.loads(r.line) for r in sorted(rows, key=lambda r: r.position)] == json.loads(text)
+
+
+def test_stray_and_unclosed_quotes(spark, text_file, tiny_splits):
+    path = text_file("stray.csv", 'a,b\nk,0\n5" pipe,1\nx,2\ny,3\n"q""",""\n')
+    expected = [("5\" pipe", "1"), ("k", "0"), ("q\"", ""), ("x", "2"), ("y", "3")]
+    for breaks in (None, True, False):
+        assert sorted(tuple(r) for r in read_csv(spark, path, quoted_breaks=breaks).collect()) == expected
+    path = text_file("open.csv", 'a,b\n1,"x\ny\n2,z\n')
+    with pytest.raises(Exception, match="ends inside"):
+        read_csv(spark, path).collect()
+    assert [r.a for r in read_csv(spark, path, on_damage="row").collect()] == ["1"]
+
+
+def test_header_of_every_file(spark, tmp_path):
+    for name, text in (("1.csv", "x,y\n1,2\n"), ("2.csv", "y,x\n9,8\n")):
+        (tmp_path / name).write_text(text)
+    for breaks in (True, False):
+        with pytest.raises(Exception, match="header"):
+            read_csv(spark, str(tmp_path), quoted_breaks=breaks).collect()
+
+
+def test_quote_states_against_one_pass():
+    import numpy as np
+
+    rnd = random.Random(8)
+    for _ in range(300):
+        text = "".join(rnd.choice('a",\n') for _ in range(rnd.randrange(14)))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        at, _, states, final = splitting._marks(raw, splitting.CSV_ROWS, splitting.CSV_ROWS.moves())
+        for start in (0, 1):
+            inside, k, seen = start, 0, []
+            while k < len(text):
+                if text[k] == '"':
+                    if inside and text[k + 1 : k + 2] == '"':
+                        k += 1
+                    elif inside:
+                        inside = 0
+                    elif k == 0 or text[k - 1] in ",\n":
+                        inside = 1
+                elif text[k] == "\n":
+                    seen.append(inside)
+                k += 1
+            # Inside a string at the start of a text that begins with quotes is the one
+            # case a text cannot show; runs of quotes never reach over a line break.
+            if not (start and text[:1] == '"'):
+                assert states[start].tolist() == seen and final[start] == inside, text
