@@ -5,7 +5,13 @@ import io
 
 import pytest
 
+from rowloom.operators.drill import drill, key_path
+from rowloom.session import shared_folder
+from rowloom.sources import scan
+from rowloom.sources.jsonl import read_lines
+from rowloom.sources.scan import with_position
 from rowloom.suite import QUERIES
+from rowloom.suite.json_cells import order_lines
 from rowloom.suite.registry import table
 from rowloom.plans.apply import apply_recipe
 from rowloom.recipes import Delete, where
@@ -69,3 +75,28 @@ def test_profiles_aggregate_before_the_shuffle(spark):
     for name in ("schema_csv_nullable", "schema_jsonl", "json_keys_union"):
         plan = plan_of(QUERIES[name](spark, SF))
         assert plan.count("HashAggregate") >= 2 and "SortAggregate" not in plan.split("Window")[0]
+
+
+def test_drill_parses_each_record_once(spark):
+    """Once as it stands, once more only for lines written anew."""
+    frame = drill(order_lines(spark, SF), key_path("facts"), schema=["name", "text"])
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(line") + plan.count("try_parse_json(line") <= 1
+
+
+def test_positions_of_many_splits_shuffle_no_text(spark, monkeypatch, text_file):
+    """100 TB are about 800,000 splits of 128 MB."""
+    monkeypatch.setattr(scan, "split_bound", lambda df: 800_000)
+    frame = with_position(read_lines(spark, text_file("many.txt", "a\nb\nc\n")))
+    assert sorted((r.line, r.position) for r in frame.collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    plan = plan_of(frame)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_no_local_folder_on_a_cluster():
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+        sparkContext = type("Context", (), {"master": "yarn", "getConf": lambda self: type("C", (), {"get": lambda self, key: None})()})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster())
