@@ -17,7 +17,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from rowloom.session import configure  # noqa: E402
+from rowloom.plans.run import run_recipe  # noqa: E402
+from rowloom.session import configure, fresh_path  # noqa: E402
 from rowloom.sources.csv import has_quoted_breaks, read_csv  # noqa: E402
 from rowloom.sources.jsonl import read_jsonl, read_jsonl_columns, read_lines, with_cells  # noqa: E402
 from rowloom.sources.scan import with_position  # noqa: E402
@@ -54,15 +55,19 @@ def throughput(spark, sf_dir: str) -> dict[str, float]:
     cost of starting a job does not decide."""
     csv_path, jsonl_path = [csv_of(spark, sf_dir, "lineitem")] * 10, [jsonl_of(spark, sf_dir, "lineitem")] * 10
     names = ["l_orderkey", "l_quantity", "l_shipdate"]
+    quoted = fresh_path(spark, "bench-quoted")
+    spark.read.text(csv_path).write.text(quoted)
     passes = {
         "csv_count": (csv_path, lambda: read_csv(spark, csv_path, quoted_breaks=False).count()),
         "csv_quote_check": (csv_path, lambda: has_quoted_breaks(spark, csv_path)),
-        "csv_quoted_break_rows": (csv_path[:1], lambda: sunk(split_records(spark, csv_path[0], CSV_ROWS, "\n"))),
+        "csv_quoted_break_rows": ([quoted], lambda: sunk(split_records(spark, quoted, CSV_ROWS, "\n"))),
         "csv_scan": (csv_path, lambda: sunk(read_csv(spark, csv_path, quoted_breaks=False))),
         "jsonl_count": (jsonl_path, lambda: read_lines(spark, jsonl_path).count()),
         "jsonl_positions": (jsonl_path, lambda: sunk(with_position(read_lines(spark, jsonl_path)))),
         "jsonl_columns": (jsonl_path, lambda: sunk(read_jsonl_columns(spark, jsonl_path, names))),
         "jsonl_cells": (jsonl_path, lambda: sunk(with_cells(read_jsonl(spark, jsonl_path), ["l_orderkey", "l_returnflag"]))),
+        "csv_to_jsonl_written": (csv_path[:1], lambda: run_recipe(spark, csv_path[0], [], fresh_path(spark, "bench") + ".jsonl", input_format="csv")),
+        "jsonl_to_csv_written": (jsonl_path[:1], lambda: run_recipe(spark, jsonl_path[0], [], fresh_path(spark, "bench") + ".csv", input_format="jsonl")),
     }
     out = {}
     for name, (path, run) in passes.items():

@@ -1,7 +1,11 @@
+import json
+from pathlib import Path
+
 import pytest
 
 from rowloom.functions.types import ColumnType, check_cast_target
 from rowloom.plans.plan import build_plan
+from rowloom.plans.run import run_recipe
 from rowloom.recipes import Cast, Comparison, Delete, Fill, Filter, FormatTimestamp, Operator, Recipe, Rename, dumps, load, loads, save, where
 
 ORDERING = ("GreaterThan", "LessThan", "GreaterThanOrEqual", "LessThanOrEqual")
@@ -116,3 +120,11 @@ def test_cast_targets():
     check_cast_target("jsonl", ColumnType.OBJECT)
     with pytest.raises(ValueError):
         check_cast_target("csv", ColumnType.ARRAY)
+
+
+def test_object_input_and_array_output(spark, text_file, tmp_path):
+    source = text_file("o.json", '{"x":{"a":1,"b":"u"},"y":{"a":2},"z":{"a":3,"b":null}}')
+    out = str(tmp_path / "out")
+    run_recipe(spark, source, [where("a", "GreaterThan", "1", "Number"), Rename("b", "c")], out, "json_object", "json_array", names=["a", "b"])
+    found = [row for part in sorted(Path(out).glob("part-*")) for row in json.loads(part.read_text())]
+    assert sorted(found, key=lambda r: r["a"]) == [{"a": 2}, {"a": 3, "c": None}]
