@@ -46,8 +46,8 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
 
 
 def words_of(text: Column) -> Column:
-    """Runs of letters, digits and non-ASCII characters, A-Z in lower case."""
-    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), GAP, " "))
+    """Runs of letters, digits and non-ASCII characters, in lower case."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), GAP, " "))
     return let(plain, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
