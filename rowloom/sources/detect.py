@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +23,6 @@ def format_of_path(path: str, allow_json: bool = True) -> str:
     raise ValueError(f"Files of this kind are not read: {extension or path}")
 
 
-# Up to this many .json files are looked into one by one, which stops at the
-# first text of each; more are looked into together, in one pass over their text.
-_MAX_SINGLE_LOOKS = 200
-
-
 # A folder named like a file, as Spark writes them, gives its parts its extension.
 _EXTENSION = re.compile(r"(\.(?:csv|jsonl|json))/[^/]+$|(\.[^./]*)$", re.I)
 
@@ -52,20 +49,38 @@ def detect_formats(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _first_marks(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(path, mark): the first character of each file that is not blank, in one job.
+
+    Files are read in pieces up to a comma, so a document on one line is no long row, and
+    a task stops at the first mark where its split is too large for a second file."""
     if not names:
         return spark.createDataFrame([], "path string, mark string")
-
-    def marks(source: str | list[str]) -> DataFrame:
-        text = F.regexp_replace("value", "^\ufeff", "")
-        return spark.read.text(source).where(~text.rlike(r"^\s*$")).select(
-            F.col("_metadata.file_path").alias("path"), F.substring(F.ltrim(text), 1, 1).alias("mark"),
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("step"),
-        )
-
-    if len(names) > _MAX_SINGLE_LOOKS:
-        return marks(names).groupBy("path").agg(F.min_by("mark", F.struct("block", "step")).alias("mark"))
-    looks = [row for name in names for row in marks(name).select("path", "mark").take(1)]
-    return spark.createDataFrame(looks, "path string, mark string")
+    full = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    pieces = spark.read.option("lineSep", ",").text(names).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("length"), F.left("value", F.lit(1000)).alias("piece"), F.rlike("value", F.lit(r"[^\s\ufeff]")).alias("filled"),
+    )
+    marks = pieces.mapInArrow(lambda batches: _marks(batches, full), "path string, block bigint, mark string")
+    return marks.groupBy("path").agg(F.min_by("mark", "block").alias("mark"))
+
+
+def _marks(batches: Iterator[pa.RecordBatch], full: int) -> Iterator[pa.RecordBatch]:
+    done, blank = None, None
+    for batch in batches:
+        found = []
+        for path, block, length, piece, filled in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            split = (path, block)
+            if split == done:
+                continue
+            if not filled and blank != split:
+                blank = split
+                continue
+            # What follows a blank piece is the comma that ended it.
+            mark = "," if blank == split else piece.lstrip("\ufeff \t\r\n")[:1]
+            found.append((path, block, mark))
+            done = split
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["path", "block", "mark"])
+        if done == split and length >= full:
+            return
 
 
 def _format() -> Column:
