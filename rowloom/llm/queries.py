@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import brown_lm, language_id, toxicity
+from . import brown_lm, language_id, sql, toxicity
 from .decontaminate import find_benchmark
 from .frames import remainder
 from .licenses import find_licenses
@@ -22,11 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, oracle: str | None = None):
     def register(run):
         QUERIES[name] = lambda spark, sf_dir: run(configure(spark), sf_dir)
-        if sql:
-            SQL[name] = sql
+        if oracle:
+            SQL[name] = oracle
         return run
 
     return register
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@query("op1_ngram_jaccard_join")
+@query("op1_ngram_jaccard_join", sql.NGRAM_JOIN)
 def ngram_jaccard_join(spark, sf):
     return join_ngrams(table(spark, sf, "documents"), n=3, percent=90)
 
@@ -56,7 +56,7 @@ def brown_scores(spark, sf):
     return brown_lm.score(docs, model, rare, remainder(7) == 2)
 
 
-@query("op4_benchmark_decontamination")
+@query("op4_benchmark_decontamination", sql.DECONTAMINATION)
 def benchmark_decontamination(spark, sf):
     return find_benchmark(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("items")
 
@@ -78,37 +78,13 @@ def mixing(spark, sf):
     return mixture(table(spark, sf, "documents"))
 
 
-@query(
-    "op8_quality_rules",
-    r"""
-    with w as (
-        select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
-    ), grams as (
-        select doc_id, i, array_to_string(words[i : i + 4], ' ') as gram from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from w where len(words) >= 5)
-    ), twice as (
-        select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, gram) as n from grams) where n > 1
-    ), covered as (
-        select doc_id, count(distinct i + k) as n from twice, (select unnest(range(0, 5)) as k) group by doc_id
-    ), m as (
-        select w.doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
-            length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
-            list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
-            coalesce(covered.n, 0) as n_repeat_words, length(regexp_replace(text, '\P{Lu}+', '', 'g')) as n_upper
-        from w left join covered using (doc_id)
-    ), l as (select *, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines from m)
-    select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper,
-        cast((n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_words)::int + 4 * (10 * n_symbols > n_words)::int + 8 * (100 * n_dup_lines > 30 * n_lines)::int
-            + 16 * (2 * n_upper > word_chars)::int + 32 * (word_chars > 20 * n_words)::int + 64 * (word_chars < 2 * n_words)::int as bigint) as failed_bits,
-        failed_bits & 3 <> 0 as base_failed, failed_bits = 0 as kept
-    from l
-    """,
-)
+@query("op8_quality_rules", sql.QUALITY)
 def quality_rules(spark, sf):
     rows = ledger(table(spark, sf, "documents"))
     return apply_policy(rows.withColumn("base_failed", F.col("failed_bits").bitwiseAND(F.lit(BASE).cast("long")) != 0), "v3")
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", sql.SUBSTRING_DEDUP)
 def substring_dedup(spark, sf):
     return find_repeats(table(spark, sf, "documents"))
 
