@@ -7,9 +7,10 @@ import pytest
 from compare import difference, duck
 
 import __spark_entry__ as entry
+from rowloom import suite
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = suite.QUERIES, suite.SQL
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,8 @@ def test_entry_point(spark):
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_no_machine_local_checkpoints_in_the_library():
