@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, fresh_path
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings, and Arrow batches of few bytes, so that long
+    texts do not make large batches."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return spark
+
+
 def texts(docs: DataFrame, *others: str) -> DataFrame:
     """doc_id, the text as bytes, and the named columns; nothing else of `docs`."""
-    configure(docs.sparkSession)
+    prepared(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *others)
 
 

@@ -6,9 +6,9 @@ their first few (their prefixes). Classes meet on such an n-gram, pairs pass a l
 positional and a suffix filter, and each pair that is left is verified once.
 
 N-grams are 64-bit hashes. The order only has to be the same everywhere. An n-gram is at
-most as frequent as its rarest word, so n-grams are ordered by that word's count, from a
-table of counters of fixed size, filled from all documents, in which words with the same
-leading hash bits share a counter.
+most as frequent as its rarest word, so n-grams are ordered by that word's count, to the
+power of two, from a table of counters of fixed size, filled from all documents, in which
+words with the same leading hash bits share a counter.
 
 Where an n-gram is in more than `hot` prefixes, its pairs are not made as rows: classes
 connected by such n-grams are a family, cut into blocks by length and hash, and each task
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .frames import components, cut, texts
 from .text import WordHashes, lower_words, shingle_set, window_hashes
 
-COUNTER_BITS, HOT, BLOCK_CLASSES, BLOCK_SHINGLES, RANGES = 22, 128, 512, 2_000_000, 16
+COUNTER_BITS, LEVELS, HOT, BLOCK_CLASSES, BLOCK_SHINGLES, RANGES = 22, 16, 128, 512, 2_000_000, 16
 
 
 def needed(size: int, percent: int) -> int:
@@ -91,22 +91,33 @@ def join_ngrams(docs: DataFrame, n: int = 3, percent: int = 90, hot: int = HOT)
 
 
 def counted(source: DataFrame) -> np.ndarray:
-    """How often the words of each counter occur: 2**22 numbers at every size of input."""
+    """How often the words of each counter occur, as the whole logarithm to base 2: 2**22
+    small numbers at every size of input, brought in as one bit map for each of 16 levels."""
 
     def tally(batches):
-        counts, hashes, shift = np.zeros(1 << COUNTER_BITS, np.int64), WordHashes(), np.uint64(64 - COUNTER_BITS)
+        counts, hashes, shift = np.zeros(1 << COUNTER_BITS, np.uint32), WordHashes(), np.uint64(64 - COUNTER_BITS)
         for batch in batches:
             for text in batch.column(1):
                 np.add.at(counts, (hashes.of(lower_words(text.as_py())) >> shift).astype(np.int64), 1)
         at = np.flatnonzero(counts)
         for first in range(0, len(at), 100_000):
             part = at[first : first + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["counter", "n"])
-
-    table = source.mapInArrow(tally, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << COUNTER_BITS, np.uint32)
-    counts[table["counter"].to_numpy()] = np.minimum(table["n"].to_numpy(), 0xFFFFFFFF)
-    return counts
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], ["counter", "n"])
+
+    counts = source.mapInArrow(tally, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    levels = counts.select((F.col("counter").cast("long") + 1).alias("place"), F.least(F.lit(LEVELS - 1), F.floor(F.log2("n"))).alias("level"))
+    return maps_of(levels)
+
+
+def maps_of(levels: DataFrame) -> np.ndarray:
+    """Levels by counter, from rows (place from 1 on, level)."""
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    maps = levels.groupBy("level", F.bitmap_bucket_number("place").alias("bucket")).agg(bits)
+    found, span = np.zeros(1 << COUNTER_BITS, np.uint8), 8 * 4096
+    for level, bucket, part in maps.collect():
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little"))
+        found[at + (bucket - 1) * span] = level
+    return found
 
 
 def rare_first(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import configure
+from .frames import prepared
 from .text import MIX_1, WordHashes, blank_words, mixed, window_hashes
 
-SIZE, RUN, SKETCH_BITS, HELD = 35, 16, 26, 3_000_000
+SIZE, RUN, SKETCH_BITS, HELD = 35, 16, 26, 1_500_000
 WORD = regex.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -55,26 +55,31 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     there is a column n_chars it follows. A document that loses every word is dropped.
     Others stay as they are, empty ones too."""
     left = _settled(docs, size).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", F.lit("utf-8"))).otherwise(F.col("row.text"))
+    text = F.when(F.col("n_removed") > 0, F.decode("kept", "utf-8")).otherwise(F.col("row.text"))
     columns = [text.alias("text") if c == "text" else F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return left.select(*columns)
 
 
 def _settled(docs: DataFrame, size: int) -> DataFrame:
-    spark = configure(docs.sparkSession)
-    key = F.xxhash64("doc_id", "text").alias("key")
+    spark = prepared(docs.sparkSession)
+    key = _key(docs).alias("key")
     source = docs.select(key, F.col("text").cast("binary").alias("text"))
     sketch = spark.sparkContext.broadcast(_sketch(source, size))
     first = source.mapInArrow(lambda batches: _suspects(batches, sketch.value, size), "hash long, key long, at int, upto int")
-    alike = first.where("hash is not null").repartition("hash").sortWithinPartitions("hash").mapInArrow(_twice, "key long, at int, upto int")
-    runs = _windows_once(first).union(alike).groupBy("key").agg(F.collect_list(F.struct("at", "upto")).alias("runs"))
+    alike = first.repartition(F.coalesce("hash", "key")).sortWithinPartitions("hash").mapInArrow(_twice, "key long, at int, upto int")
+    runs = alike.groupBy("key").agg(F.collect_list(F.struct("at", "upto")).alias("runs"))
     joined = docs.select(key, F.struct("*").alias("row"), F.col("text").cast("binary").alias("bytes")).join(runs, "key", "left")
     frame = joined.select("row", "bytes", "runs", F.lit(0).alias("n_words"), F.lit(0).alias("n_removed"), F.lit("").alias("kept_sha256"), F.expr("cast(null as binary)").alias("kept"))
     return frame.mapInArrow(lambda batches: _removed(batches, size), frame.schema)
 
 
-def _windows_once(first: DataFrame) -> DataFrame:
-    return first.where("hash is null").select("key", "at", "upto")
+def _key(docs: DataFrame):
+    """What names a row: its doc_id where that is an integer, given and unique, as small
+    numbers shuffle well; else a hash of doc_id and text."""
+    if docs.schema["doc_id"].dataType.simpleString() in ("int", "bigint"):
+        if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+            return F.col("doc_id").cast("long")
+    return F.xxhash64("doc_id", "text")
 
 
 def _minimisers(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +131,10 @@ def _sketch(source: DataFrame, size: int) -> np.ndarray:
 
     counted = source.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
     place = F.col("cell").cast("long") + 1
-    maps = counted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
+    maps = counted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bits = np.zeros(2 << SKETCH_BITS >> 3, np.uint8)
-    for bucket, part in zip(maps["bucket"].to_pylist(), maps["bits"]):
-        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part.as_buffer(), np.uint8)
+    for bucket, part in maps.collect():
+        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, np.uint8)
     return bits
 
 
@@ -147,7 +152,7 @@ def _suspects(batches, bits: np.ndarray, size: int):
         several = np.zeros(len(values), np.bool_)
         several[order] = np.repeat(counts > 1, counts)
         once = ~several
-        yield from _rows(values[once], keys[once], ats[once], ats[once] + 1)
+        yield from _rows(values[once], keys[once], ats[once], None)
         known = ordered[starts[counts > 1]]
         yield from _rows(known, None, None, None)
         keys, ats = keys[several], ats[several]
@@ -186,10 +191,13 @@ def _rows(values, keys, ats, uptos):
 
 
 def _twice(batches):
-    """Rows come sorted by hash. Those of a hash with more than one row are repeats; at
-    most one row waits for the next batch."""
+    """Runs settled before pass through. Other rows come sorted by hash: those of a hash
+    with more than one row are repeats; at most one row waits for the next batch."""
     carried = None
     for batch in batches:
+        open_ = pc.is_valid(batch.column("hash"))
+        yield batch.filter(pc.invert(open_)).select(["key", "at", "upto"])
+        batch = batch.filter(open_)
         table = pa.table(dict(zip(batch.schema.names, batch.columns)))
         if carried is not None:
             table = pa.concat_tables([carried, table])
@@ -198,14 +206,14 @@ def _twice(batches):
             continue
         same = values[1:] == values[:-1]
         told = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        final = told.copy()
         if not told[-1]:
             carried = table.slice(len(values) - 1)
         else:  # the hash may go on in the next batch: keep its row without a place
             carried = pa.table({"hash": values[-1:], "key": pa.nulls(1, pa.int64()), "at": pa.nulls(1, pa.int32()), "upto": pa.nulls(1, pa.int32())})
-        out = table.filter(pa.array(final)).select(["key", "at", "upto"])
+        out = table.filter(pa.array(told))
         out = out.filter(pc.is_valid(out["key"]))
-        yield from out.to_batches()
+        ends = pc.add(out["at"], pa.scalar(1, pa.int32()))
+        yield from pa.table({"key": out["key"], "at": out["at"], "upto": ends}).to_batches()
 
 
 def _removed(batches, size: int):

@@ -32,7 +32,7 @@ def alnum_words(text: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered for at most `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
