@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import configure
+from .frames import prepared
 
-GRAM_BITS, ORDERS, SMOOTHING, SWITCH, HELD = 16, (1, 2, 3, 4), 0.5, 8.0, 200_000
+GRAM_BITS, ORDERS, SMOOTHING, SWITCH, HELD = 16, (1, 2, 3, 4), 0.5, 8.0, 150_000
 NONE = "und"
 #: Scripts and the code points that tell them, as ranges.
 SCRIPTS = {
@@ -60,26 +60,22 @@ class Model:
     scripts: np.ndarray  # (scripts + 1) x languages, whether a language is written so
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Gram numbers of all words in a row, and where each word's begin."""
+def _grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order, the gram number that begins at each byte of all words in a row (one
+    past the last number where it would leave its word); and where each word begins."""
     data = [b" " + word.encode() + b" " for word in words]
     flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
     lengths = np.array([len(x) for x in data])
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    position = np.arange(len(flat))
-    numbers, places = [], []
-    for order in ORDERS:
-        value = np.full(len(flat), order, np.uint32)
-        for k in range(order):
-            value = value * np.uint32(0x01000193) ^ np.append(flat[k:], np.zeros(k, np.uint32))
-        value = (value ^ (value >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        inside = position + order <= ends
-        numbers.append((value >> np.uint32(32 - GRAM_BITS))[inside])
-        places.append(position[inside])
-    numbers, places = np.concatenate(numbers), np.concatenate(places)
-    order = np.argsort(places, kind="stable")
-    starts = np.searchsorted(places[order], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-    return numbers[order].astype(np.int64), starts
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
+    numbers, value = [], np.zeros(len(flat), np.uint32)
+    for order in range(1, max(ORDERS) + 1):
+        value = value * np.uint32(0x01000193)
+        value[: len(flat) - order + 1] ^= flat[order - 1 :]
+        if order in ORDERS:
+            mixed = (value + np.uint32(order)) * np.uint32(0x9E3779B1)
+            mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            numbers.append(np.where(left >= order, mixed >> np.uint32(32 - GRAM_BITS), 1 << GRAM_BITS).astype(np.int64))
+    return numbers, np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
 def _words(text: str | None) -> list[str]:
@@ -88,7 +84,7 @@ def _words(text: str | None) -> list[str]:
 
 def learn(labelled: DataFrame) -> Model:
     """Count over every row (text, lang) with both. Without any, the model knows no language."""
-    configure(labelled.sparkSession)
+    prepared(labelled.sparkSession)
     source = labelled.where("text is not null and lang is not null").select("text", "lang")
 
     def tally(batches):
@@ -98,11 +94,12 @@ def learn(labelled: DataFrame) -> Model:
             for lang, seen in words.items():
                 table = counts.setdefault(lang, np.zeros(1 << GRAM_BITS, np.int64))
                 names = list(seen)
-                for low in range(0, len(names), 50_000):
-                    part = names[low : low + 50_000]
+                for low in range(0, len(names), 20_000):
+                    part = names[low : low + 20_000]
                     numbers, starts = _grams(part)
-                    weight = np.repeat(np.fromiter((seen[w] for w in part), np.int64, len(part)), np.diff(np.append(starts, len(numbers))))
-                    table += np.bincount(numbers, weight, 1 << GRAM_BITS).astype(np.int64)
+                    weight = np.repeat(np.fromiter((seen[w] for w in part), np.int64, len(part)), np.diff(np.append(starts, len(numbers[0]))))
+                    for number in numbers:
+                        table += np.bincount(number, weight, (1 << GRAM_BITS) + 1)[:-1].astype(np.int64)
                 for word, many in seen.items():
                     scripts[lang, script(word[0])] += many
             words.clear()
@@ -140,6 +137,7 @@ class Scores(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.new, self.table = model, [], np.zeros((0, len(model.languages)), np.float32)
+        self.weights = np.concatenate([model.weights, np.zeros((1, len(model.languages)), np.float32)])
 
     def __missing__(self, word: str) -> int:
         self.new.append(word)
@@ -154,17 +152,22 @@ class Scores(dict):
     def rows(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def _scored(self, words: list[str]) -> np.ndarray:
+        numbers, starts = _grams(words)
+        total = self.weights[numbers[0]]
+        for number in numbers[1:]:
+            total += self.weights[number]
+        # Grams of several orders overlap, so their sum is damped by the number of orders.
+        score = np.add.reduceat(total, starts, axis=0) / len(ORDERS)
+        score -= score.max(1, keepdims=True)
+        allowed = self.model.scripts[[script(w[0]) for w in words]]
+        allowed |= ~allowed.any(1, keepdims=True)
+        return np.where(allowed, np.maximum(score, -12.0), -40.0).astype(np.float32)
+
     def settle(self) -> np.ndarray:
         if self.new:
-            numbers, starts = _grams(self.new)
-            size = np.diff(np.append(starts, len(numbers)))[:, None]
-            # Grams of several orders overlap, so their sum is damped by the number of orders.
-            score = np.add.reduceat(self.model.weights[numbers], starts, axis=0) / len(ORDERS)
-            score -= score.max(1, keepdims=True)
-            allowed = self.model.scripts[[script(w[0]) for w in self.new]]
-            allowed |= ~allowed.any(1, keepdims=True)
-            score = np.where(allowed, np.maximum(score, -12.0 - 0.0 * size), -40.0)
-            self.table = np.concatenate([self.table, score.astype(np.float32)])
+            parts = [self._scored(self.new[low : low + 20_000]) for low in range(0, len(self.new), 20_000)]
+            self.table = np.concatenate([self.table, *parts])
             self.new = []
         return self.table
 
@@ -228,7 +231,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5, switch: float
 
 
 def _labelled(docs: DataFrame, source: DataFrame, model: Model, switch: float) -> DataFrame:
-    sent = configure(docs.sparkSession).sparkContext.broadcast(model)
+    sent = prepared(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):
         model = sent.value
@@ -263,7 +266,7 @@ def _labelled(docs: DataFrame, source: DataFrame, model: Model, switch: float) -
     return source.mapInArrow(run, schema)
 
 
-def _parts(batch, limit: int = 4_000_000):
+def _parts(batch, limit: int = 1_000_000):
     """Slices of a batch with a bounded number of characters, one text at least."""
     first, size = 0, 0
     for k, text in enumerate(batch.column(1)):
