@@ -63,7 +63,7 @@ def join_ngrams(docs: DataFrame, n: int = 3, percent: int = 90, hot: int = HOT)
     family = families(postings.where(F.col("n") > hot))
     facts = classes.select("rep", "ranges").join(family, "rep", "left")
     pairs = cut(paired(postings.where(F.col("n") <= hot), facts, percent), "pairs")
-    blocks = cut(blocked(family.join(classes.select("rep", "size", "copies"), "rep")), "blocks")
+    blocks = cut(blocked(family.join(classes.select("rep", "size", "copies"), "rep"), percent), "blocks")
 
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(blocks.select("rep")).distinct()
     ids = classes.join(wanted, "rep", "left_semi").select(F.col("least").alias("doc_id"))
@@ -178,12 +178,13 @@ def paired(cold: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return pairs.where((apart <= both - 2 * overlap) & ~F.coalesce(F.col("family_a") == F.col("family_b"), F.lit(False))).select("a", "b")
 
 
-def blocked(members: DataFrame) -> DataFrame:
+def blocked(members: DataFrame, percent: int) -> DataFrame:
     """Each class of a family, once for each pair of blocks in which it is compared.
 
     Lengths are cut into bands so wide that similar sets lie in the same or in neighbouring
-    bands; a band is cut into blocks of bounded size."""
-    width = math.log(1 / 0.85)
+    bands; a band is cut into blocks of bounded size. Similar sizes differ by a factor of
+    at most 100 / percent. From 85 % on bands are no narrower than for 85 %."""
+    width = math.log(100 / min(percent, 85)) + 1e-6
     members = members.withColumn("band", F.floor(F.log(F.col("size")) / width))
     cuts = members.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
     above = cuts.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))

@@ -59,6 +59,17 @@ def test_blocks_of_a_family(docs, monkeypatch):
     assert sorted(map(tuple, join_ngrams(docs(rows), 3, 90, 2).collect())) == brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize("sizes", [(5, 6), (8, 10), (94, 112)])
+@pytest.mark.parametrize("percent", [50, 80])
+def test_family_of_unlike_lengths(docs, sizes, percent):
+    """The shorter texts are beginnings of the longer ones: similar at 80 %, all in one family."""
+    rows = []
+    for number in range(6):
+        words = [f"w{number}x{k}" for k in range(max(sizes) + 4)]
+        rows += [(10 * number + k, " ".join(words[: size + 4])) for k, size in enumerate(sizes)]
+    assert sorted(map(tuple, join_ngrams(docs(rows), 5, percent, 1).collect())) == brute(rows, 5, percent)
+
+
 def test_nulls_repeats_and_clashing_columns(docs):
     text = "a b c d e f g h i j k l"
     rows = [(1, text, 9, "x"), (1, text, 9, "x"), (2, text, None, None), (None, text, 1, "y"), (None, None, 1, "y")]
