@@ -1,11 +1,12 @@
 """Toxic passages by maximum-scoring segments.
 
-Words get log-odds of standing in toxic rather than other texts, under a Dirichlet prior
-proportional to their use in both. Over the words of a text these are the scores of a walk
-that otherwise drifts down, and one pass in linear time finds every maximal segment
-(Ruzzo and Tompa). How high the best segment of harmless text of a length reaches follows
-an extreme-value law; one law is fitted for each class, and a document's score is the
-posterior of the toxic one.
+Every word gets its log-odds of standing in toxic rather than other texts, under a Dirichlet
+prior that draws rare words towards 0. Over the words of a text these are the scores of a
+walk that drifts down in harmless text, and one pass in linear time finds every maximal
+segment (Ruzzo and Tompa). How high the best segment of harmless text of a length reaches
+follows an extreme-value law; one law is fitted for each class, and a document's score is
+the posterior of the toxic one. Laws and drift are fitted on texts scored without their own
+part in the counts, as texts are that were not learned from.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +25,43 @@ from ..session import configure
 from .frames import cut
 from .text import ALNUM_OR_BLANK
 
-PRIOR, LEAST_ODDS, MOST_WORDS, MOST_TEXTS, DRIFT, HELD = 50.0, 2.3, 50_000, 10_000, -0.1, 200_000
+PRIOR, MOST_TEXTS, DRIFT, HELD = 50.0, 10_000, -0.1, 200_000
 
 
 @dataclass
 class Model:
-    odds: dict[bytes, float]
-    drift: float
+    words: np.ndarray  # sorted hashes
+    odds: np.ndarray
+    drift: float  # added to every word
     share: float  # of toxic texts among the labelled
     rise_harmless: float  # share of harmless texts in which any word scores above 0
     rise_toxic: float
     laws: list[tuple[float, float]]  # location and scale of the harmless and the toxic texts
 
 
+class Scores(dict):
+    """Word -> log-odds, 0 for words that were not seen; remembered for at most `limit` words."""
+
+    def __init__(self, words: np.ndarray, odds: np.ndarray, limit: int = 250_000):
+        super().__init__()
+        self.words, self.odds, self.limit = words, odds, limit
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= self.limit:
+            self.clear()
+        key = _hash(word)
+        at = int(self.words.searchsorted(key))
+        value = self[word] = float(self.odds[at]) if at < len(self.words) and self.words[at] == key else 0.0
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+
+
+def _hash(word: bytes) -> np.int64:
+    return np.uint64(xxhash.xxh3_64_intdigest(word)).view(np.int64)
+
+
 def _words(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM_OR_BLANK).split() if text else []
 
@@ -44,14 +70,13 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, end, score), after Ruzzo and Tompa.
 
     Each candidate remembers the total before it and after it; a new one joins the nearest
-    earlier candidate that starts lower, if its own end is higher, and is tried again."""
+    earlier candidate that starts lower, if its own end is higher, and is tried again.
+    Neighbouring scores above 0 always join, so runs of them are the first candidates."""
     found: list[list[float]] = []  # first, end, total before, total after
-    total = 0.0
-    for at, score in enumerate(scores.tolist()):
-        before, total = total, total + score
-        if score <= 0:
-            continue
-        new = [at, at + 1, before, total]
+    totals = np.concatenate([[0.0], np.cumsum(scores)])
+    turns = np.diff((scores > 0).astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(turns > 0), np.flatnonzero(turns < 0)
+    for new in map(list, zip(starts.tolist(), ends.tolist(), totals[starts].tolist(), totals[ends].tolist())):
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
@@ -78,13 +103,14 @@ def bounded(labels: DataFrame, most: int = MOST_TEXTS) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, prior: float = PRIOR, least_odds: float = LEAST_ODDS, most_words: int = MOST_WORDS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, prior: float = PRIOR) -> Model:
     """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) names.
 
     The share of toxic texts is counted over all labels. Words are counted over at most
-    `most_texts` texts of each class, equal texts once, a word once per text. A word's
-    odds are those it has two standard errors below the estimate; words below `least_odds`
-    only drift. `most_words` bounds the words kept, by their odds.
+    `most_texts` texts of each class, equal texts once, a word once per text. All words of
+    these texts are kept. To a word's counts come one text and 2 * `prior` times its share
+    of all words, dealt to the classes as all words are, so that without a difference its
+    odds are 0.
     Without a toxic or without a harmless text every text is scored with the share alone."""
     spark = configure(docs.sparkSession)
     by_class = dict(labels.where("toxic is not null").groupBy((F.col("toxic") > 0).cast("int")).count().collect())
@@ -99,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, prio
             names = list(words[0].keys() | words[1].keys())
             for low in range(0, len(names), 50_000):
                 part = names[low : low + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *[pa.array([seen[w] for w in part], pa.int64()) for seen in words]], ["word", "harmless", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in part], pa.int64()), *[pa.array([seen[w] for w in part], pa.int64()) for seen in words]], ["word", "harmless", "toxic"])
             for seen in words:
                 seen.clear()
 
@@ -110,30 +136,48 @@ def learn(docs: DataFrame, labels: DataFrame, most_texts: int = MOST_TEXTS, prio
                     yield from told()
         yield from told()
 
-    counts = source.mapInArrow(tally, "word binary, harmless long, toxic long").groupBy("word").agg(F.sum("harmless").alias("h"), F.sum("toxic").alias("t"))
-    counts = cut(counts, "word-classes")
-    all_h, all_t = counts.agg(F.sum("h"), F.sum("t")).first()
-    if not all_h or not all_t:
-        return Model({}, DRIFT, share, 1.0, 1.0, [])
-    mass = F.lit(0.5) + F.lit(prior) * (F.col("h") + F.col("t")) / F.lit(float(all_h + all_t))
-    high, low = F.col("t") + mass, F.col("h") + mass
-    odds = F.log(high / F.lit(float(all_t + prior))) - F.log(low / F.lit(float(all_h + prior)))
-    sure = odds - 2 * F.sqrt(1 / high + 1 / low)
-    kept = counts.select("word", sure.alias("odds")).where(F.col("odds") >= least_odds).orderBy(F.col("odds").desc(), "word").limit(most_words).toArrow()
-    model = Model(dict(zip(kept["word"].to_pylist(), kept["odds"].to_pylist())), DRIFT, share, 1.0, 1.0, [])
-    sent = spark.sparkContext.broadcast(model)
+    counts = source.mapInArrow(tally, "word long, harmless long, toxic long").groupBy("word").agg(F.sum("harmless").alias("h"), F.sum("toxic").alias("t"))
+    found = counts.orderBy("word").toArrow()
+    words, h, t = (found[c].to_numpy().astype(kind) for c, kind in (("word", np.int64), ("h", np.float64), ("t", np.float64)))
+    if not h.sum() or not t.sum():
+        return Model(words[:0], h[:0], DRIFT, share, 1.0, 1.0, [])
+    part = t.sum() / (t.sum() + h.sum())
+    mass = 1 + 2 * prior * (h + t) / (h + t).sum()
+
+    def odds(h: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return np.log((t + part * mass) / (h + (1 - part) * mass)) - np.log(part / (1 - part))
+
+    model = Model(words, odds(h, t), DRIFT, share, 1.0, 1.0, [])
+    #: The odds that harmless and toxic texts meet if they are not counted themselves.
+    others = spark.sparkContext.broadcast((words, odds(np.maximum(h - 1, 0), t), odds(h, np.maximum(t - 1, 0))))
+
+    def harmless_mean(batches):
+        words, harmless, _ = others.value
+        scores, total, n = Scores(words, harmless), 0.0, 0
+        for batch in batches:
+            for text in batch.column(0):
+                found = scores.of(_words(text.as_py()))
+                total, n = total + float(found.sum()), n + len(found)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.float64()), pa.array([n], pa.int64())], ["total", "n"])
+
+    total, n = source.where("toxic = 0").select("text").mapInArrow(harmless_mean, "total double, n long").agg(F.sum("total"), F.sum("n")).first()
+    model.drift = drift = DRIFT - max(total / n, 0.0)
 
     def reach(batches):
+        words, *odds = others.value
+        scores = [Scores(words, x) for x in odds]
         for batch in batches:
-            values = [_best(sent.value, _words(text.as_py()))[0] for text in batch.column(0)]
+            values = [_best(scores[toxic], drift, _words(text.as_py()))[0] for text, toxic in zip(batch.column(0), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.float64())], ["toxic", "height"])
 
     reached = source.mapInArrow(reach, "toxic int, height double").groupBy("toxic").agg(F.count("*"), F.count("height"), F.expr("percentile(height, array(0.1, 0.5, 0.9))"))
     fitted = {row[0]: row[1:] for row in reached.collect()}
-    rises = []
+    # Shares are drawn to the common one, of more texts in the larger class, so that where all texts rise, or none, nothing is told.
+    least, all_texts, all_risen = min(row[0] for row in fitted.values()), sum(row[0] for row in fitted.values()), sum(row[1] for row in fitted.values())
+    usual_rise, rises = (all_risen + 0.5) / (all_texts + 1), []
     for toxic, usual in ((0, (-4.0, 1.0)), (1, (0.0, 1.0))):
         texts, risen, at = fitted[toxic]
-        rises.append((risen + 0.5) / (texts + 1))
+        rises.append((risen + usual_rise * texts / least) / (texts + texts / least))
         # Each law is fitted on the side that faces the other: medians and outer tenths.
         if risen >= 10:
             scale = (at[1] - at[0]) / (_reduced(0.5) - _reduced(0.1)) if toxic else (at[2] - at[1]) / (_reduced(0.9) - _reduced(0.5))
@@ -149,11 +193,10 @@ def _reduced(share: float) -> float:
     return -math.log(-math.log(share))
 
 
-def _best(model: Model, words: list[bytes]) -> tuple[float | None, list[tuple[int, int, float]]]:
+def _best(odds: Scores, drift: float, words: list[bytes]) -> tuple[float | None, list[tuple[int, int, float]]]:
     """Height of the best segment, less the logarithm of the number of words, by which the
     best of many chances rises; None where no word scores above 0. And all segments."""
-    get, drift = model.odds.get, model.drift
-    scores = np.fromiter([get(w, drift) for w in words], np.float64, len(words))
+    scores = odds.of(words) + drift
     if not (scores > 0).any():
         return None, []
     found = segments(scores)
@@ -184,19 +227,24 @@ def score(docs: DataFrame, model: Model, significant: float = 0.01) -> DataFrame
     with a probability of at most `significant`. Null and empty texts have no words and get
     the score of a text in which nothing rises."""
     sent = configure(docs.sparkSession).sparkContext.broadcast(model)
+    # A little below the height of `significant`, so as to leave most segments out early.
+    least = _reduced(1 - significant) - 1e-6 if 0 < significant < 1 else -math.inf
 
     def run(batches):
         model = sent.value
+        odds = Scores(model.words, model.odds)
         for batch in batches:
             scores, counts, passages = [], [], []
             for text in batch.column(1):
                 words = _words(text.as_py())
-                height, found = _best(model, words)
+                height, found = _best(odds, model.drift, words)
                 scores.append(_posterior(model, height))
                 counts.append(len(words))
                 kept = []
                 for first, end, top in found if model.laws else ():
                     z = (top - math.log(len(words) + 1) - model.laws[0][0]) / model.laws[0][1]
+                    if z < least:
+                        continue
                     chance = -math.expm1(-math.exp(min(-z, 700.0)))
                     if chance <= significant:
                         kept.append({"first": first, "words": end - first, "height": top, "p_value": chance})

@@ -32,6 +32,23 @@ def test_finds_unlabelled_toxic_texts(docs):
     assert found[902]["passages"][0]["first"] == 0
 
 
+def test_words_of_few_toxic_texts_count(docs):
+    """Each toxic word is in two of a hundred toxic texts, and none is sure alone."""
+    rows, labels = [], []
+    for k in range(400):
+        words = invented(k, 60, 2000)
+        if k % 2:
+            words[9:9] = [f"slur{(k // 2 + 7 * j) % 100}" for j in range(8)]
+        rows.append((k, " ".join(words)))
+        if k < 200:
+            labels.append((k, k % 2))
+    frame = docs(rows)
+    model = learn(frame, docs(labels, "doc_id long, toxic int"))
+    assert (model.odds < 0).any() and (model.odds > 0).any() and model.drift < 0
+    held = score(frame, model).where("doc_id >= 200").collect()
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.9 * len(held)
+
+
 def test_segments_are_the_maximal_ones():
     """Against the definition: the best segment, then the same left and right of it."""
 
