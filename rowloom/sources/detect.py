@@ -57,7 +57,7 @@ def _first_marks(spark: SparkSession, names: list[str]) -> DataFrame:
         return spark.createDataFrame([], "path string, mark string")
     full = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     pieces = spark.read.option("lineSep", ",").text(names).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("length"), F.left("value", F.lit(1000)).alias("piece"), F.rlike("value", F.lit(r"[^\s\ufeff]")).alias("filled"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("length"), F.left(F.ltrim("value", F.lit("\ufeff \t\r\n")), F.lit(1)).alias("first"), F.rlike("value", F.lit(r"[^\s\ufeff]")).alias("filled"),
     )
     marks = pieces.mapInArrow(lambda batches: _marks(batches, full), "path string, block bigint, mark string")
     return marks.groupBy("path").agg(F.min_by("mark", "block").alias("mark"))
@@ -67,7 +67,7 @@ def _marks(batches: Iterator[pa.RecordBatch], full: int) -> Iterator[pa.RecordBa
     done, blank = None, None
     for batch in batches:
         found = []
-        for path, block, length, piece, filled in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+        for path, block, length, first, filled in zip(*(column.to_pylist() for column in batch.columns), strict=True):
             split = (path, block)
             if split == done:
                 continue
@@ -75,7 +75,7 @@ def _marks(batches: Iterator[pa.RecordBatch], full: int) -> Iterator[pa.RecordBa
                 blank = split
                 continue
             # What follows a blank piece is the comma that ended it.
-            mark = "," if blank == split else piece.lstrip("\ufeff \t\r\n")[:1]
+            mark = "," if blank == split else first
             found.append((path, block, mark))
             done = split
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["path", "block", "mark"])

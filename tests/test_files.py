@@ -203,3 +203,11 @@ def test_one_recipe_over_many_files(spark, text_file, tmp_path):
         text_file(f"in-{i}.csv", f"id,v\n{i},x\n")
     run_recipe(spark, str(tmp_path / "in-*.csv"), [Rename("id", "key"), Delete("v")], str(tmp_path / "all.csv"))
     assert sorted(r.key for r in read_csv(spark, str(tmp_path / "all.csv")).collect()) == ["0", "1", "2"]
+
+
+@pytest.mark.parametrize("blanks", [" " * 5000, "\n" * 1001, "﻿" + "\r\n\t " * 800])
+def test_formats_behind_many_blanks(spark, tmp_path, blanks):
+    for name, text in (("a.json", "[1, 2]"), ("o.json", '{"k": 1, "l": 2}')):
+        (tmp_path / name).write_bytes((blanks + text).encode())
+    found = {r["path"].rsplit("/", 1)[1]: (r["format"], r["error"]) for r in detect_formats(spark, str(tmp_path)).collect()}
+    assert found == {"a.json": ("json_array", None), "o.json": ("json_object", None)}
