@@ -80,16 +80,14 @@ class Filter:
     def __post_init__(self) -> None:
         fits = self.operator.is_equality or self.operator.is_ordering != (self.comparison is Comparison.TEXT)
         if not fits:
-            raise ValueError(
-                f"Operator '{self.operator.value}' is not valid for comparison type '{self.comparison.value}'."
-            )
+            raise ValueError(f"{self.comparison.value} cells cannot be tested by {self.operator.value}.")
         if self.comparison is Comparison.NUMBER:
             number = literal_float(self.value)
             readable = number is not None and math.isfinite(number)
         else:
             readable = self.comparison is Comparison.TEXT or literal_is_timestamp(self.value)
         if not readable:
-            raise ValueError(f"Value '{self.value}' is not parseable as comparison type '{self.comparison.value}'.")
+            raise ValueError(f"A filter by {self.comparison.value} cannot read '{self.value}'.")
 
 
 Action = Rename | Delete | Cast | Fill | FormatTimestamp | Filter

@@ -75,7 +75,7 @@ def test_drill(records, case):
 def test_blank_lines_count_and_broken_ones_are_skipped(spark, text_file):
     frame = with_position(read_lines(spark, text_file("b.jsonl", '﻿{"a":1}\r\n\r\n{"a":\n{"a":3}\n{"a":4}')))
     assert rows_of(drill(frame, key_path("a"))) == [("1", "1"), ("4", "3"), ("5", "4")]
-    with pytest.raises(Exception, match="(?i)malformed"):
+    with pytest.raises(Exception, match="Not JSON"):
         drill(frame, key_path("a"), schema=["a"], on_error="fail").collect()
 
 
