@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import brown_lm, language_id, sql, toxicity
+from . import brown_lm, language_id, packing, runs, sql, toxicity
 from .decontaminate import find_benchmark
 from .frames import remainder
 from .licenses import find_licenses
 from .ngram_join import join_ngrams
+from .prefix_trie import NODE, end_digests, placed, prefix_trie, with_shared_heads
 from .quality import BASE, apply_policy, ledger
 from .quotes import link_quotes, with_quotes
 from .raking import mixture
@@ -96,3 +98,34 @@ def toxic_passages(spark, sf):
     model = toxicity.learn(docs, labels)
     found = toxicity.score(docs, model)
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "n_words", F.size("passages").alias("n_passages"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark, sf):
+    found = runs.find_runs(table(spark, sf, "documents"), change=runs.echoed)
+    # Of equal lengths the smallest start, then period: the first in the order of `runs`.
+    longest = F.array_max("runs.length")
+    top = F.get(F.filter("runs", lambda r: r["length"] == longest), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"), top["period"].alias("period"),
+        F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_prefix_trie", sql.PREFIX_TRIE)
+def conversation_trie(spark, sf):
+    """No conversation ends at a node without a digest: it gets that of the empty string."""
+    trie = prefix_trie(*with_shared_heads(placed(table(spark, sf, "conversations"))))
+    nodes = trie.nodes.join(end_digests(trie.ends), list(NODE), "left")
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", digest)
+
+
+@query("op13_best_fit_packing")
+def best_fit_packing(spark, sf):
+    import public_tokenizers
+
+    vocabulary = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    return packing.pack(packing.pieces(table(spark, sf, "documents"), vocabulary)).drop("row")
