@@ -25,15 +25,24 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .frames import cut, texts
 
-CAPACITY, END, GROUP, HELD = 4096, 1, 32_768, 300_000
+CAPACITY, END, GROUP, HELD, TOGETHER = 4096, 1, 32_768, 600_000, 200
 #: Sequences with more than this share of their capacity left are packed again.
 ROOM = 1 / 64
+#: Marks that close a word, and the lead bytes of U+00C0 to U+023F and U+0400 to U+047F, which
+#: are letters but for two signs (and one that becomes a letter and a mark in lower case).
+CLOSING, TWO_BYTE_LETTERS, SIGNS = b".,;:!?*$%&#", frozenset(bytes([x]) for x in (*range(0xC3, 0xC9), 0xD0, 0xD1)), tuple(sign.encode() for sign in "\u00d7\u00f7\u0130")
 #: Words already turned into ids by this worker, by vocabulary.
 _known: dict[str, "WordIds"] = {}
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian bytes, for at most `HELD` words between batches."""
+    """Word -> its ids as little-endian bytes, for at most `HELD` words between batches.
+
+    Closing marks after a letter or digit are pieces of their own for the tokenizer, so stem and
+    marks are looked up apart, ASCII stems in lower case if the tokenizer makes them so. Many
+    pieces go through it as one text, with one of its special tokens between them, as it takes
+    what lies between such tokens apart from the rest. Words that share a sign with the ends of
+    that token go alone and whole."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
@@ -41,24 +50,53 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        plain = ((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
+        self.between, token = next(plain, (-1, ""))
+        self.token = token.encode()
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) > HELD:
             self.clear()
-            new = list(words)
-        else:
-            new = [word for word in words if word not in self]
-        found = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
-        for word, encoding in zip(new, found):
+            self.parts = {b"": b""}
+        first, last, lowers = self.token[:1], self.token[-1:], self.lowers
+        whole, stems, marks, alone = [], [], [], []
+        for word in words.difference(self):
+            if first in word or last in word:
+                alone.append(word)
+                continue
+            stem = word.rstrip(CLOSING)
+            if len(stem) < len(word) and not (stem[-1:].isalnum() or stem[-2:-1] in TWO_BYTE_LETTERS and stem[-2:] not in SIGNS):
+                stem = word
+            whole.append(word)
+            stems.append(stem.lower() if lowers and stem.isascii() else stem)
+            marks.append(word[len(stem) :])
+        new = list({*stems, *marks}.difference(self.parts))
+        groups = [new[low : low + TOGETHER] for low in range(0, len(new), TOGETHER)]
+        for group, encoding in zip(groups, self._encoded(self.token.join(group) for group in groups)):
+            ids = np.array(encoding.ids, "<u4")
+            data, begin = ids.tobytes(), 0
+            for part, end in zip(group, np.append(np.flatnonzero(ids == self.between), len(ids)).tolist(), strict=True):
+                self.parts[part] = data[4 * begin : 4 * end]
+                begin = end + 1
+        parts = self.parts
+        for word, stem, closing in zip(whole, stems, marks):
+            self[word] = parts[stem] + parts[closing]
+        for word, encoding in zip(alone, self._encoded(alone)):
             self[word] = np.array(encoding.ids, "<u4").tobytes()
 
+    def _encoded(self, texts):
+        return self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in texts], add_special_tokens=False)
+
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document of `docs` (doc_id, text): doc_id, piece (from 0), start,
     length, ids_crc32 and a number `row` of its own; with `with_ids` also its ids.
 
-    `vocabulary` is the content of a tokenizer file whose tokens never span ASCII white space;
-    words between white space go through the tokenizer apart. `end` closes every document, so
+    `vocabulary` is the content of a tokenizer file that has a special token and whose tokens
+    span neither ASCII white space nor a letter and a mark after it: words go through it apart,
+    see `WordIds`. `end` closes every document, so
     null and empty texts have one piece of one token. Documents longer than `capacity` are cut
     every `capacity` tokens. Repeated rows are documents of their own; an empty table has no
     pieces; other columns are not read."""

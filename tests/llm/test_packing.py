@@ -24,7 +24,7 @@ def whole(text, end=1):
 
 def test_words_apart_give_the_ids_of_the_text(vocabulary):
     table, draw, tokenizer = WordIds(vocabulary), random.Random(1), Tokenizer.from_file(PATH)
-    signs = [*"aAbΣςİıßé́̀ \t\n\r\x0b\x0c\x1c\x85  　'sS12漢字가😀.,-!", "<|endoftext|>", "<|startoftext|>", "'ll", "ͅ"]
+    signs = [*"aAbJ̌×÷;:*#%Σςİıßé́̀ \t\n\r\x0b\x0c\x1c\x85  　'sS12漢字가😀.,-!", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|startof", "text|>", "'ll", "ж", "ñ.", "ͅ"]
     for _ in range(3000):
         text = "".join(draw.choice(signs) for _ in range(draw.randint(0, 30)))
         words = text.encode().split()
