@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .frames import cut, texts
 
-CAPACITY, END, GROUP, HELD, TOGETHER = 4096, 1, 32_768, 600_000, 200
+CAPACITY, END, GROUP, HELD, TOGETHER = 4096, 1, 32_768, 600_000, 12
 #: Sequences with more than this share of their capacity left are packed again.
 ROOM = 1 / 64
 #: Marks that close a word, and the lead bytes of U+00C0 to U+023F and U+0400 to U+047F, which
@@ -39,10 +39,10 @@ class WordIds(dict):
     """Word -> its ids as little-endian bytes, for at most `HELD` words between batches.
 
     Closing marks after a letter or digit are pieces of their own for the tokenizer, so stem and
-    marks are looked up apart, ASCII stems in lower case if the tokenizer makes them so. Many
-    pieces go through it as one text, with one of its special tokens between them, as it takes
-    what lies between such tokens apart from the rest. Words that share a sign with the ends of
-    that token go alone and whole."""
+    marks are looked up apart, ASCII stems in lower case if the tokenizer makes them so. Some
+    pieces at a time go through it as one text, with one of its special tokens between them, as
+    it takes what lies between such tokens apart from the rest; ASCII letters with blanks
+    between. Words that share a sign with the ends of that token go alone and whole."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
@@ -55,6 +55,11 @@ class WordIds(dict):
         plain = ((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
         self.between, token = next(plain, (-1, ""))
         self.token = token.encode()
+        # Where the last token of a run of letters shows by its suffix, runs need no token between.
+        suffix, self.closes = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
+        if suffix:
+            self.closes = np.zeros(self.tokenizer.get_vocab_size(), np.bool_)
+            self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) > HELD:
@@ -73,19 +78,26 @@ class WordIds(dict):
             stems.append(stem.lower() if lowers and stem.isascii() else stem)
             marks.append(word[len(stem) :])
         new = list({*stems, *marks}.difference(self.parts))
-        groups = [new[low : low + TOGETHER] for low in range(0, len(new), TOGETHER)]
-        for group, encoding in zip(groups, self._encoded(self.token.join(group) for group in groups)):
-            ids = np.array(encoding.ids, "<u4")
-            data, begin = ids.tobytes(), 0
-            for part, end in zip(group, np.append(np.flatnonzero(ids == self.between), len(ids)).tolist(), strict=True):
-                self.parts[part] = data[4 * begin : 4 * end]
-                begin = end + 1
+        plain = [part for part in new if part.isalpha()] if self.closes is not None else []
+        self._take(plain, b" ", lambda ids: np.flatnonzero(self.closes[ids]) + 1, 0)
+        self._take([part for part in new if part not in self.parts], self.token, lambda ids: np.append(np.flatnonzero(ids == self.between), len(ids)), 1)
         parts = self.parts
         for word, stem, closing in zip(whole, stems, marks):
             self[word] = parts[stem] + parts[closing]
         for word, encoding in zip(alone, self._encoded(alone)):
             self[word] = np.array(encoding.ids, "<u4").tobytes()
 
+    def _take(self, new: list[bytes], between: bytes, ends_of, skip: int) -> None:
+        """Look up `new`, some in one text; `ends_of` tells where the ids of each end, of which
+        `skip` are left out after it."""
+        groups = [new[low : low + TOGETHER] for low in range(0, len(new), TOGETHER)]
+        for group, encoding in zip(groups, self._encoded(between.join(group) for group in groups)):
+            ids = np.array(encoding.ids, "<u4")
+            data, begin = ids.tobytes(), 0
+            for part, end in zip(group, ends_of(ids).tolist(), strict=True):
+                self.parts[part] = data[4 * begin : 4 * end]
+                begin = end + skip
+
     def _encoded(self, texts):
         return self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in texts], add_special_tokens=False)
 
