@@ -39,7 +39,8 @@ SCRIPTS = {
     "Han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)],
     "Hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
 }
-LETTER, WORD = regex.compile(r"\p{L}"), regex.compile(r"[\p{L}\p{M}]+")
+#: Letters and marks with one letter at least.
+WORD = regex.compile(r"\p{M}*+\p{L}[\p{L}\p{M}]*+")
 _FIRST = np.array([low for ranges in SCRIPTS.values() for low, _ in ranges])
 _LAST = np.array([high for ranges in SCRIPTS.values() for _, high in ranges])
 _OF = np.array([number for number, ranges in enumerate(SCRIPTS.values()) for _ in ranges])
@@ -172,6 +173,36 @@ class Scores(dict):
         return self.table
 
 
+def one_language(scores: np.ndarray, switch: float) -> int | None:
+    """The language of all words, if no path that changes language can be better, else None.
+
+    Of the paths without change, the best is taken. If no stretch of words gains half of
+    `switch` or more by another language, then k stretches gain less than k / 2 times `switch`
+    and cost k times that, or k - 1 times if the best language is given up for good."""
+    scores = scores.astype(np.float64)
+    best = int(scores.sum(0).argmax())
+    gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
+    lowest = np.minimum.accumulate(np.vstack([np.zeros((1, scores.shape[1])), gain[:-1]]), axis=0)
+    return best if (gain - lowest).max() < switch / 2 - 1e-3 else None
+
+
+def paths_of(rows: list[np.ndarray], table: np.ndarray, switch: float) -> list[np.ndarray]:
+    """The best language of each word of each text; only texts that may change language are
+    searched."""
+    out = [np.empty(0, np.int64)] * len(rows)
+    searched = []
+    for k, row in enumerate(rows):
+        if len(row):
+            found = one_language(table[row], switch)
+            if found is None:
+                searched.append(k)
+            else:
+                out[k] = np.full(len(row), found, np.int64)
+    for k, path in zip(searched, best_paths([rows[k] for k in searched], table, switch)):
+        out[k] = path
+    return out
+
+
 def best_paths(rows: list[np.ndarray], table: np.ndarray, switch: float) -> list[np.ndarray]:
     """The best language of each word, for many texts at once: step t handles word t of
     every text that has one, texts in order of length."""
@@ -241,7 +272,7 @@ def _labelled(docs: DataFrame, source: DataFrame, model: Model, switch: float) -
                 texts = part.column(1).to_pylist()
                 scores.renew()
                 rows = [scores.rows(_words(text)) if model.languages else np.empty(0, np.int64) for text in texts]
-                paths = best_paths(rows, scores.settle(), switch)
+                paths = paths_of(rows, scores.settle(), switch)
                 names, shares, counts, spans = [], [], [], []
                 for path in paths:
                     counts.append(len(path))
@@ -266,7 +297,7 @@ def _labelled(docs: DataFrame, source: DataFrame, model: Model, switch: float) -
     return source.mapInArrow(run, schema)
 
 
-def _parts(batch, limit: int = 1_000_000):
+def _parts(batch, limit: int = 4_000_000):
     """Slices of a batch with a bounded number of characters, one text at least."""
     first, size = 0, 0
     for k, text in enumerate(batch.column(1)):

@@ -1,6 +1,6 @@
 import numpy as np
 
-from rowloom.llm.language_id import best_paths, keep_known, label, learn, script
+from rowloom.llm.language_id import best_paths, keep_known, label, learn, paths_of, script
 
 ENGLISH = "the quick brown fox jumps over the lazy dog and then it was there with the others which they thought should have been".split()
 GERMAN = "der schnelle braune fuchs springt über den faulen hund und dann ist es nicht mehr da weil sie gedacht haben müssten".split()
@@ -58,5 +58,38 @@ def test_paths_against_all_paths():
         assert not len(row) or abs(value(row, path) - max(value(row, p) for p in every)) < 1e-4
 
 
+def test_texts_that_stay_with_one_language_need_no_search():
+    """The shortcut gives the paths of the full search, for all lengths and strengths."""
+    draw = np.random.default_rng(2)
+    one = 0
+    for strength in (0.05, 0.2, 0.5, 2.0):
+        table = -strength * draw.random((50, 4)).astype(np.float32)
+        table[:, 1] *= draw.choice([0.2, 1.0])
+        rows = [draw.integers(0, 50, n) for n in draw.integers(0, 120, 60)]
+        full, short = best_paths(rows, table, 3.0), paths_of(rows, table, 3.0)
+        for row, path, other in zip(rows, full, short):
+            one += len(row) > 0 and len(set(path)) == 1
+            values = [table[row, p].sum() - 3.0 * (np.diff(p) != 0).sum() for p in (path, other)]
+            assert len(path) == len(other) and abs(values[0] - values[1]) < 1e-3
+    assert one > 40
+
+
+def test_marks_without_a_letter_are_no_words(docs):
+    rows = docs([(1, "1️⃣ 2️⃣"), (2, "̈ ́"), (3, "1️⃣ THE FOX ️"), (4, "e\u0301")])
+    found = {r["doc_id"]: (r["lang_pred"], r["n_letter_words"]) for r in label(rows, learn(labelled(docs))).collect()}
+    assert found[1] == found[2] == ("und", 0) and found[3] == ("en", 2) and found[4][1] == 1
+
+
+def test_ties_long_texts_and_clashing_columns(docs):
+    model = learn(labelled(docs))
+    # Half of the words each: of equal shares the first language by name.
+    tie = " ".join(ENGLISH[:12] + GERMAN[:12])
+    long = " ".join(ENGLISH) + " " + " ".join(GERMAN * 20_000)
+    rows = docs([(1, tie, "x", 1.0, "s"), (2, long, "x", 2.0, "s"), (2, long, None, None, None)], "doc_id long, text string, lang_pred string, score double, spans string")
+    found = [tuple(r) for r in label(rows, model).collect()]
+    assert found[0][1:3] == ("de", 0.5) and found[1] == found[2] and found[1][1] == "de" and len(found[1][4]) == 2
+    assert sorted(r["row"] for r in keep_known(rows.withColumnRenamed("score", "row"), model, 0.4).where("row is not null").select("row").collect()) == [1.0, 2.0]
+
+
 def test_scripts():
     assert script("a") != script("я") != script("漢") and script("é") == script("z")
