@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 
 import numpy as np
@@ -28,9 +29,9 @@ from .frames import cut, texts
 CAPACITY, END, GROUP, HELD, TOGETHER = 4096, 1, 32_768, 600_000, 12
 #: Sequences with more than this share of their capacity left are packed again.
 ROOM = 1 / 64
-#: Marks that close a word, and the lead bytes of U+00C0 to U+023F and U+0400 to U+047F, which
-#: are letters but for two signs (and one that becomes a letter and a mark in lower case).
-CLOSING, TWO_BYTE_LETTERS, SIGNS = b".,;:!?*$%&#", frozenset(bytes([x]) for x in (*range(0xC3, 0xC9), 0xD0, 0xD1)), tuple(sign.encode() for sign in "\u00d7\u00f7\u0130")
+#: A mark that closes a word, after a letter or digit. Letters: ASCII and U+00C0 to U+023F and
+#: U+0400 to U+047F by their two bytes, but for two signs and one that gets a mark in lower case.
+CLOSING = re.compile(rb"[.,;:!?*$%&#](?:(?<=[0-9A-Za-z].)|(?<=[\xc3-\xc8\xd0\xd1][\x80-\xbf].)(?<!\xc3[\x97\xb7].)(?<!\xc4\xb0.))")
 #: Words already turned into ids by this worker, by vocabulary.
 _known: dict[str, "WordIds"] = {}
 
@@ -38,11 +39,11 @@ _known: dict[str, "WordIds"] = {}
 class WordIds(dict):
     """Word -> its ids as little-endian bytes, for at most `HELD` words between batches.
 
-    Closing marks after a letter or digit are pieces of their own for the tokenizer, so stem and
-    marks are looked up apart, ASCII stems in lower case if the tokenizer makes them so. Some
-    pieces at a time go through it as one text, with one of its special tokens between them, as
-    it takes what lies between such tokens apart from the rest; ASCII letters with blanks
-    between. Words that share a sign with the ends of that token go alone and whole."""
+    Closing marks after a letter or digit are pieces of their own for the tokenizer, so `words`
+    parts them; it makes ASCII letters lower case if the tokenizer does. Some words at a time go
+    through it as one text, with one of its special tokens between them, as it takes what lies
+    between such tokens apart from the rest; ASCII letters with blanks between. Texts that share
+    a sign with the ends of that token are left as they are, and such words go alone."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
@@ -50,7 +51,6 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.parts: dict[bytes, bytes] = {b"": b""}
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         plain = ((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
         self.between, token = next(plain, (-1, ""))
@@ -61,29 +61,26 @@ class WordIds(dict):
             self.closes = np.zeros(self.tokenizer.get_vocab_size(), np.bool_)
             self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
+    def _apart(self, text: bytes) -> bool:
+        return self.token[:1] in text or self.token[-1:] in text
+
+    def words(self, text: bytes | None) -> list[bytes]:
+        if not text or self._apart(text):
+            return text.split() if text else []
+        # Only the marks from U+0300 to U+036F ever join an ASCII letter before them.
+        if self.lowers and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return CLOSING.sub(rb" \g<0>", text).split()
+
     def learn(self, words: set[bytes]) -> None:
         if len(self) > HELD:
             self.clear()
-            self.parts = {b"": b""}
-        first, last, lowers = self.token[:1], self.token[-1:], self.lowers
-        whole, stems, marks, alone = [], [], [], []
-        for word in words.difference(self):
-            if first in word or last in word:
-                alone.append(word)
-                continue
-            stem = word.rstrip(CLOSING)
-            if len(stem) < len(word) and not (stem[-1:].isalnum() or stem[-2:-1] in TWO_BYTE_LETTERS and stem[-2:] not in SIGNS):
-                stem = word
-            whole.append(word)
-            stems.append(stem.lower() if lowers and stem.isascii() else stem)
-            marks.append(word[len(stem) :])
-        new = list({*stems, *marks}.difference(self.parts))
-        plain = [part for part in new if part.isalpha()] if self.closes is not None else []
-        self._take(plain, b" ", lambda ids: np.flatnonzero(self.closes[ids]) + 1, 0)
-        self._take([part for part in new if part not in self.parts], self.token, lambda ids: np.append(np.flatnonzero(ids == self.between), len(ids)), 1)
-        parts = self.parts
-        for word, stem, closing in zip(whole, stems, marks):
-            self[word] = parts[stem] + parts[closing]
+        new = words.difference(self)
+        runs = [word for word in new if word.isalpha()] if self.closes is not None else []
+        self._take(runs, b" ", lambda ids: np.flatnonzero(self.closes[ids]) + 1, 0)
+        rest = new.difference(runs)
+        alone = [word for word in rest if self._apart(word)]
+        self._take(list(rest.difference(alone)), self.token, lambda ids: np.append(np.flatnonzero(ids == self.between), len(ids)), 1)
         for word, encoding in zip(alone, self._encoded(alone)):
             self[word] = np.array(encoding.ids, "<u4").tobytes()
 
@@ -95,7 +92,7 @@ class WordIds(dict):
             ids = np.array(encoding.ids, "<u4")
             data, begin = ids.tobytes(), 0
             for part, end in zip(group, ends_of(ids).tolist(), strict=True):
-                self.parts[part] = data[4 * begin : 4 * end]
+                self[part] = data[4 * begin : 4 * end]
                 begin = end + skip
 
     def _encoded(self, texts):
@@ -121,7 +118,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
         if table is None:
             table = _known[sent.value] = WordIds(sent.value)
         for batch in batches:
-            documents = [(text.as_py() or b"").split() for text in batch.column(1)]
+            documents = [table.words(text.as_py()) for text in batch.column(1)]
             table.learn(set().union(*documents))
             rows: list[tuple] = []
             held = 0
