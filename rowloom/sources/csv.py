@@ -48,6 +48,17 @@ def has_quoted_breaks(spark: SparkSession, path: str | list[str]) -> bool:
     return not spark.read.text(path).where(F.contains(line, F.lit('"')) & (quotes % 2 == 1)).isEmpty()
 
 
+def _check_lines(spark: SparkSession, path: str | list[str]) -> None:
+    """No line may end inside a quoted cell. One pass, stopping at the first that does."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    # Without its closed cells, such a line still has a quote where a cell begins.
+    rest = F.regexp_replace(line, '(^|,)"(?:[^"]|"")*+"(?!")', "$1")
+    found = spark.read.text(path).where((quotes % 2 == 1) & F.rlike(rest, F.lit('(^|,)"'))).first()
+    if found is not None:
+        raise ValueError(f"A line ends inside a quoted cell: {found[0][:200]}")
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -64,15 +75,20 @@ def read_csv(
     ``on_ragged``: rows of another width than the header are padded or cut
     ("pad"), left out ("skip"), or fail the run ("fail").
     ``on_damage``: a quoted cell that the file ends in fails the run ("fail"), or
-    reaches to the end of the file ("row"). A quote opens a cell only at its
-    beginning; elsewhere outside quotes it is text.
+    reaches to the end of the file ("row"). With ``quoted_breaks=False`` the same holds
+    for every line, which "fail" takes a pass to look for (but in UTF-16 and UTF-32). A
+    quote opens a cell only at its beginning; elsewhere outside quotes it is text.
     """
+    if on_damage not in ("fail", "row"):
+        raise ValueError(f"Unknown on_damage '{on_damage}'.")
     if on_ragged not in ("pad", "skip", "fail"):
         raise ValueError(f"Unknown on_ragged '{on_ragged}'.")
     header = None if names is not None else _header(spark, path, encoding)
     names = list(names) if names is not None else resolve_names(header)
     if quoted_breaks is None:
         quoted_breaks = has_quoted_breaks(spark, path)
+    elif not quoted_breaks and on_damage == "fail" and not encoding.upper().startswith(("UTF-16", "UTF16", "UTF-32", "UTF32")):
+        _check_lines(spark, path)
     if quoted_breaks:
         if encoding.upper().replace("-", "") != "UTF8":
             raise ValueError("Quoted line breaks are only read from UTF-8 files.")

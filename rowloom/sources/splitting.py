@@ -13,7 +13,10 @@ whole would put it into one task. Instead:
 3. Every split cuts its text. Records inside a split are final; only the pieces
    at its two ends are grouped (by record number) with those of its neighbours.
 
-The record text itself is never shuffled, apart from those end pieces.
+The record text itself is never shuffled, apart from those end pieces. Where nothing
+nests, as in CSV, the first pass knows but for the string state where a split has its
+first and last cut, and hands on both ends for either state; then there is no other
+pass for them.
 """
 
 from __future__ import annotations
@@ -28,9 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import fresh_path
 from .scan import BLOCK, FILE, STEP, may_broadcast
 
 _NOT_A_MARK = 9
+# An end piece that the first pass hands on has this many bytes at most. A longer one that
+# turns out to be needed means one more pass for the ends, as where marks nest.
+END_BYTES = 64 * 1024
 
 
 @dataclass(frozen=True)
@@ -50,6 +57,10 @@ class Grammar:
             table[ord(mark)] = move
         return table
 
+    @property
+    def nests(self) -> bool:
+        return any(move for _, move in self.marks)
+
 
 # A cut is any mark at depth 1: the root's brackets and the commas in between.
 JSON_ROOT = Grammar((("[", 1), ("{", 1), ("]", -1), ("}", -1), (",", 0)), 0, True)
@@ -123,30 +134,74 @@ def _by_split(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Rec
             yield (part.column(0)[0].as_py(), part.column(1)[0].as_py()), part
 
 
-_SUMMARY = f"{FILE} bigint, {BLOCK} bigint, ends array<int>, moves array<bigint>, marks array<map<bigint,bigint>>"
+_SUMMARY = (
+    f"{FILE} bigint, {BLOCK} bigint, ends array<int>, moves array<bigint>, marks array<map<bigint,bigint>>, "
+    "pieces array<struct<head:string,tail:string,long:boolean>>"
+)
 _ARROW_SUMMARY = pa.schema([
     (FILE, pa.int64()), (BLOCK, pa.int64()), ("ends", pa.list_(pa.int32())), ("moves", pa.list_(pa.int64())),
     ("marks", pa.list_(pa.map_(pa.int64(), pa.int64()))),
+    ("pieces", pa.list_(pa.struct([("head", pa.string()), ("tail", pa.string()), ("long", pa.bool_())]))),
 ])
 
 
+class _Ends:
+    """What stands before the first and after the last cut of a split, for one state."""
+
+    def __init__(self) -> None:
+        self.head: list[bytes] = []
+        self.tail: list[bytes] | None = None  # None: no cut so far, the head goes on
+        self.size, self.long = 0, False
+
+    def _add(self, part: list[bytes], data: np.ndarray) -> None:
+        self.size += data.size
+        if self.size <= END_BYTES:
+            part.append(data.tobytes())
+        else:
+            self.long = True
+
+    def add(self, data: np.ndarray, cuts: np.ndarray) -> None:
+        if not cuts.size:
+            self._add(self.head if self.tail is None else self.tail, data)
+            return
+        if self.tail is None:
+            self._add(self.head, data[: cuts[0]])
+            self.long_head = self.long
+        self.tail, self.size, self.long = [], 0, self.long_head
+        self._add(self.tail, data[cuts[-1] + 1 :])
+
+    def found(self) -> dict:
+        return {"head": _one(b"".join(self.head)), "tail": None if self.tail is None else _one(b"".join(self.tail)), "long": self.long}
+
+
+def _one(text: bytes) -> str:
+    return _as_text(pa.array([text], pa.large_binary()))[0]
+
+
 def _summarise(grammar: Grammar, separator: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moves = grammar.moves()
-        split, ends, depth, counts = None, [0, 1], [0, 0], [{}, {}]
+        split, ends, depth, counts, edges = None, [0, 1], [0, 0], [{}, {}], [_Ends(), _Ends()]
 
         def finished() -> pa.RecordBatch:
-            row = {FILE: split[0], BLOCK: split[1], "ends": ends, "moves": depth, "marks": [list(c.items()) for c in counts]}
-            return pa.RecordBatch.from_pylist([row], _ARROW_SUMMARY)
+            pieces = [[edge.found() for edge in edges]] if not grammar.nests else [None]
+            columns = [[split[0]], [split[1]], [ends], [depth], [[list(c.items()) for c in counts]], pieces]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, _ARROW_SUMMARY.types)], schema=_ARROW_SUMMARY)
 
         for key, batch in _by_split(batches):
             if key != split:
                 if split is not None:
                     yield finished()
-                split, ends, depth, counts = key, [0, 1], [0, 0], [{}, {}]
-            _, move, states, final = _marks(_joined(batch.column(2), separator), grammar, moves)
+                split, ends, depth, counts, edges = key, [0, 1], [0, 0], [{}, {}], [_Ends(), _Ends()]
+            data = _joined(batch.column(2), separator)
+            at, move, states, final = _marks(data, grammar, moves)
             for inside in (0, 1):  # the split starts outside / inside a string
-                chosen = move[states[ends[inside]] == 0]
+                outside = states[ends[inside]] == 0
+                if not grammar.nests:
+                    counts[inside][0] = counts[inside].get(0, 0) + int(outside.sum())
+                    edges[inside].add(data, at[outside])
+                    continue
+                chosen = move[outside]
                 levels, amounts = np.unique(_levels(chosen) + depth[inside], return_counts=True)
                 for level, amount in zip(levels.tolist(), amounts.tolist(), strict=True):
                     counts[inside][level] = counts[inside].get(level, 0) + amount
@@ -177,7 +232,8 @@ def _starts(summaries: DataFrame, grammar: Grammar, end_depths: Collection[int])
     depth = moved.withColumn("depth", F.coalesce(F.sum("move").over(before), F.lit(0)) + grammar.start_depth)
     cuts = depth.withColumn("cuts", F.coalesce(F.try_element_at("levels", (1 - F.col("depth")).cast("bigint")), F.lit(0)))
     cut_short = (F.last("end").over(whole) == 1) | ~F.sum("move").over(whole).isin(list(end_depths))
-    return cuts.select(FILE, BLOCK, "inside", "depth", F.coalesce(F.sum("cuts").over(before), F.lit(0)).alias("number"), cut_short.alias("cut_short"))
+    number = F.coalesce(F.sum("cuts").over(before), F.lit(0)).alias("number")
+    return cuts.select(FILE, BLOCK, "inside", "depth", number, "cuts", cut_short.alias("cut_short"))
 
 
 _PIECE = f"{FILE} bigint, {BLOCK} bigint, number bigint, text string, closed boolean"
@@ -240,6 +296,18 @@ def _cut(grammar: Grammar, separator: str, whole: bool):
     return run
 
 
+def _handed_on(summaries: DataFrame, starts: DataFrame) -> DataFrame | None:
+    """The pieces at split ends as the first pass found them, or None if one is too long."""
+    chosen = F.col("pieces")[F.col("inside")]
+    known = starts.select(FILE, BLOCK, "inside", "number", "cuts")
+    found = summaries.select(FILE, BLOCK, "pieces").join(known, [FILE, BLOCK]).select(FILE, BLOCK, "number", "cuts", chosen.alias("piece"))
+    if not found.where("piece.long").isEmpty():
+        return None
+    head = F.struct(F.col("number"), F.col("piece.head").alias("text"), (F.col("cuts") > 0).alias("closed"))
+    tail = F.struct((F.col("number") + F.col("cuts")).alias("number"), F.col("piece.tail").alias("text"), F.lit(False).alias("closed"))
+    return found.select(FILE, BLOCK, F.explode(F.array(head, tail)).alias("end")).select(FILE, BLOCK, "end.*").where("text is not null")
+
+
 # A table of file names and keys of at most this many rows, some 300 bytes each, may be broadcast.
 MAX_BROADCAST_FILES = 2_000_000
 
@@ -286,6 +354,10 @@ def split_records(
         F.monotonically_increasing_id().alias(STEP),
     )
     summaries = pieces.select(FILE, BLOCK, "value").mapInArrow(_summarise(grammar, separator), _SUMMARY)
+    if not grammar.nests:  # they are read twice: for the states, and for the ends
+        folder = fresh_path(spark, "summaries")
+        summaries.write.parquet(folder)
+        summaries = spark.read.schema(_SUMMARY).parquet(folder)
     # A separator is put after the last piece as well, unless the file ends with one.
     added = dict(grammar.marks).get(separator, 0)
     starts = _starts(summaries, grammar, {0, added} if root == separator else {added})
@@ -300,7 +372,9 @@ def split_records(
         joined = pieces.join(starts, [FILE, BLOCK]).repartition(FILE, BLOCK)
         placed = joined.sortWithinPartitions(FILE, BLOCK, STEP).select(columns)
     inner = placed.mapInArrow(_cut(grammar, separator, whole=True), _PIECE)
-    ends = placed.mapInArrow(_cut(grammar, separator, whole=False), _PIECE)
+    ends = _handed_on(summaries, starts) if not grammar.nests else None
+    if ends is None:
+        ends = placed.mapInArrow(_cut(grammar, separator, whole=False), _PIECE)
     stitched = ends.groupBy(FILE, "number").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(BLOCK, "text"))), lambda p: p["text"]), "").alias("text"),
         F.bool_or("closed").alias("closed"),

@@ -174,3 +174,35 @@ def test_quote_states_against_one_pass():
             # case a text cannot show; runs of quotes never reach over a line break.
             if not (start and text[:1] == '"'):
                 assert states[start].tolist() == seen and final[start] == inside, text
+
+
+def test_csv_rows_longer_than_what_the_first_pass_hands_on(spark, text_file, tiny_splits):
+    rows = [["a", "b"], ["x", "long \n" * 30_000], ['"', "short,\n"], ["y " * 50_000, "z"]] + [[str(i), "q\n" * (i % 3)] for i in range(3000)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(rows)
+    found = read_csv(spark, text_file("long.csv", out.getvalue()))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows[1:]))
+
+
+def test_csv_with_bytes_that_are_no_text(spark, tmp_path, tiny_splits):
+    path = tmp_path / "raw.csv"
+    path.write_bytes(b"a,b\n" + b"".join(b'"\xff%d\n",\xfe\n' % i for i in range(2000)))
+    found = read_csv(spark, str(path)).selectExpr("cast(a as binary) a", "cast(b as binary) b").collect()
+    assert len(found) == 2000 and all(b"\n" in bytes(r["a"]) for r in found)
+
+
+def test_ends_of_splits_take_no_pass_of_their_own(spark, text_file):
+    path = text_file("p.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    plan = splitting.split_records(spark, path, splitting.CSV_ROWS, "\n", with_file=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_damage_is_told_in_both_modes(spark, text_file):
+    path = text_file("d.csv", 'a,b\n"x"" y,1\n2,z\n')
+    for quoted_breaks in (None, True, False):
+        with pytest.raises(Exception, match="inside"):
+            read_csv(spark, path, quoted_breaks=quoted_breaks).collect()
+    assert read_csv(spark, path, quoted_breaks=False, on_damage="row").count() == 2
+    fine = text_file("f.csv", 'a,b\n5" pipe,1\n"a ""b""","c"\n"",x"y\n"""",1\n')
+    found = sorted(map(tuple, read_csv(spark, fine, quoted_breaks=False).collect()))
+    assert found == sorted([('5" pipe', "1"), ('a "b"', "c"), ("", 'x"y'), ('"', "1")])
