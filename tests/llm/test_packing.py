@@ -27,7 +27,7 @@ def test_words_apart_give_the_ids_of_the_text(vocabulary):
     signs = [*"aAbJ̌×÷;:*#%Σςİıßé́̀ \t\n\r\x0b\x0c\x1c\x85  　'sS12漢字가😀.,-!", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|startof", "text|>", "'ll", "ж", "ñ.", "ͅ"]
     for _ in range(3000):
         text = "".join(draw.choice(signs) for _ in range(draw.randint(0, 30)))
-        words = text.encode().split()
+        words = table.words(text.encode())
         table.learn(set(words))
         assert np.frombuffer(b"".join(table[w] for w in words), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
