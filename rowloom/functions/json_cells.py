@@ -45,7 +45,7 @@ def elements(value: Column) -> Column:
 
 def variant_type(value: Column) -> Column:
     """First word of the variant's schema: OBJECT, ARRAY, STRING, BIGINT, ..."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
 def kind(value: Column) -> Column:

@@ -179,26 +179,38 @@ def with_cells(lines: DataFrame, keys: Iterable[str], exact: bool = True, prefix
     lines the variant parser refuses, are read once more by the exact reader.
     """
     keys = list(keys)
-    line, record = F.col(LINE), F.col("record")
-    parsed = lines if "record" in lines.columns else lines.withColumn("record", F.try_parse_json(LINE))
-    base = parsed.columns
-    values = parsed.select("*", *(J.member(record, key).alias(f"__v{i}") for i, key in enumerate(keys)))
-    typed = values.select("*", *(J.variant_type(F.col(f"__v{i}")).alias(f"__k{i}") for i in range(len(keys))))
-    readable = record.isNotNull() & J.is_object_line(line)
-    plain = [_plain_cell(F.col(f"__v{i}"), F.col(f"__k{i}"), line, exact) for i in range(len(keys))]
-    first = typed.select(*base, *(F.when(readable, cell).alias(f"__p{i}") for i, cell in enumerate(plain)))
+    parsed, base = _with_record(lines)
+    if not keys:
+        return parsed
+    line = F.col(LINE)
+    found = F.transform(_typed(keys), lambda c: _plain_cell(c["value"], c["type"], line, exact))
+    first = parsed.select("*", F.when(_readable(), found).alias("__plain"))
     if not exact:
         broken = _cell_struct("invalid", None)
-        return first.select(*base, *(F.coalesce(F.col(f"__p{i}"), broken).alias(f"{prefix}_{i}") for i in range(len(keys))))
-    if not keys:
-        return first.select(*base)
-    some_open = reduce(lambda a, b: a | b, (F.col(f"__p{i}").isNull() for i in range(len(keys))))
+        return first.select(*base, *(F.coalesce(F.col("__plain")[i], broken).alias(f"{prefix}_{i}") for i in range(len(keys))))
+    some_open = F.col("__plain").isNull() | F.exists("__plain", lambda c: c.isNull())
     read = first.select("*", exact_cells(F.when(some_open, line), keys).alias("__exact"))
     return read.select(
-        *base, *(F.coalesce(F.col(f"__p{i}"), F.col("__exact")[i]).alias(f"{prefix}_{i}") for i in range(len(keys)))
+        *base, *(F.coalesce(F.col("__plain")[i], F.col("__exact")[i]).alias(f"{prefix}_{i}") for i in range(len(keys)))
     )
 
 
+def _with_record(lines: DataFrame) -> tuple[DataFrame, list[str]]:
+    parsed = lines if "record" in lines.columns else lines.withColumn("record", F.try_parse_json(LINE))
+    return parsed, parsed.columns
+
+
+def _readable() -> Column:
+    return F.col("record").isNotNull() & J.is_object_line(F.col(LINE))
+
+
+def _typed(keys: list[str]) -> Column:
+    """The members as an array of (value, type). Cells are made of it by one expression
+    over the array, so that neither code nor work grows faster than the number of keys."""
+    values = F.array(*(J.member(F.col("record"), key) for key in keys))
+    return F.transform(values, lambda v: F.struct(v.alias("value"), J.variant_type(v).alias("type")))
+
+
 def _cell_struct(kind: str | Column, text: Column | None, raw: Column | None = None) -> Column:
     nothing = F.lit(None).cast("string")
     kind = F.lit(kind) if isinstance(kind, str) else kind
@@ -236,45 +248,46 @@ def with_shown(lines: DataFrame, keys: Iterable[str], exact: bool = True, prefix
     lines with escapes (which a view shows unescaped), need the exact reader.
     """
     keys = list(keys)
-    line, record = F.col(LINE), F.col("record")
-    parsed = lines if "record" in lines.columns else lines.withColumn("record", F.try_parse_json(LINE))
-    base = parsed.columns
-    count = range(len(keys))
-    values = parsed.select("*", *(J.member(record, key).alias(f"__v{i}") for i, key in enumerate(keys)))
-    typed = values.select("*", *(J.variant_type(F.col(f"__v{i}")).alias(f"__k{i}") for i in count))
-    numbers = typed.select(
-        "*", *(F.when(F.col(f"__k{i}").isin("DECIMAL", "DOUBLE"), J.as_double(F.col(f"__v{i}"))).alias(f"__n{i}") for i in count)
-    )
-    readable = record.isNotNull() & J.is_object_line(line)
+    parsed, base = _with_record(lines)
+    if not keys:
+        return parsed
+    line, count = F.col(LINE), range(len(keys))
     escaped = F.contains(line, F.lit("\\"))
-    shown = []
-    for i in count:
-        plain = readable & ~(escaped & (F.coalesce(F.col(f"__k{i}"), F.lit("")) == "STRING")) if exact else readable
-        shown.append(F.when(plain, J.display(F.col(f"__v{i}"), F.col(f"__k{i}"), F.col(f"__n{i}"))).alias(f"__s{i}"))
-    first = numbers.select(*base, *shown)
+
+    def text(c: Column) -> Column:
+        shown = J.display(c["value"], c["type"], c["number"])
+        return F.when(~(escaped & (F.coalesce(c["type"], F.lit("")) == "STRING")), shown) if exact else shown
+
+    numbers = F.transform(_typed(keys), lambda c: F.struct(c["value"].alias("value"), c["type"].alias("type"), F.when(c["type"].isin("DECIMAL", "DOUBLE"), J.as_double(c["value"])).alias("number")))
+    first = parsed.select("*", F.when(_readable(), F.transform(numbers, text)).alias("__plain"))
     if not exact:
-        return first.select(*base, *(F.coalesce(f"__s{i}", F.lit(ERROR_TEXT)).alias(f"{prefix}_{i}") for i in count))
-    some_open = reduce(lambda a, b: a | b, (F.col(f"__s{i}").isNull() for i in count), F.lit(False))
+        return first.select(*base, *(F.coalesce(F.col("__plain")[i], F.lit(ERROR_TEXT)).alias(f"{prefix}_{i}") for i in count))
+    some_open = F.col("__plain").isNull() | F.exists("__plain", lambda c: c.isNull())
     read = first.select("*", exact_cells(F.when(some_open, line), keys).alias("__exact"))
-    stages = Stages()
-    late = [_shown_cell(F.col("__exact")[i], stages) for i in count]
-    return stages.before(read).select(
-        *base, *(F.coalesce(F.col(f"__s{i}"), text).alias(f"{prefix}_{i}") for i, text in enumerate(late))
+    late = read.select(*base, "__plain", _shown_cells(F.col("__exact")).alias("__late"))
+    return late.select(*base, *(F.coalesce(F.col("__plain")[i], F.col("__late")[i]).alias(f"{prefix}_{i}") for i in count))
+
+
+def _shown_cells(cells: Column) -> Column:
+    """View texts of CELLs: sentinels, normalised numbers, previews of nested values."""
+    read = F.transform(
+        cells,
+        lambda c: F.struct(
+            c["kind"].alias("kind"), c["raw"].alias("raw"), F.when(c["kind"].isin("object", "array"), F.try_parse_json(c["raw"])).alias("nested"),
+            F.when(c["kind"] == "number", c["raw"].try_cast("double")).alias("number"),
+        ),
     )
 
+    def text(c: Column) -> Column:
+        kind = c["kind"]
+        return (
+            F.when(kind == "string", c["raw"])
+            .when(kind == "number", F.coalesce(parse_whole(c["raw"]).cast("string"), double_text(c["number"]), F.lit(ERROR_TEXT)))
+            .when(kind == "boolean", F.initcap(c["raw"]))
+            .when(kind == "object", F.coalesce(object_preview(J.property_count(c["nested"])), F.lit(ERROR_TEXT)))
+            .when(kind == "array", F.coalesce(array_preview(J.element_count(c["nested"])), F.lit(ERROR_TEXT)))
+            .when(kind == "invalid", ERROR_TEXT)
+            .otherwise(NULL_TEXT)
+        )
 
-def _shown_cell(cell: Column, stages: Stages) -> Column:
-    """View text of a CELL: sentinels, normalised numbers, previews of nested values."""
-    cell = stages.keep(cell)
-    kind, raw = cell["kind"], cell["raw"]
-    nested = stages.keep(F.when(kind.isin("object", "array"), F.try_parse_json(raw)), step=1)
-    number = stages.keep(F.when(kind == "number", raw.try_cast("double")), step=1)
-    return (
-        F.when(kind == "string", raw)
-        .when(kind == "number", F.coalesce(parse_whole(raw).cast("string"), double_text(number), F.lit(ERROR_TEXT)))
-        .when(kind == "boolean", F.initcap(raw))
-        .when(kind == "object", F.coalesce(object_preview(J.property_count(nested)), F.lit(ERROR_TEXT)))
-        .when(kind == "array", F.coalesce(array_preview(J.element_count(nested)), F.lit(ERROR_TEXT)))
-        .when(kind == "invalid", ERROR_TEXT)
-        .otherwise(NULL_TEXT)
-    )
+    return F.transform(read, text)
