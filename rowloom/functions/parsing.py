@@ -123,12 +123,58 @@ _AFTERNOON = r"(?:^|[t\s])(?:0?[1-9]|1[01]):[\d:.]+\s*pm\b"
 _CANONICAL = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,9})?(?:Z|[+-]\d{1,2}(?::?\d{2})?)?)?$"
 
 
+def _layouts() -> dict[str, tuple[int, ...]]:
+    """Common layouts of dates with month names, by their skeleton (digits as 9, letters as a):
+    where year, month, day, clock, zone and day name begin (0: none), and the clock's length."""
+    found = {}
+    for day_name in ("", "aaa, ", "aaa "):
+        for date in ("99 aaa 9999", "99-aaa-9999", "aaa 99, 9999", "aaa 99 9999"):
+            for clock in ("", " 99:99", " 99:99:99"):
+                for zone in ("", " aaa") if clock else ("",):
+                    first = len(day_name) + 1
+                    places = [first + date.index(part) for part in ("9999", "aaa")] + [first + date.index("99")]
+                    at_clock = first + len(date) + 1 if clock else 0
+                    at_zone = at_clock + len(clock) if zone else 0
+                    found[day_name + date + clock + zone] = (*places, at_clock, at_zone, 1 if day_name else 0, max(0, len(clock) - 1))
+    return found
+
+
+_LAYOUTS = _layouts()
+_LETTERS, _DAYS = "abcdefghijklmnopqrstuvwxyz", "montuewedthufrisatsun"
+
+
+def _by_layout(text: Column) -> Column:
+    """Timestamp of a text in one of the layouts, NULL for any other."""
+    lowered = F.lower(trimmed(text))
+    skeleton = F.translate(lowered, _LETTERS + "0123456789", "a" * 26 + "9" * 10)
+    places = F.array(*(F.array(*map(F.lit, x)) for x in _LAYOUTS.values()))
+    layout = F.get(places, F.array_position(F.array(*map(F.lit, _LAYOUTS)), skeleton).cast("int") - 1)
+
+    def third(name: Column, names: str) -> Column:
+        """Number of a three-letter name, from 1; NULL if it is none."""
+        at = F.position(name, F.lit(names))
+        return F.when(at % 3 == 1, F.floor(at / 3) + 1)
+
+    def read(found: Column) -> Column:
+        part = lambda k, size: F.substring(found["text"], found["places"][k], F.lit(size) if isinstance(size, int) else size)
+        named = (found["places"][5] == 0) | third(part(5, 3), _DAYS).isNotNull()
+        zoned = (found["places"][4] == 0) | part(4, 3).isin("gmt", "utc")
+        year, month = part(0, 4), third(part(1, 3), _MONTHS)
+        clock = F.when(found["places"][3] == 0, "00:00:00").when(found["places"][6] == 5, F.concat(part(3, 5), F.lit(":00"))).otherwise(part(3, 8))
+        whole = F.concat(year, F.lit("-"), month.cast("string"), F.lit("-"), part(2, 2), F.lit(" "), clock)
+        return F.when(found["places"].isNotNull() & named & zoned & (year != "0000"), whole.try_cast("timestamp"))
+
+    # Over an array of one, so that text and layout are worked out once.
+    return F.transform(F.array(F.struct(lowered.alias("text"), layout.alias("places"))), read)[0]
+
+
 def parse_timestamp(text: Column) -> Column:
     """Timestamp or NULL, read the invariant-culture way (month before day)."""
     seconds_added = F.regexp_replace(trimmed(text), r"^(\S+[T ]\d{1,2}:\d{2})( ?(?:Z|[+-]))", "$1:00$2")
     # No readable form is longer than this once runs of blanks count as one.
     brief = F.regexp_replace(trimmed(text), r"\s+", " ")
-    other = F.when(text.rlike(_OTHER_START) & (F.length(brief) <= 80), _other_timestamp(text))
+    short = (F.length(text) <= 80) | (F.length(brief) <= 80)
+    other = F.when(text.rlike(_OTHER_START) & short, F.coalesce(_by_layout(text), _other_timestamp(text)))
     slashed = F.regexp_replace(text, _SLASHED, "$3-$1-$2 $4$5")
     return (
         F.when(text.rlike(_ISO), seconds_added.try_cast("timestamp"))

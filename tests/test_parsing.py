@@ -121,3 +121,18 @@ def test_timestamp_formats(spark, pattern, expected):
 def test_unknown_one_letter_format_fails_at_once():
     with pytest.raises(ValueError):
         format_timestamp(F.lit("2024-01-05").cast("timestamp"), "j")
+
+
+def test_layouts_read_what_the_shapes_read(spark):
+    """Every layout, with good and bad names, days, years and clocks."""
+    texts = []
+    for skeleton in P._LAYOUTS:
+        for month, day, year, day_name, zone in (("Jan", "05", "2024", "Fri", "GMT"), ("anf", "05", "2024", "Fri", "GMT"), ("Feb", "31", "2024", "Mon", "UTC"), ("dec", "31", "0000", "sun", "gmt"), ("may", "01", "1999", "xyz", "utc"), ("Oct", "09", "0099", "thu", "est")):
+            head = day_name if skeleton.startswith(("aaa, ", "aaa 99-", "aaa aaa")) or skeleton[4:].count("aaa") > skeleton[4:].count(":99 aaa") and skeleton.startswith("aaa ") else ""
+            body = skeleton[len("aaa") :] if head else skeleton
+            text = head + body.replace("aaa", month, 1).replace("9999", year, 1).replace("99:99:99", "23:59:08").replace("99:99", "07:30").replace("99", day, 1).replace("aaa", zone)
+            texts += [text, f"  {text.upper()} "]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = frame.select("t", P._by_layout(F.col("t")).alias("fast"), P._other_timestamp(F.col("t")).alias("slow"), P.parse_timestamp(F.col("t")).alias("whole")).collect()
+    assert all(r["fast"] in (None, r["slow"]) and r["whole"] == r["slow"] for r in rows)
+    assert sum(r["fast"] is not None for r in rows) > 150
