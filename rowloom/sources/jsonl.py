@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -69,9 +70,14 @@ def _numbered(lines: DataFrame, order: Column | None) -> DataFrame:
     return lines.select("*", order.cast("bigint").alias("place"))
 
 
+#: Java arrays have fewer elements, and so has a line fewer keys.
+_LINE_KEYS = 1 << 31
+
+
 def key_union(lines: DataFrame, order: Column | None = None) -> DataFrame:
-    """Distinct top-level keys: (key, first), ``first`` being the place of the
-    first line with the key (``order``, or the scan order).
+    """Distinct top-level keys: (key, first, rank), ``first`` being the place of the
+    first line with the key (``order``, or the scan order) and ``rank`` a number that
+    goes by that place and, within a line, by the order in which keys are written.
 
     Lines that are not one whole JSON object add nothing. Keys are reduced on
     the map side, so only the distinct keys of each task are shuffled.
@@ -88,18 +94,16 @@ def key_union(lines: DataFrame, order: Column | None = None) -> DataFrame:
     keys = checked.select(
         "place", F.when(plain, F.json_object_keys(line)).otherwise(F.transform(exact, lambda m: m["key"])).alias("keys")
     )
-    return keys.select("place", F.explode("keys").alias("key")).groupBy("key").agg(F.min("place").alias("first"))
+    # One number, which a hash aggregate can update in place: the line, then the key in it.
+    rank = F.col("place").cast("decimal(20,0)") * F.lit(_LINE_KEYS).cast("decimal(11,0)") + F.col("at")
+    met = keys.select("place", F.posexplode("keys").alias("at", "key")).select("place", "key", rank.cast("decimal(38,0)").alias("rank"))
+    return met.groupBy("key").agg(F.min("place").alias("first"), F.min("rank").alias("rank"))
 
 
 def key_names(lines: DataFrame, order: Column | None = None) -> list[str]:
     """The key union in first-appearance order. What reaches the driver are the
     distinct keys, that is, the columns of the table to be made."""
-    first_places = {row["key"]: row["first"] for row in key_union(lines, order).collect()}
-    return in_first_seen_order(lines, order, first_places, ())
-
-
-# More first-seen lines than this are looked up by a join instead of a list.
-_MAX_LISTED = 1000
+    return [row["key"] for row in key_union(lines, order).orderBy("rank").collect()]
 
 
 def in_first_seen_order(
@@ -110,16 +114,13 @@ def in_first_seen_order(
     key_order: Callable = leaf_key_order,
 ) -> list[str]:
     """Sort keys by the place of their first line and, within a line, as written
-    there. Only the lines that introduce a key are read for that."""
+    there. Only the lines that introduce several keys are read for that."""
     if len(set(first_places.values())) == len(first_places):
         return sorted(first_places, key=first_places.get)
-    places = sorted(set(first_places.values()))
-    numbered = _numbered(lines, order)
-    if len(places) <= _MAX_LISTED:
-        wanted = numbered.where(F.col("place").isin(places))
-    else:
-        listed = lines.sparkSession.createDataFrame([(p,) for p in places], "place bigint")
-        wanted = numbered.join(F.broadcast(listed), "place", "left_semi")
+    shared = sorted(place for place, keys in Counter(first_places.values()).items() if keys > 1)
+    # Fewer rows of one number than the table to be made has columns.
+    listed = F.broadcast(lines.sparkSession.createDataFrame([(place,) for place in shared], "place bigint"))
+    wanted = _numbered(lines, order).join(listed, "place", "left_semi")
     rows = wanted.select("place", key_order(F.col(LINE), path).alias("keys")).collect()
     within = {(row["place"], key): i for row in rows for i, key in enumerate(row["keys"] or ())}
     return sorted(first_places, key=lambda key: (first_places[key], within.get((first_places[key], key), len(within))))

@@ -80,6 +80,24 @@ def page(df: DataFrame, position: str, first: int, size: int) -> DataFrame:
     return df.where(F.col(position).between(first, first + size - 1))
 
 
+def read_page(df: DataFrame, first: int, size: int, name: str = "position", start: int = 1) -> DataFrame:
+    """``size`` rows of a file scan from position ``first`` on, numbered as `with_position`
+    numbers them.
+
+    One pass counts the rows of every file. Only the files that hold the page, at most one
+    for each of its rows, are then read again. ``df`` is a scan as for `with_position`.
+    """
+    file = F.col("_metadata.file_path")
+    counts = df.select(file.alias(FILE)).groupBy(FILE).agg(F.count(F.lit(1)).alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy(FILE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    holds = F.col("__before") + F.col("__rows") > first - start
+    listed = counts.withColumn("__before", before).where(holds & (F.col("__before") < first - start + size)).orderBy(FILE).collect()
+    if not listed:
+        return with_position(df, name, start).where("false")
+    part = df.where(file.isin([row[FILE] for row in listed]))
+    return page(with_position(part, name, start + listed[0]["__before"]), name, first, size)
+
+
 def range_size(total_bytes: int, rows_per_range: int = 1000, bytes_per_row: int = 100) -> int:
     """Rows per range bucket: 1000, growing with the file beyond about a million
     estimated rows, so that there are never more than about 1000 ranges."""

@@ -14,7 +14,7 @@ from ..sources.csv import header_names, read_csv
 from ..sources.json_documents import read_json_array, read_json_object
 from ..sources.jsonl import JsonLinesCell, key_names, key_union, read_jsonl, read_jsonl_columns, read_lines, with_cells
 from ..sources.mixed import read_mixed
-from ..sources.scan import page, range_size, row_ranges, with_position
+from ..sources.scan import range_size, read_page, row_ranges, with_position
 from ..sources.splitting import CSV_ROWS, split_records
 from .registry import query, table, written
 
@@ -270,8 +270,8 @@ def record_position(spark, sf):
 
 @query("row_page", "select o_orderkey as id from orders order by o_orderkey limit 500 offset 1000")
 def row_page(spark, sf):
-    lines = with_position(read_lines(spark, ordered_lines(spark, sf)))
-    return page(lines, "position", 1001, 500).select(F.get_json_object("line", "$.o_orderkey").cast("bigint").alias("id"))
+    lines = read_lines(spark, ordered_lines(spark, sf))
+    return read_page(lines, 1001, 500).select(F.get_json_object("line", "$.o_orderkey").cast("bigint").alias("id"))
 
 
 @query(

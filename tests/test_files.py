@@ -12,7 +12,7 @@ from rowloom.sources.detect import detect_formats, format_of_path
 from rowloom.sources.json_documents import read_json_array
 from rowloom.sources.jsonl import key_names, read_lines
 from rowloom.sources.mixed import read_mixed
-from rowloom.sources.scan import page, range_size, row_ranges, with_position
+from rowloom.sources.scan import page, range_size, read_page, row_ranges, with_position
 
 PEOPLE = "name,age,email,joined\nAlice,30,,2026-01-15T10:30:00\nBob,42,,2026-03-02T08:05:00\nCharlie,35,charlie@example.com,2026-05-20T18:45:00\nDiana,25,diana@example.com,2026-07-10T12:00:00\n"
 CHAIN = [where("age", "GreaterThan", "30", "Number"), Fill("email", "***"), FormatTimestamp("joined", "yyyy-MM-dd")]
@@ -211,3 +211,21 @@ def test_formats_behind_many_blanks(spark, tmp_path, blanks):
         (tmp_path / name).write_bytes((blanks + text).encode())
     found = {r["path"].rsplit("/", 1)[1]: (r["format"], r["error"]) for r in detect_formats(spark, str(tmp_path)).collect()}
     assert found == {"a.json": ("json_array", None), "o.json": ("json_object", None)}
+
+
+def test_a_page_reads_the_files_that_hold_it(spark, tmp_path, tiny_splits):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    texts = [[f"{number}-{line}" for line in range(count)] for number, count in enumerate((300, 0, 700, 5, 900))]
+    for number, lines in enumerate(texts):
+        (folder / f"f{number}.txt").write_text("".join(f"{line}\n" for line in lines))
+    rows, whole = read_lines(spark, str(folder)), sum(texts, [])
+    numbered = {r["position"]: r["line"] for r in with_position(rows).collect()}
+    assert [numbered[k + 1] for k in range(len(whole))] == whole
+    for first, size in ((1, 10), (295, 10), (301, 700), (999, 8), (1000, 400), (1900, 50), (1, 5000)):
+        got = {r["position"]: r["line"] for r in read_page(rows, first, size).collect()}
+        assert got == {k: v for k, v in numbered.items() if first <= k < first + size}
+    assert read_page(rows, 2000, 10).collect() == [] == read_page(rows.where("false"), 1, 10).collect()
+    # What names the files prunes the scan while it is planned.
+    one = rows.where(F.col("_metadata.file_path").endswith("f2.txt"))
+    assert one.rdd.getNumPartitions() < rows.rdd.getNumPartitions()
