@@ -56,3 +56,15 @@ def test_stages_on_odd_rows(spark, documents):
         assert stage(spark, odd.where("false"), SF).collect() == []
     kept = corpus_pipeline.join_near_copies(spark, odd, SF).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "3", "4", "5", "None"]
+
+
+def test_rows_that_share_a_doc_id(spark, documents):
+    """Copies go by row: a text of its own stays, whatever doc_id it shares."""
+    draw = random.Random(3)
+    one, two, three = (" ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(80)) for _ in range(3))
+    rows = documents([(3, one), (7, one), (7, two), (5, two + " end"), (9, three), (9, "other " + three[6:]), (None, three), (None, "a text of its own and no number at all")])
+    kept = sorted((r["doc_id"] or 0, r["text"][:12]) for r in corpus_pipeline.join_near_copies(spark, rows, SF).collect())
+    assert kept[0] == (0, "a text of it") and kept[1:3] == [(3, one[:12]), (5, two[:12])]
+    assert len(kept) == 4 and kept[3][0] == 9
+    apart = documents([(3, one), (7, one), (7, two), (5, one), (5, three)])
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.join_near_copies(spark, apart, SF).collect()) == sorted([(3, one), (7, two), (5, three)])
