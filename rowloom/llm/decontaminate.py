@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import configure
-from .frames import cut
+from .frames import cut, named_column, with_text
 from .text import WordHashes, alnum_words, covered, window_hashes
 
 WINDOW, BLOCK, FILTER_BITS = 10, 500_000, 20
@@ -32,7 +32,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Null text has no words. Items without words and an empty benchmark hit nothing. Items
     that are listed twice count once; an item without item_id hits words but is not listed.
     """
-    scanned = _scanned(docs, benchmark, window, block)
+    scanned = _scanned(docs, ["doc_id"], benchmark, window, block)
     items = F.array_sort(F.array_distinct("items"))
     return scanned.select("row.doc_id", "n_words", "n_hit", items.alias("items")).select(
         "doc_id", F.col("n_words").cast("long"), F.col("n_hit").cast("long"), F.size("items").cast("long").alias("n_items"),
@@ -46,16 +46,17 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, remove: str = "docum
     remove="documents" drops every document with a hit. remove="spans" cuts the hit words
     out, keeps the stretches between them as they were, one per line, and drops documents
     of which no word is left. Documents without hits stay as they are, empty ones too."""
-    scanned = _scanned(docs, benchmark, window, block)
+    others = [c for c in docs.columns if c != "text"]
+    left = _scanned(docs, others, benchmark, window, block)
     if remove == "documents":
-        return scanned.where("n_hit = 0").select("row.*")
-    if remove != "spans":
+        left, text = left.where("n_hit = 0"), F.col("bytes").cast("string")
+    elif remove == "spans":
+        left = left.where("n_hit = 0 or n_hit < n_words").withColumn("cleaned", F.expr("null").cast("binary"))
+        left = left.mapInArrow(_without_hits, left.schema)
+        text = F.when(F.col("n_hit") > 0, F.decode("cleaned", "utf-8")).otherwise(F.col("bytes").cast("string"))
+    else:
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    left = scanned.where("n_hit = 0 or n_hit < n_words").withColumn("cleaned", F.expr("null").cast("binary"))
-    left = left.mapInArrow(_without_hits, left.schema)
-    text = F.when(F.col("n_hit") > 0, F.decode("cleaned", "utf-8")).otherwise(F.col("row.text"))
-    columns = [text.alias("text") if c == "text" else F.when(F.col("n_hit") > 0, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return left.select(*columns)
+    return with_text(left, docs, text, F.col("n_hit") > 0)
 
 
 def _windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -77,11 +78,12 @@ def _windows(benchmark: DataFrame, window: int) -> DataFrame:
     return source.mapInArrow(windows, "item string, size int, gram binary").distinct()
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, block: int) -> DataFrame:
+def _scanned(docs: DataFrame, others: list[str], benchmark: DataFrame, window: int, block: int) -> DataFrame:
+    """The columns `others` as `row`, the text as `bytes`, and what was found in it."""
     spark = configure(docs.sparkSession)
     windows = cut(_windows(benchmark, window), "benchmark-windows")
     blocks = max(1, -(-windows.count() // block))
-    hits = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("bytes"), F.expr("cast(null as binary)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).alias("n_words"), F.lit(0).alias("n_hit"))
+    hits = docs.select(F.struct(*(named_column(c) for c in others)).alias("row"), F.col("text").cast("binary").alias("bytes"), F.expr("cast(null as binary)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).alias("n_words"), F.lit(0).alias("n_hit"))
     for number in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("item", "gram"), F.lit(blocks)) == number)
         sent = spark.sparkContext.broadcast(_lookup(part.toArrow()))

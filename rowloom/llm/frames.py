@@ -22,6 +22,23 @@ def texts(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *others)
 
 
+def named_column(name: str):
+    """The column called `name`, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_text(found: DataFrame, docs: DataFrame, text, changed) -> DataFrame:
+    """The columns of `docs` again, of its other columns in `row` and the new text; n_chars,
+    where there is such a column, follows where the text has changed."""
+    columns = []
+    for name in docs.columns:
+        value = text if name == "text" else F.col("row").getField(name)
+        if name == "n_chars":
+            value = F.when(changed, F.length(text)).otherwise(value).cast(docs.schema[name].dataType)
+        columns.append(value.alias(name))
+    return found.select(*columns)
+
+
 def cut(frame: DataFrame, label: str) -> DataFrame:
     """Written to the shared folder and read again: lineage ends here, and what was
     computed outlives the executors that computed it."""

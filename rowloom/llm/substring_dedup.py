@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import prepared
+from .frames import named_column, prepared, with_text
 from .text import MIX_1, WordHashes, blank_words, mixed, window_hashes
 
 SIZE, RUN, SKETCH_BITS, HELD = 35, 16, 26, 1_500_000
@@ -45,7 +45,7 @@ def find_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     fewer than `size` words has no window. A repeated row repeats its windows. Empty
     tables give empty tables.
     """
-    return _settled(docs, size).select("row.doc_id", F.col("n_words").cast("long"), F.col("n_removed").cast("long"), "kept_sha256")
+    return _settled(docs, ["doc_id"], size).select("row.doc_id", F.col("n_words").cast("long"), F.col("n_removed").cast("long"), "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -54,13 +54,13 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     A text that loses words keeps the stretches between as they stood, one per line; where
     there is a column n_chars it follows. A document that loses every word is dropped.
     Others stay as they are, empty ones too."""
-    left = _settled(docs, size).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", "utf-8")).otherwise(F.col("row.text"))
-    columns = [text.alias("text") if c == "text" else F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return left.select(*columns)
+    left = _settled(docs, [c for c in docs.columns if c != "text"], size).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.decode("kept", "utf-8")).otherwise(F.col("bytes").cast("string"))
+    return with_text(left, docs, text, F.col("n_removed") > 0)
 
 
-def _settled(docs: DataFrame, size: int) -> DataFrame:
+def _settled(docs: DataFrame, others: list[str], size: int) -> DataFrame:
+    """The columns `others` as `row`, the text as `bytes`, and what goes of it."""
     spark = prepared(docs.sparkSession)
     key = _key(docs).alias("key")
     source = docs.select(key, F.col("text").cast("binary").alias("text"))
@@ -68,7 +68,7 @@ def _settled(docs: DataFrame, size: int) -> DataFrame:
     first = source.mapInArrow(lambda batches: _suspects(batches, sketch.value, size), "hash long, key long, at int, upto int")
     alike = first.repartition(F.coalesce("hash", "key")).sortWithinPartitions("hash").mapInArrow(_twice, "key long, at int, upto int")
     runs = alike.groupBy("key").agg(F.collect_list(F.struct("at", "upto")).alias("runs"))
-    joined = docs.select(key, F.struct("*").alias("row"), F.col("text").cast("binary").alias("bytes")).join(runs, "key", "left")
+    joined = docs.select(key, F.struct(*(named_column(c) for c in others)).alias("row"), F.col("text").cast("binary").alias("bytes")).join(runs, "key", "left")
     frame = joined.select("row", "bytes", "runs", F.lit(0).alias("n_words"), F.lit(0).alias("n_removed"), F.lit("").alias("kept_sha256"), F.expr("cast(null as binary)").alias("kept"))
     return frame.mapInArrow(lambda batches: _removed(batches, size), frame.schema)
 
