@@ -33,22 +33,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id, of equal
-    ones any, rows without doc_id last. Rows are told apart by doc_id and text, so rows that
-    share a doc_id are joined only if their texts are alike. Rows without words all stay."""
+    ones any, rows without doc_id last. Rows that share a doc_id are joined only if their
+    texts are alike. Rows without words all stay."""
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return _join_rows(docs)
+    groups = cut(join_ngrams(docs, SHINGLE, SIMILAR).select(F.col("doc_id").alias("id"), "component_id"), "groups")
+    copies = groups.where("id <> component_id").select("id")
+    return docs.join(copies, docs["doc_id"] == copies["id"], "left_anti")
+
+
+def _join_rows(docs: DataFrame) -> DataFrame:
+    """The same where doc_id does not tell rows apart: doc_id and text do."""
     key = F.xxhash64("doc_id", "text")
-    found = join_ngrams(docs.select(key.alias("doc_id"), "text"), SHINGLE, SIMILAR)
-    linked = cut(found.where("n_links > 0").select(F.col("doc_id").alias("key"), "component_id"), "groups")
-    named = linked.distinct().join(docs.select(key.alias("key"), "doc_id").distinct(), "key")
+    groups = cut(join_ngrams(docs.select(key.alias("doc_id"), "text"), SHINGLE, SIMILAR).select(F.col("doc_id").alias("key"), "component_id", "n_links"), "groups")
+    linked = groups.where("n_links > 0")
+    named = linked.select("key", "component_id").distinct().join(docs.select(key.alias("key"), "doc_id").distinct(), "key")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("first"))
     stays = cut(first.select(F.col("first.key").alias("key")), "stays")
     copies = linked.select("key").distinct().join(stays, "key", "left_anti")
     marked = docs.withColumn("__key", key)
     kept = marked.join(copies, marked["__key"] == copies["key"], "left_anti")
-    again = linked.groupBy("key").count().where("count > 1").join(stays, "key", "left_semi").select("key")
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(again, kept["__key"] == again["key"], "left_anti")
-    one = kept.join(again, kept["__key"] == again["key"], "left_semi").dropDuplicates(["__key"])
+    once = kept.join(stays, kept["__key"] == stays["key"], "left_anti")
+    one = kept.join(stays, kept["__key"] == stays["key"], "left_semi").dropDuplicates(["__key"])
     return once.unionByName(one).select(docs.columns)
 
 
