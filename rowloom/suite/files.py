@@ -15,7 +15,6 @@ from ..sources.json_documents import read_json_array, read_json_object
 from ..sources.jsonl import JsonLinesCell, key_names, key_union, read_jsonl, read_jsonl_columns, read_lines, with_cells
 from ..sources.mixed import read_mixed
 from ..sources.scan import range_size, read_page, row_ranges, with_position
-from ..sources.splitting import CSV_ROWS, split_records
 from .registry import query, table, written
 
 
@@ -154,11 +153,18 @@ def jsonl_raw_columns(spark, sf):
     return read_jsonl_columns(spark, written(spark, sf, "orders-raw", write), ["amount", "nested", "priority"])
 
 
-@query("json_keys_union", "select unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props', 'late']) as key")
+@query(
+    "json_keys_union",
+    """select 'event_id' as key, min(event_id) as first from events
+       union all select 'on_' || event_type, min(event_id) from events group by event_type
+       union all select 'late', min(event_id) from events where event_type = 'purchase' and value > 50 having count(*) > 0""",
+)
 def json_keys_union(spark, sf):
-    """Keys over all lines, one of them found on few lines only."""
-    line = F.to_json(F.struct("event_id", "ts", "user_id", "event_type", "value", "props", F.when((F.col("event_type") == "purchase") & (F.col("value") > 50), 1).alias("late")))
-    return key_union(table(spark, sf, "events").select(line.alias("line"))).select("key")
+    """Keys over all lines with the first line of each; some are told by the data, one is
+    found on few lines only."""
+    late = F.when((F.col("event_type") == "purchase") & (F.col("value") > 50), ',"late":1').otherwise("")
+    line = F.concat(F.lit('{"event_id":'), "event_id", F.lit(',"on_'), "event_type", F.lit('":null'), late, F.lit("}"))
+    return key_union(table(spark, sf, "events").select("event_id", line.alias("line")), F.col("event_id")).select("key", "first")
 
 
 @query(
@@ -310,16 +316,14 @@ def csv_stray_quotes(spark, sf):
 
     def write(path: str) -> None:
         text = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""'))
-        rows = table(spark, sf, "documents").select(F.concat("doc_id", F.lit(',5" '), "source", F.lit(',"'), text, F.lit('"')).alias("value"))
-        rows.write.text(path)
+        line = F.concat("doc_id", F.lit(',5" '), "source", F.lit(',"'), text, F.lit('"'))
+        # The first row of every part file is its header.
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        table(spark, sf, "documents").select(F.when(first, F.concat(F.lit("doc_id,size,text\n"), line)).otherwise(line).alias("value")).write.text(path)
 
     path = written(spark, sf, "documents-stray-quotes", write)
-    names = ["doc_id", "size", "text"]
-    # These files have no header, so no row is given up for one.
-    cut = split_records(spark, path, CSV_ROWS, "\n", with_file=False)
-    parsed = F.from_csv("text", ", ".join(f"{n} string" for n in names), {"sep": ",", "quote": '"', "escape": '"'})
-    plain = spark.read.options(sep=",", quote='"', escape='"').schema(", ".join(f"{n} string" for n in names)).csv(path)
-    return cut.select(parsed.alias("row")).select("row.*", F.lit(True).alias("breaks")).unionByName(plain.withColumn("breaks", F.lit(False)))
+    read = [read_csv(spark, path, quoted_breaks=breaks).withColumn("breaks", F.lit(breaks)) for breaks in (True, False)]
+    return read[0].unionByName(read[1])
 
 
 @query("csv_no_rows", "select 'r_regionkey,r_name' as line from region limit 1")

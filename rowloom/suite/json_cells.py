@@ -202,6 +202,28 @@ def drill_mixed_leaf(spark, sf):
     return drill(uneven_lines(spark, sf), key_path("leaf"))
 
 
+@query(
+    "drill_malformed_fails",
+    """with u as (select o_orderpriority as priority, o_orderstatus <> 'F' and o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') as broken,
+              case o_orderpriority when '2-HIGH' then 3 when '5-LOW' then 0 else 1 end as reached from orders)
+       select priority, bool_or(broken) as failed, case when bool_or(broken) then null else sum(reached) end as rows from u group by 1""",
+)
+def drill_malformed_fails(spark, sf):
+    """Lines of each priority drilled so that one which is no JSON fails the run."""
+    priorities = table(spark, sf, "orders").select(F.col("o_orderkey").alias("position"), "o_orderpriority")
+    lines = uneven_lines(spark, sf).join(priorities, "position")
+    found = []
+    for (priority,) in priorities.select("o_orderpriority").distinct().collect():
+        reached = drill(lines.where(F.col("o_orderpriority") == priority).select("position", "line"), key_path("leaf"), schema=["status", "value", "leaf"], on_error="fail")
+        try:
+            found.append((priority, False, reached.count()))
+        except Exception as error:  # noqa: BLE001
+            if "Not JSON" not in str(error):
+                raise
+            found.append((priority, True, None))
+    return spark.createDataFrame(found, "priority string, failed boolean, rows long")
+
+
 @query("drill_missing_skipped", """select cast(o_orderkey as varchar) as "#", o_orderstatus as status from orders where o_orderpriority = '1-URGENT'""")
 def drill_missing_skipped(spark, sf):
     return drill(uneven_lines(spark, sf), key_path("leaf", "status"), schema=["status"])
