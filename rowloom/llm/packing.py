@@ -26,13 +26,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .frames import cut, texts
 
-CAPACITY, END, GROUP, HELD, TOGETHER = 4096, 1, 32_768, 600_000, 12
+CAPACITY, END, GROUP, HELD, TOGETHER = 4096, 1, 32_768, 900_000, 12
 #: Sequences with more than this share of their capacity left are packed again.
 ROOM = 1 / 64
 #: A mark that closes a word, after a letter or digit. Letters: ASCII and U+00C0 to U+023F and
 #: U+0400 to U+047F by their two bytes, but for two signs and one that gets a mark in lower case.
 CLOSING = re.compile(rb"[.,;:!?*$%&#](?:(?<=[0-9A-Za-z].)|(?<=[\xc3-\xc8\xd0\xd1][\x80-\xbf].)(?<!\xc3[\x97\xb7].)(?<!\xc4\xb0.))")
-#: Words already turned into ids by this worker, by vocabulary.
+#: Words already turned into ids by this worker, by vocabulary; one at a time.
 _known: dict[str, "WordIds"] = {}
 
 
@@ -99,6 +99,14 @@ class WordIds(dict):
         return self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in texts], add_special_tokens=False)
 
 
+def ids_by_word(vocabulary: str) -> WordIds:
+    """The table of this worker, which outlives its tasks."""
+    if vocabulary not in _known:
+        _known.clear()
+        _known[vocabulary] = WordIds(vocabulary)
+    return _known[vocabulary]
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document of `docs` (doc_id, text): doc_id, piece (from 0), start,
     length, ids_crc32 and a number `row` of its own; with `with_ids` also its ids.
@@ -114,9 +122,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     last = int(end).to_bytes(4, "little")
 
     def run(batches):
-        table = _known.get(sent.value)
-        if table is None:
-            table = _known[sent.value] = WordIds(sent.value)
+        table = ids_by_word(sent.value)
         for batch in batches:
             documents = [table.words(text.as_py()) for text in batch.column(1)]
             table.learn(set().union(*documents))
