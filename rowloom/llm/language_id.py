@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from .frames import prepared
 
-GRAM_BITS, ORDERS, SMOOTHING, SWITCH, HELD = 16, (1, 2, 3, 4), 0.5, 8.0, 150_000
+GRAM_BITS, ORDERS, SMOOTHING, SWITCH, HELD = 16, (1, 2, 3, 4), 0.5, 8.0, 200_000
 NONE = "und"
 #: Scripts and the code points that tell them, as ranges.
 SCRIPTS = {
@@ -48,6 +49,7 @@ _ORDER = np.argsort(_FIRST)
 ANY = len(SCRIPTS)
 
 
+@lru_cache(maxsize=100_000)
 def script(letter: str) -> int:
     """Number of the script of a letter, or ANY."""
     at = int(np.searchsorted(_FIRST[_ORDER], ord(letter), side="right")) - 1
