@@ -1,17 +1,22 @@
-"""Scoring texts with a class-based bigram model.
+"""Scoring texts with a class-based bigram model over all words of a corpus.
 
 Words are counted over the whole training corpus, in Spark. Of these counts only a head of
-fixed size (`head` words) is sent to the tasks; rarer words meet their counts in a join, in
-rows of (text, word, times) for those words alone.
-
-Word types are the most frequent words, one type each, and word endings for all others.
-Their bigrams are counted over the corpus into a table of fixed size, and exchange
-clustering moves each type to the class that raises the likelihood of the class bigrams
-most, until none moves or after 12 sweeps. Then
-
-    P(word | before) = P(class | class before) * P(type | class) * P(word | type)
-
-with smoothing in each factor, and one unseen word left room for in every ending.
+fixed size (`head` words) is sent to the tasks; rarer words meet their count and their
+class in a join. Every word has a class of its own, found by exchange clustering in three
+steps, each of which looks at all training texts:
+
+* The `FREQUENT` most frequent words, and the endings of all others, are clustered one by
+  one over the table of their bigrams, until none moves.
+* The `SWEPT` most frequent words are exchanged in parallel sweeps (Uszkoreit and Brants,
+  2008): Spark counts each word's neighbours by class, and each word goes where it raises
+  the likelihood most if all others stay. Sweeps end when the information that a class
+  tells of the next one grows by less than a 500th.
+* Each further word, rare or not, goes to the class that its neighbours make most likely.
+  Neighbours outside the sweeps stand in the class of their ending meanwhile.
+
+Then P(word | before) = P(class | class before) * P(word | class), with smoothing in both
+factors. Only words never seen in training take the class of their ending; one unseen word
+is left room for in every ending.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +34,21 @@ from pyspark.sql import functions as F
 from .frames import cut, texts
 from .text import lower_words
 
-HEAD, FREQUENT, ENDINGS, CLASSES, SWEEPS, HELD, STRENGTH = 131_072, 512, 512, 64, 12, 200_000, 5.0
-END = FREQUENT + ENDINGS
-TYPES = END + 1
+HEAD, SWEPT, FREQUENT, ENDINGS, CLASSES, HELD, STRENGTH = 131_072, 16_384, 512, 512, 64, 200_000, 5.0
+TYPES = FREQUENT + ENDINGS + 1
+#: What each word's count gets added inside its class, and what an unseen word counts.
+ROOM = 0.5
+#: Sweeps go on while the information between neighbouring classes grows by this share.
+RISE = 0.002
 
 
 def ending(word: bytes) -> int:
-    """Type of a word that has none of its own: its last three bytes."""
-    return FREQUENT + xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
+    """Which of the endings a word has: a hash of its last three bytes."""
+    return xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
 
 
 class Codes(dict):
-    """Word -> place in the head, or the head's size plus the type of its ending."""
+    """Word -> place in the head, or the head's size plus its ending."""
 
     def __init__(self, head: list[bytes]):
         super().__init__(zip(head, range(len(head))))
@@ -49,7 +58,7 @@ class Codes(dict):
         return self.size + ending(word)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 @dataclass
@@ -59,14 +68,9 @@ class Model:
     tokens: int  # N, with ends
     distinct: int  # V, with the end
     ends: int
-    classes: np.ndarray  # class of each type
+    classes: np.ndarray  # class of each word of the head, then of each ending, then of the end
     steps: np.ndarray  # log10 P(class | class before)
-    types: np.ndarray  # log10 P(type | class)
-    rooms: np.ndarray  # of each type: log10 of what counts in it are divided by
-
-    def type_of_codes(self) -> np.ndarray:
-        own = np.arange(min(FREQUENT, len(self.head)))
-        return np.concatenate([own, [ending(w) for w in self.head[len(own) :]], np.arange(TYPES)]).astype(np.int64)
+    rooms: np.ndarray  # of each class: log10 of what the counts in it are divided by
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -91,8 +95,90 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each type, by exchange clustering of a table of type bigrams.
+def most_frequent(counts: DataFrame, head: int) -> tuple[list[bytes], np.ndarray]:
+    """The `head` most frequent words, ties by word, and their counts. How many words have
+    each count tells the least count that belongs; only words of that count are ordered."""
+    per = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).limit(head).collect()
+    room, least = head, None
+    for row in per:
+        if row["words"] > room:
+            least = row["n"]
+            break
+        room -= row["words"]
+    certain = counts if least is None else counts.where(F.col("n") > least)
+    if least is None and len(per) == head:
+        certain = counts.where(F.col("n") >= per[-1]["n"])
+    if least is not None and room:
+        certain = certain.union(counts.where(F.col("n") == least).orderBy("word").limit(room))
+    found = certain.toArrow().to_pydict()
+    order = sorted(zip(found["n"], found["word"]), key=lambda pair: (-pair[0], pair[1]))
+    return [word for _, word in order], np.array([n for n, _ in order], np.int64)
+
+
+def weighed(x):
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def information(table: np.ndarray) -> float:
+    """What a class tells of the next one, in nats a token."""
+    total = max(table.sum(), 1.0)
+    return float(weighed(table).sum() - weighed(table.sum(0)).sum() - weighed(table.sum(1)).sum() + weighed(total)) / total
+
+
+def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, both: float) -> np.ndarray:
+    """By how much the likelihood of the class bigrams `table` rises if a word goes to each
+    class. `right` and `left` are the classes after and before it, `both` counts the word
+    next to itself; none of these is in the table. Class 0 belongs to the end of a text."""
+    f = weighed
+    rows, columns, diagonal = table.sum(1), table.sum(0), np.diagonal(table)
+    gain = (f(table + right) - f(table)).sum(1) + (f(table + left[:, None]) - f(table)).sum(0)
+    gain += f(diagonal + right + left + both) - f(diagonal + right) - f(diagonal + left) + f(diagonal)
+    gain -= f(rows + right.sum() + both) - f(rows) + f(columns + left.sum() + both) - f(columns)
+    gain[0] = -np.inf
+    return gain
+
+
+def better(table: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, both: float) -> int:
+    """Where a word of class `own` goes, if all others stay. Changes `table`: the word is taken out.
+    A gain below the rounding error of the sums is none, so no word moves to and fro."""
+    least = 1e-9 + 1e-12 * weighed(table.sum())
+    right[own] -= both
+    left[own] -= both
+    table[own] -= right
+    table[:, own] -= left
+    table[own, own] -= both
+    gain = gains(table, right, left, both)
+    best = int(gain.argmax())
+    return best if gain[best] > gain[own] + least else own
+
+
+def nearest(table: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The class of the largest gain for each row of `right` and `left`: many words that are
+    not in the table and few of whose neighbours differ."""
+    gain = np.zeros(right.shape)
+    for counts, cells in ((right, np.ascontiguousarray(table.T)), (left, table)):
+        word, beside = np.nonzero(counts)
+        if not len(word):
+            continue
+        number = counts[word, beside]
+        more = (weighed(cells + 1) - weighed(cells))[beside]
+        many = np.flatnonzero(number > 1)
+        at = cells[beside[many]]
+        more[many] = weighed(at + number[many, None]) - weighed(at)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        gain[word[first]] += np.add.reduceat(more, first, axis=0)
+    word, own = np.nonzero((right > 0) & (left > 0))
+    cell, r, l = np.diagonal(table)[own], right[word, own], left[word, own]
+    gain[word, own] += weighed(cell + r + l) - weighed(cell + r) - weighed(cell + l) + weighed(cell)
+    for marginal, number in ((table.sum(1), right.sum(1)), (table.sum(0), left.sum(1))):
+        gain -= weighed(marginal + number[:, None]) - weighed(marginal)
+    gain[:, 0] = -np.inf
+    return gain.argmax(1)
+
+
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """The class of each type, by exchange clustering of a table of type bigrams, one type
+    after the other until none moves; each move raises the likelihood.
 
     The last type, the end of a text, keeps class 0 for itself."""
     count = len(bigrams)
@@ -100,115 +186,247 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     order = np.argsort(-weight[:-1], kind="stable")
     of = np.zeros(count, np.int64)
     of[order] = 1 + np.arange(count - 1) % (classes - 1)
-
-    def f(x):
-        return x * np.log(np.maximum(x, 1.0))
-
     member = np.zeros((count, classes))
     member[np.arange(count), of] = 1
     after, before = bigrams @ member, bigrams.T @ member  # of each type: classes that follow, that precede
     table = member.T @ after
-    for _ in range(sweeps):
-        moved = 0
+    moved = True
+    while moved:
+        moved = False
         for w in order.tolist():
             if not weight[w]:
                 continue
             own, both = of[w], bigrams[w, w]
             right, left = after[w].copy(), before[w].copy()
-            right[own] -= both
-            left[own] -= both
-            # Take the type out of its class.
-            table[own] -= right
-            table[:, own] -= left
-            table[own, own] -= both
-            rows, columns = table.sum(1), table.sum(0)
-            gain = (f(table + right) - f(table)).sum(1) + (f(table + left[:, None]) - f(table)).sum(0)
-            diagonal = np.diagonal(table)
-            gain += f(diagonal + right + left + both) - f(diagonal + right) - f(diagonal + left) + f(diagonal)
-            gain -= f(rows + right.sum() + both) - f(rows) + f(columns + left.sum() + both) - f(columns)
-            gain[0] = -np.inf
-            best = int(gain.argmax())
-            if gain[best] <= gain[own] + 1e-9:
-                best = own
+            best = better(table, own, right, left, both)
             table[best] += right
             table[:, best] += left
             table[best, best] += both
             if best != own:
-                moved += 1
+                moved = True
                 of[w] = best
                 after[:, own] -= bigrams[:, w]
                 after[:, best] += bigrams[:, w]
                 before[:, own] -= bigrams[w]
                 before[:, best] += bigrams[w]
-        if not moved:
-            break
     return of
 
 
-def learn(training: DataFrame, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model, and the counts (word, n) of all words outside its head.
+def coded(source: DataFrame, sent) -> DataFrame:
+    """Each text as the codes of its words and the end, and its words outside the head."""
 
-    Without a training text every count is 0 and all words have equal chances."""
-    source = texts(training)
-    counts = cut(word_counts(source.select("text")), "word-counts")
-    ends = source.count()
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    most = counts.orderBy(F.col("n").desc(), "word").limit(head).toArrow()
-    words, numbers = most["word"].to_pylist(), most["n"].to_numpy().astype(np.int64)
-    if len(words) and len(words) == head:
-        edge = (int(numbers[-1]), words[-1])
-        rare = counts.where((F.col("n") < edge[0]) | ((F.col("n") == edge[0]) & (F.col("word") > F.lit(bytearray(edge[1])))))
-    else:
-        rare = counts.where("false")
-    sent = training.sparkSession.sparkContext.broadcast(words)
-
-    def type_sums(batches):
-        codes, own = Codes(sent.value), min(FREQUENT, len(sent.value))
-        sums, kinds = np.zeros(TYPES, np.int64), np.zeros(TYPES, np.int64)
-        for batch in batches:
-            code = codes.of(batch.column(0).to_pylist())
-            type_ = np.where(code < own, code, [ending(w) for w in batch.column(0).to_pylist()]).astype(np.int64)
-            sums += np.bincount(type_, batch.column(1).to_numpy(), TYPES).astype(np.int64)
-            kinds += np.bincount(type_, minlength=TYPES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TYPES, dtype=np.int32)), pa.array(sums), pa.array(kinds)], ["type", "n", "kinds"])
-
-    by_type = counts.mapInArrow(type_sums, "type int, n long, kinds long").groupBy("type").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
-    sums, kinds = np.zeros(TYPES), np.zeros(TYPES)
-    sums[by_type["type"].to_numpy()], kinds[by_type["type"].to_numpy()] = by_type["n"].to_numpy(), by_type["kinds"].to_numpy()
-    sums[END], kinds[END] = ends, 1
-    model = Model(words, numbers, int(total) + ends, int(distinct) + (ends > 0), ends, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0))
-    of_codes = training.sparkSession.sparkContext.broadcast(model.type_of_codes())
-
-    def pairs(batches):
-        codes, table, types = Codes(sent.value), np.zeros(TYPES * TYPES, np.int64), of_codes.value
+    def run(batches):
+        codes = Codes(sent.value)
+        end = np.array([codes.size + ENDINGS], np.int32).tobytes()
         for batch in batches:
+            paths, rare = [], []
             for text in batch.column(0):
-                path = np.concatenate([[END], types[codes.of(lower_words(text.as_py()))], [END]])
-                np.add.at(table, path[:-1] * TYPES + path[1:], 1)
+                words = lower_words(text.as_py())
+                code = codes.of(words)
+                paths.append(code.tobytes() + end)
+                rare.append([words[k] for k in np.flatnonzero(code >= codes.size).tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], ["codes", "rare"])
+
+    return cut(source.select("text").mapInArrow(run, "codes binary, rare array<binary>"), "coded")
+
+
+def _stream(batch, end: int) -> np.ndarray:
+    """The codes of all texts of a batch in one row, an end before each and after the last."""
+    return np.concatenate([np.array([end], np.int32), np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32)])
+
+
+def _counted(paths: DataFrame, place, width: int) -> np.ndarray:
+    """How often each value below `width` of place(stream) occurs: a table of fixed size."""
+
+    def run(batches):
+        table = np.zeros(width, np.int64)
+        for batch in batches:
+            table += np.bincount(place(batch), minlength=width)
+        at = np.flatnonzero(table)
+        for low in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[low : low + 100_000]), pa.array(table[at[low : low + 100_000]])], ["place", "n"])
+
+    found = paths.select("codes").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(width)
+    table[found["place"].to_numpy()] = found["n"].to_numpy()
+    return table
+
+
+def _bigrams(paths: DataFrame, of: np.ndarray, kinds: int) -> np.ndarray:
+    """How often each two kinds of words stand side by side."""
+    end, sent = len(of) - 1, paths.sparkSession.sparkContext.broadcast(of)
+
+    def place(batch):
+        kind = sent.value[_stream(batch, end)]
+        return kind[:-1] * kinds + kind[1:]
+
+    return _counted(paths, place, kinds * kinds).reshape(kinds, kinds)
+
+
+def _neighbours(paths: DataFrame, classes: np.ndarray, swept: int) -> DataFrame:
+    """(code, beside, n) of the swept words: classes after, CLASSES + classes before, and
+    2 * CLASSES for the word next to itself."""
+    end, width = len(classes) - 1, 2 * CLASSES + 1
+    sent = paths.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches):
+        table = np.zeros(swept * width, np.int64)
+        for batch in batches:
+            stream = _stream(batch, end)
+            of = sent.value[stream]
+            first, second = stream[:-1].astype(np.int64), stream[1:].astype(np.int64)
+            one, two = first < swept, second < swept
+            places = [first[one] * width + of[1:][one], second[two] * width + CLASSES + of[:-1][two], first[one & (first == second)] * width + 2 * CLASSES]
+            table += np.bincount(np.concatenate(places), minlength=len(table))
         at = np.flatnonzero(table)
         for low in range(0, len(at), 100_000):
             part = at[low : low + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], ["pair", "n"])
-
-    counted = source.select("text").mapInArrow(pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    bigrams = np.zeros(TYPES * TYPES)
-    bigrams[counted["pair"].to_numpy()] = counted["n"].to_numpy()
-    bigrams = bigrams.reshape(TYPES, TYPES)
-
-    classes = exchange(bigrams)
-    member = np.zeros((TYPES, CLASSES))
-    member[np.arange(TYPES), classes] = 1
-    table, size = member.T @ bigrams @ member, member.T @ sums
-    anywhere = (size + 1) / (size + 1).sum()
-    model.classes = classes
-    model.steps = np.log10((table + STRENGTH * anywhere) / (table.sum(1, keepdims=True) + STRENGTH))
-    inside = member.T @ (sums + 0.5)
-    model.types = np.log10((sums + 0.5) / inside[classes])
-    model.rooms = np.log10(np.maximum(sums + kinds + 1, 1))
-    own = np.arange(min(FREQUENT, len(words)))
-    model.rooms[own] = np.log10(np.maximum(numbers[own] + 1.0, 1))
-    model.rooms[END] = np.log10(ends + 1.0)
-    return model, rare
+            yield pa.RecordBatch.from_arrays([pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(table[part])], ["code", "beside", "n"])
+
+    return paths.select("codes").mapInArrow(run, "code int, beside int, n long").groupBy("code", "beside").agg(F.sum("n").alias("n"))
+
+
+def _moves(neighbours: DataFrame, table: np.ndarray, classes: np.ndarray) -> DataFrame:
+    """(code, class) of the swept words that go elsewhere."""
+    sent = neighbours.sparkSession.sparkContext.broadcast((table, classes))
+    rows = neighbours.groupBy("code").agg(F.collect_list("beside").alias("beside"), F.collect_list("n").alias("n"))  # 2 * CLASSES + 1 at most
+
+    def run(batches):
+        table, classes = sent.value
+        for batch in batches:
+            to = []
+            for code, beside, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                line = np.zeros(2 * CLASSES + 1)
+                line[beside.values.to_numpy()] = n.values.to_numpy()
+                to.append(better(table.copy(), int(classes[code]), line[:CLASSES], line[CLASSES:-1], line[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to, pa.int32())], ["code", "class"])
+
+    return rows.mapInArrow(run, "code int, class int")
+
+
+def sweep(paths: DataFrame, classes: np.ndarray, swept: int) -> np.ndarray:
+    """The classes after parallel exchange of the first `swept` words."""
+    known, best = -np.inf, classes
+    while swept:
+        table = _bigrams(paths, classes, CLASSES)
+        told = information(table)
+        if told > known:
+            best = classes
+        if told <= known + RISE * abs(known) or not told:
+            break
+        known = told
+        moves = _moves(_neighbours(paths, classes, swept), table, classes).toArrow()
+        classes = classes.copy()
+        classes[moves["code"].to_numpy()] = moves["class"].to_numpy()
+    return best
+
+
+def further(paths: DataFrame, classes: np.ndarray, swept: int) -> DataFrame:
+    """(code, word, n, class) of each word outside the sweeps: the code of those in the
+    head, the word of others."""
+    end, size = len(classes) - 1, len(classes) - 1 - ENDINGS
+    sent = paths.sparkSession.sparkContext.broadcast((_bigrams(paths, classes, CLASSES), classes))
+
+    def beside(batches):
+        classes, seen, held, many = sent.value[1], Counter(), [], 0
+
+        def told():
+            if held:
+                keys, counts = np.unique(np.concatenate(held), return_counts=True)
+                for low in range(0, len(keys), 50_000):
+                    key = keys[low : low + 50_000]
+                    yield rows(pa.array((key >> 12).astype(np.int32)), pa.nulls(len(key), pa.binary()), key & 4095, counts[low : low + 50_000])
+            found, numbers = list(seen), list(seen.values())
+            for low in range(0, len(found), 50_000):
+                words, pairs = zip(*found[low : low + 50_000])
+                yield rows(pa.nulls(len(words), pa.int32()), pa.array(words, pa.binary()), np.array(pairs), np.array(numbers[low : low + 50_000]))
+
+        def rows(code, word, pair, n):
+            return pa.RecordBatch.from_arrays([code, word, pa.array(pair.astype(np.int16)), pa.array(n.astype(np.int64))], ["code", "word", "pair", "n"])
+
+        for batch in batches:
+            stream = _stream(batch, end)
+            of = np.append(classes[stream], 0)
+            pair, code = (of[:-2] << 6 | of[2:]), stream[1:].astype(np.int64)
+            middle = (code >= swept) & (code < size)
+            held.append(code[middle] << 12 | pair[middle])
+            many += int(middle.sum())
+            seen.update(zip(batch.column(1).flatten().to_pylist(), pair[(code >= size) & (code < end)].tolist()))
+            if many > 2_000_000 or len(seen) > HELD:
+                yield from told()
+                seen.clear()
+                held, many = [], 0
+        yield from told()
+
+    def settled(batches):
+        table, waiting = sent.value[0], None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            if not len(rows):
+                continue
+            first = starts(rows)
+            yield from decided(rows.slice(0, first[-1]), first[:-1], table)
+            waiting = rows.slice(first[-1])  # the last word may go on in the next batch
+        if waiting is not None:
+            yield from decided(waiting, np.array([0]), table)
+
+    def starts(rows):
+        code = pc.fill_null(rows["code"], -1).to_numpy()
+        word = pc.fill_null(rows["word"], b"").combine_chunks().dictionary_encode().indices.to_numpy()
+        return np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (word[1:] != word[:-1])]))
+
+    def decided(rows, first, table):
+        pair, n = rows["pair"].to_numpy().astype(np.int64), rows["n"].to_numpy()
+        ends = np.append(first[1:], len(rows))
+        for low in range(0, len(first), 512):
+            begin, stop = first[low], ends[min(low + 512, len(first)) - 1]
+            part = first[low : low + 512]
+            word = np.repeat(np.arange(len(part)), ends[low : low + 512] - part)
+            right, left = np.zeros((len(part), CLASSES)), np.zeros((len(part), CLASSES))
+            np.add.at(right, (word, pair[begin:stop] & 63), n[begin:stop])
+            np.add.at(left, (word, pair[begin:stop] >> 6), n[begin:stop])
+            named = rows.select(["code", "word"]).take(pa.array(part))
+            out = named.append_column("n", pa.array(right.sum(1).astype(np.int64))).append_column("class", pa.array(nearest(table, right, left).astype(np.int32)))
+            yield from out.combine_chunks().to_batches()
+
+    tallied = paths.mapInArrow(beside, "code int, word binary, pair short, n long").groupBy("code", "word", "pair").agg(F.sum("n").alias("n"))
+    return tallied.repartition("code", "word").sortWithinPartitions("code", "word").mapInArrow(settled, "code int, word binary, n long, class int")
+
+
+def learn(training: DataFrame, head: int = HEAD, swept: int = SWEPT, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
+    """The model, and (word, n, class) of all words outside its head.
+
+    Without a training text every count is 0 and all words have equal chances."""
+    source = texts(training)
+    counts = cut(word_counts(source.select("text")), "word-counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words, numbers = most_frequent(counts, head)
+    paths = coded(source, training.sparkSession.sparkContext.broadcast(words))
+    ends = paths.count()
+    size, swept, frequent = len(words), min(swept, len(words)), min(frequent, len(words))
+
+    # Types of the seed: frequent words, endings, the end.
+    end_of = np.array([ending(w) for w in words], np.int64)
+    types = np.concatenate([np.arange(frequent), frequent + end_of[frequent:], frequent + np.arange(ENDINGS + 1)]).astype(np.int64)
+    classes = exchange(_bigrams(paths, types, frequent + ENDINGS + 1))[types]
+    classes = sweep(paths, classes, swept)
+
+    found = cut(further(paths, classes, swept), "classes")
+    middle = found.where("code is not null").select("code", "class").toArrow()
+    classes = classes.copy()
+    classes[middle["code"].to_numpy()] = middle["class"].to_numpy()
+    rare = found.where("word is not null").select("word", "n", "class")
+
+    mass = np.bincount(classes[:size], numbers + ROOM, CLASSES) + np.bincount(classes[size:-1], minlength=CLASSES) * ROOM
+    for row in rare.groupBy("class").agg(F.sum(F.col("n") + F.lit(ROOM)).alias("mass")).collect():
+        mass[row["class"]] += row["mass"]
+    mass[0] = ends + ROOM
+    table = _bigrams(paths, classes, CLASSES)
+    anywhere = (mass + 1) / (mass + 1).sum()
+    steps = np.log10((table + STRENGTH * anywhere) / (table.sum(1, keepdims=True) + STRENGTH))
+    rooms = np.log10(np.maximum(mass, ROOM))
+    return Model(words, numbers, int(total) + ends, int(distinct) + (ends > 0), ends, classes, steps, rooms), rare
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: Column) -> DataFrame:
@@ -225,14 +443,18 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: Column) -> D
 
     def run(batches):
         model = sent.value
-        codes, types, size = Codes(model.head), model.type_of_codes(), len(model.head)
-        counts = np.concatenate([np.log10(model.head_counts + 1.0), np.zeros(TYPES)])
-        emitted = counts - model.rooms[types] + model.types[types]
-        classes = model.classes[types]
-        end = model.classes[END]
-        last = np.log10(model.ends + 1.0)
+        codes, size = Codes(model.head), len(model.head)
+        counts = np.concatenate([np.log10(model.head_counts + 1.0), np.zeros(ENDINGS)])
+        emitted = np.concatenate([np.log10(model.head_counts + ROOM), np.zeros(ENDINGS)]) - model.rooms[model.classes[:-1]]
+        emitted[size:] = 0.0
+        # Words outside the head stand as class CLASSES + class of the ending until their join.
+        classes = model.classes.copy()
+        classes[size:-1] += CLASSES
+        steps = np.zeros((2 * CLASSES, 2 * CLASSES))
+        steps[:CLASSES, :CLASSES] = model.steps
+        end, last = model.classes[-1], np.log10(model.ends + 1.0)
         for batch in batches:
-            n_tokens, n_known, bases, scores, words_out, times_out = [], [], [], [], [], []
+            n_tokens, n_known, bases, scores, tails = [], [], [], [], []
             for text in batch.column(1):
                 words = lower_words(text.as_py())
                 code = codes.of(words)
@@ -240,24 +462,48 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: Column) -> D
                 n_tokens.append(len(words) + 1)
                 n_known.append(int((code < size).sum()) + (model.ends > 0))
                 bases.append(float(counts[code].sum()) + last)
-                scores.append(float(emitted[code].sum() + model.steps[path[:-1], path[1:]].sum() + last - model.rooms[END] + model.types[END]))
-                tail = Counter([words[k] for k in np.flatnonzero(code >= size).tolist()])
-                words_out.append(list(tail))
-                times_out.append(list(tail.values()))
+                scores.append(float(emitted[code].sum() + steps[path[:-1], path[1:]].sum()))
+                at = np.flatnonzero(code >= size)
+                tails.append([{"at": k, "word": words[k], "before": b, "own": o, "after": a} for k, b, o, a in zip(at.tolist(), path[at].tolist(), (path[at + 1] - CLASSES).tolist(), path[at + 2].tolist())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.array(words_out, pa.list_(pa.binary())), pa.array(times_out, pa.list_(pa.int32()))],
-                ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "words", "times"],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, tail_type)],
+                ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "tail"],
             )
 
+    def completed(batches):
+        """Adds what the words outside the head say, in their order."""
+        model = sent.value
+        for batch in batches:
+            tail = batch.column(batch.schema.names.index("met"))
+            lengths = pc.fill_null(pc.list_value_length(tail), 0).to_numpy()
+            flat = tail.flatten()
+            at, before, own, after, n = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("at", "before", "own", "after", "n"))
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            order = np.lexsort((at, text))
+            before, own, after, n = before[order], own[order], after[order], n[order]
+            # A neighbour outside the head is the word met just before or after.
+            before = np.where(before >= CLASSES, np.concatenate([[0], own[:-1]]) if len(own) else own, before)
+            log = np.log10(n + ROOM) - model.rooms[own] + model.steps[before, own]
+            inside = after < CLASSES
+            log[inside] += model.steps[own[inside], after[inside]]
+            more = [np.bincount(text, values, len(lengths)) for values in (log, np.log10(n + 1.0), n > 0)]
+            column = dict(zip(batch.schema.names, batch.columns))
+            column["score"] = pc.add(column["score"], pa.array(more[0]))
+            column["base"] = pc.add(column["base"], pa.array(more[1]))
+            column["n_known"] = pc.add(column["n_known"], pa.array(more[2].astype(np.int64)))
+            del column["met"]
+            yield pa.RecordBatch.from_arrays(list(column.values()), list(column))
+
+    tail_type = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.binary()), ("before", pa.int32()), ("own", pa.int32()), ("after", pa.int32())]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = cut(source.mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    # A word without a count adds log10(1) = 0, so an inner join loses nothing.
-    met = tail.join(rare, "word").select("row", "times", F.col("n").cast("int").alias("n"))
-    more = met.groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("log"))
-    joined = scored.drop("words", "times").join(more, "row", "left")
-    log, total = F.coalesce("log", F.lit(0.0)), F.col("score") + F.coalesce("log", F.lit(0.0))
-    return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + log - F.col("n_tokens") * F.lit(rest)).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
+    columns = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double"
+    scored = cut(source.mapInArrow(run, f"{columns}, tail array<struct<at: int, word: binary, before: int, own: int, after: int>>"), "scored")
+    tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.*")
+    met = tail.join(rare, "word", "left").select("row", F.struct("at", "before", F.coalesce("class", "own").alias("own"), "after", F.coalesce("n", F.lit(0)).alias("n")).alias("x"))
+    joined = scored.drop("tail").join(met.groupBy("row").agg(F.collect_list("x").alias("met")), "row", "left")
+    whole = joined.select(*scored.drop("tail").columns, "met").mapInArrow(completed, columns)
+    total = F.col("score")
+    return whole.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(rest)).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )

@@ -42,20 +42,111 @@ def test_base_against_brute_force(docs, head):
 def test_probabilities_sum_to_one(docs):
     """Over every head word, the known rare words, one unseen word of every ending, and the end."""
     frame = docs([(k, " ".join(invented(k, 40, 700))) for k in range(30)])
-    model, rare = learn(frame, head=100)
-    rest = {bytes(r["word"]): r["n"] for r in rare.collect()}
-    types = model.type_of_codes()
-    chance = np.zeros(brown_lm.TYPES)
-    for code, n in enumerate(model.head_counts):
-        chance[types[code]] += (n + 1.0) / 10 ** model.rooms[types[code]]
-    for word, n in rest.items():
-        chance[brown_lm.ending(word)] += (n + 1.0) / 10 ** model.rooms[brown_lm.ending(word)]
-    endings = np.arange(brown_lm.FREQUENT, brown_lm.END)
-    chance[endings] += 1 / 10 ** model.rooms[endings]
-    assert np.allclose(chance[endings], 1) and np.allclose(chance[: min(100, brown_lm.FREQUENT)], 1)
+    model, rare = learn(frame, head=100, swept=40, frequent=20)
+    chance = np.zeros(brown_lm.CLASSES)
+    np.add.at(chance, model.classes[:100], model.head_counts + brown_lm.ROOM)
+    np.add.at(chance, model.classes[100:-1], brown_lm.ROOM)
+    for row in rare.collect():
+        chance[row["class"]] += row["n"] + brown_lm.ROOM
+    chance[0] += model.ends + brown_lm.ROOM
+    chance /= 10**model.rooms
+    assert np.allclose(chance[chance > 0], 1)
     assert np.allclose((10**model.steps).sum(1), 1)
-    for c in set(model.classes.tolist()):
-        assert abs((10 ** model.types)[model.classes == c].sum() - 1) < 1e-9
+    assert model.classes[-1] == 0 and model.classes[:-1].min() > 0
+
+
+@pytest.mark.parametrize("head, swept, frequent", [(60, 30, 10), (5, 3, 2), (2000, 2000, 512)])
+def test_score_against_brute_force(docs, head, swept, frequent):
+    rows = [(k, " ".join(invented(k % 7, 30 + k, 900))) for k in range(40)] + [(90, None), (91, " "), (92, "Never SEEN before at all"), (93, "é never é"), (94, "again"), (94, "again")]
+    frame = docs(rows)
+    train = [text for doc, text in rows if doc % 3]
+    model, rare = learn(frame.where("doc_id % 3 <> 0"), head, swept, frequent)
+    counts = Counter(word for text in train for word in lower(text))
+    class_of = dict(zip(model.head, model.classes.tolist())) | {bytes(r["word"]): r["class"] for r in rare.collect()}
+    assert set(class_of) == set(counts)
+    assert sorted(model.head, key=lambda w: (-counts[w], w)) == model.head and len(model.head) == min(head, len(counts))
+    assert min(counts[w] for w in model.head) >= max((counts[w] for w in set(counts) - set(model.head)), default=0)
+
+    def chance(text):
+        total, before = 0.0, 0
+        for word in lower(text):
+            own = class_of.get(word, int(model.classes[len(model.head) + brown_lm.ending(word)]))
+            total += model.steps[before, own] + math.log10(counts[word] + brown_lm.ROOM) - model.rooms[own]
+            before = own
+        return total + model.steps[before, 0]
+
+    expected = sorted((doc, chance(text)) for doc, text in rows)
+    found = sorted((r["doc_id"], r["score"]) for r in score(frame, model, rare, F.col("doc_id") % 3 == 0).collect())
+    assert [d for d, _ in found] == [d for d, _ in expected]
+    assert np.allclose([s for _, s in found], [s for _, s in expected])
+
+
+def test_further_words_go_where_the_likelihood_rises_most(docs):
+    """Each word outside the sweeps, against the gain counted word by word."""
+    rows = [(k, " ".join(invented(k % 5, 60, 150))) for k in range(25)]
+    source = brown_lm.texts(docs(rows))
+    counts = Counter(word for _, text in rows for word in lower(text))
+    head = sorted(counts, key=lambda w: (-counts[w], w))[:60]
+    paths = brown_lm.coded(source, source.sparkSession.sparkContext.broadcast(head))
+    draw = np.random.default_rng(1)
+    classes = np.append(draw.integers(1, 6, 60 + brown_lm.ENDINGS), 0)
+    codes = brown_lm.Codes(head)
+    right, left, table = {}, {}, np.zeros((brown_lm.CLASSES, brown_lm.CLASSES))
+    for _, text in rows:
+        words = lower(text)
+        path = [0, *classes[codes.of(words)].tolist(), 0]
+        np.add.at(table, (path[:-1], path[1:]), 1)
+        for word, a, b in zip(words, path, path[2:]):
+            left.setdefault(word, np.zeros(brown_lm.CLASSES))[a] += 1
+            right.setdefault(word, np.zeros(brown_lm.CLASSES))[b] += 1
+    found = brown_lm.further(paths, classes, 20).collect()
+    assert {head[r["code"]] if r["word"] is None else bytes(r["word"]): r["n"] for r in found} == {w: counts[w] for w in set(counts) - set(head[:20])}
+    for r in found:
+        word = head[r["code"]] if r["word"] is None else bytes(r["word"])
+        gain = brown_lm.gains(table, right[word], left[word], 0.0)
+        assert gain[r["class"]] >= gain.max() - 1e-6
+
+
+def test_sweeps_raise_what_classes_tell(docs):
+    source = brown_lm.texts(docs(made_language()))
+    counts = Counter(word for _, text in made_language() for word in lower(text))
+    head = sorted(counts, key=lambda w: (-counts[w], w))[:200]
+    paths = brown_lm.coded(source, source.sparkSession.sparkContext.broadcast(head))
+    types = np.array([*range(40), *(40 + brown_lm.ending(w) for w in head[40:]), *(40 + np.arange(brown_lm.ENDINGS + 1))])
+    begin = exchange(brown_lm._bigrams(paths, types, 40 + brown_lm.ENDINGS + 1))[types]
+    end = brown_lm.sweep(paths, begin, 200)
+    told = [brown_lm.information(brown_lm._bigrams(paths, of, brown_lm.CLASSES)) for of in (begin, end)]
+    assert told[1] > 1.2 * told[0]
+
+
+def made_language(kinds=4, words=150, texts=400):
+    """Words of one kind follow words of the kind before; their letters tell nothing."""
+    draw = np.random.default_rng(5)
+    spelled = draw.permutation(kinds * words)
+    rows = []
+    for doc in range(texts):
+        at = draw.integers(kinds)
+        length = int(draw.integers(20, 60))
+        rows.append((doc, " ".join(f"w{spelled[(at + k) % kinds * words + int(words * draw.random() ** 2)]:03d}" for k in range(length))))
+    return rows
+
+
+def test_words_past_the_types_and_the_sweeps_get_their_classes(docs):
+    rows = made_language()
+    model, rare = learn(docs(rows), head=300, swept=100, frequent=40)
+    kind = {}
+    draw = np.random.default_rng(5).permutation(600)
+    for place, name in enumerate(draw):
+        kind[f"w{name:03d}".encode()] = place // 150
+    class_of = list(zip(model.head, model.classes.tolist(), model.head_counts.tolist())) + [(bytes(r["word"]), r["class"], r["n"]) for r in rare.collect()]
+    assert len(class_of) > 500
+    for low, high, least in ((0, 100, 0.95), (100, 300, 0.9), (300, 600, 0.75)):
+        weight = Counter()
+        for word, of, n in class_of:
+            weight[of, kind[word]] += n
+        main = {of: max(range(4), key=lambda k: weight[of, k]) for of in range(64)}
+        part = class_of[low:high]
+        assert sum(n for w, of, n in part if main[of] == kind[w]) >= least * sum(n for _, _, n in part)
 
 
 def test_better_than_base_on_held_out(spark):
