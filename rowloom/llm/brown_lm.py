@@ -40,6 +40,8 @@ TYPES = FREQUENT + ENDINGS + 1
 ROOM = 0.5
 #: Sweeps go on while the information between neighbouring classes grows by this share.
 RISE = 0.002
+#: Words in one row of neighbour counts, counts of a word, and groups that add up rows first.
+BLOCK, WIDTH, SALTS = 64, 2 * CLASSES + 1, 64
 
 
 def ending(word: bytes) -> int:
@@ -264,58 +266,84 @@ def _bigrams(paths: DataFrame, of: np.ndarray, kinds: int) -> np.ndarray:
 
 
 def _neighbours(paths: DataFrame, classes: np.ndarray, swept: int) -> DataFrame:
-    """(code, beside, n) of the swept words: classes after, CLASSES + classes before, and
-    2 * CLASSES for the word next to itself."""
-    end, width = len(classes) - 1, 2 * CLASSES + 1
+    """(block, counts): for BLOCK words each, the classes after a word, the classes before it
+    and the word next to itself, WIDTH counts a word; as block -1, the class bigrams.
+
+    A task sends one row a block. Rows are added up in two steps, so that no task adds up
+    all rows of a block where there are very many tasks."""
+    end = len(classes) - 1
     sent = paths.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
-        table = np.zeros(swept * width, np.int64)
+        table, bigrams, salt = np.zeros(-(-swept // BLOCK) * BLOCK * WIDTH, np.int64), np.zeros(CLASSES * CLASSES, np.int64), 0
         for batch in batches:
             stream = _stream(batch, end)
             of = sent.value[stream]
+            bigrams += np.bincount(of[:-1] * CLASSES + of[1:], minlength=len(bigrams))
             first, second = stream[:-1].astype(np.int64), stream[1:].astype(np.int64)
             one, two = first < swept, second < swept
-            places = [first[one] * width + of[1:][one], second[two] * width + CLASSES + of[:-1][two], first[one & (first == second)] * width + 2 * CLASSES]
-            table += np.bincount(np.concatenate(places), minlength=len(table))
-        at = np.flatnonzero(table)
-        for low in range(0, len(at), 100_000):
-            part = at[low : low + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(table[part])], ["code", "beside", "n"])
-
-    return paths.select("codes").mapInArrow(run, "code int, beside int, n long").groupBy("code", "beside").agg(F.sum("n").alias("n"))
-
-
-def _moves(neighbours: DataFrame, table: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """(code, class) of the swept words that go elsewhere."""
+            for places in (first[one] * WIDTH + of[1:][one], second[two] * WIDTH + CLASSES + of[:-1][two], first[one & (first == second)] * WIDTH + 2 * CLASSES):
+                np.add.at(table, places, 1)
+            salt = (salt * 31 + int(bigrams.sum())) % SALTS
+        yield from rows(np.arange(-1, swept / BLOCK, dtype=np.int64).tolist(), salt, [bigrams, *table.reshape(-1, BLOCK * WIDTH)])
+
+    def rows(blocks, salt, counts):
+        for low in range(0, len(blocks), 64):
+            part = blocks[low : low + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([salt] * len(part), pa.int32()), pa.array([c.tobytes() for c in counts[low : low + 64]], pa.binary())], ["block", "salt", "counts"])
+
+    def added(batches):
+        block, total = None, None
+        for batch in batches:
+            for new, counts in zip(batch.column(0).to_pylist(), batch.column(2)):
+                counts = np.frombuffer(counts.as_py(), np.int64)
+                if new != block:
+                    if block is not None:
+                        yield from rows([block], 0, [total])
+                    block, total = new, counts.copy()
+                else:
+                    total += counts
+        if block is not None:
+            yield from rows([block], 0, [total])
+
+    kind = "block int, salt int, counts binary"
+    salted = paths.select("codes").mapInArrow(run, kind).repartition("block", "salt").sortWithinPartitions("block").mapInArrow(added, kind)
+    return cut(salted.repartition("block").sortWithinPartitions("block").mapInArrow(added, kind), "neighbours")
+
+
+def _moves(neighbours: DataFrame, table: np.ndarray, classes: np.ndarray, swept: int) -> DataFrame:
+    """(code, class) of the swept words."""
     sent = neighbours.sparkSession.sparkContext.broadcast((table, classes))
-    rows = neighbours.groupBy("code").agg(F.collect_list("beside").alias("beside"), F.collect_list("n").alias("n"))  # 2 * CLASSES + 1 at most
 
     def run(batches):
         table, classes = sent.value
         for batch in batches:
-            to = []
-            for code, beside, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                line = np.zeros(2 * CLASSES + 1)
-                line[beside.values.to_numpy()] = n.values.to_numpy()
-                to.append(better(table.copy(), int(classes[code]), line[:CLASSES], line[CLASSES:-1], line[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to, pa.int32())], ["code", "class"])
+            codes, to = [], []
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                lines = np.frombuffer(counts.as_py(), np.int64).reshape(BLOCK, WIDTH).astype(float)
+                for code, line in zip(range(block * BLOCK, min(swept, (block + 1) * BLOCK)), lines):
+                    codes.append(code)
+                    to.append(better(table.copy(), int(classes[code]), line[:CLASSES], line[CLASSES:-1], line[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(to, pa.int32())], ["code", "class"])
 
-    return rows.mapInArrow(run, "code int, class int")
+    blocks = neighbours.where("block >= 0").select("block", "counts")
+    return blocks.repartition(neighbours.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "code int, class int")
 
 
 def sweep(paths: DataFrame, classes: np.ndarray, swept: int) -> np.ndarray:
     """The classes after parallel exchange of the first `swept` words."""
-    known, best = -np.inf, classes
+    known, best = 0.0, classes
     while swept:
-        table = _bigrams(paths, classes, CLASSES)
+        neighbours = _neighbours(paths, classes, swept)
+        counts = neighbours.where("block = -1").select("counts").collect()
+        table = np.frombuffer(counts[0]["counts"], np.int64).reshape(CLASSES, CLASSES).astype(float) if counts else np.zeros((CLASSES, CLASSES))
         told = information(table)
         if told > known:
             best = classes
-        if told <= known + RISE * abs(known) or not told:
+        if not told or told <= known * (1 + RISE):
             break
         known = told
-        moves = _moves(_neighbours(paths, classes, swept), table, classes).toArrow()
+        moves = _moves(neighbours, table, classes, swept).toArrow()
         classes = classes.copy()
         classes[moves["code"].to_numpy()] = moves["class"].to_numpy()
     return best
@@ -390,8 +418,10 @@ def further(paths: DataFrame, classes: np.ndarray, swept: int) -> DataFrame:
             out = named.append_column("n", pa.array(right.sum(1).astype(np.int64))).append_column("class", pa.array(nearest(table, right, left).astype(np.int32)))
             yield from out.combine_chunks().to_batches()
 
-    tallied = paths.mapInArrow(beside, "code int, word binary, pair short, n long").groupBy("code", "word", "pair").agg(F.sum("n").alias("n"))
-    return tallied.repartition("code", "word").sortWithinPartitions("code", "word").mapInArrow(settled, "code int, word binary, n long, class int")
+    place = F.coalesce(F.col("code").cast("long"), F.xxhash64("word")).alias("place")  # quickly sorted
+    tallied = paths.mapInArrow(beside, "code int, word binary, pair short, n long").select(place, "code", "word", "pair", "n")
+    salted = tallied.groupBy("place", "code", "word", "pair").agg(F.sum("n").alias("n"))
+    return salted.repartition("place").sortWithinPartitions("place", "word").mapInArrow(settled, "code int, word binary, n long, class int")
 
 
 def learn(training: DataFrame, head: int = HEAD, swept: int = SWEPT, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
@@ -454,7 +484,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: Column) -> D
         steps[:CLASSES, :CLASSES] = model.steps
         end, last = model.classes[-1], np.log10(model.ends + 1.0)
         for batch in batches:
-            n_tokens, n_known, bases, scores, tails = [], [], [], [], []
+            n_tokens, n_known, bases, scores, lengths, tails, rare_words = [], [], [], [], [0], [np.zeros((4, 0), np.int64)], []
             for text in batch.column(1):
                 words = lower_words(text.as_py())
                 code = codes.of(words)
@@ -464,9 +494,13 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: Column) -> D
                 bases.append(float(counts[code].sum()) + last)
                 scores.append(float(emitted[code].sum() + steps[path[:-1], path[1:]].sum()))
                 at = np.flatnonzero(code >= size)
-                tails.append([{"at": k, "word": words[k], "before": b, "own": o, "after": a} for k, b, o, a in zip(at.tolist(), path[at].tolist(), (path[at + 1] - CLASSES).tolist(), path[at + 2].tolist())])
+                lengths.append(len(at))
+                tails.append(np.stack([at, path[at], path[at + 1] - CLASSES, path[at + 2]]))
+                rare_words += [words[k] for k in at.tolist()]
+            places, before, own, after = (pa.array(part.astype(np.int32)) for part in np.concatenate(tails, axis=1))
+            tail = pa.StructArray.from_arrays([places, pa.array(rare_words, pa.binary()), before, own, after], ["at", "word", "before", "own", "after"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, tail_type)],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), tail)],
                 ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "tail"],
             )
 
@@ -494,7 +528,6 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: Column) -> D
             del column["met"]
             yield pa.RecordBatch.from_arrays(list(column.values()), list(column))
 
-    tail_type = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.binary()), ("before", pa.int32()), ("own", pa.int32()), ("after", pa.int32())]))
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double"
     scored = cut(source.mapInArrow(run, f"{columns}, tail array<struct<at: int, word: binary, before: int, own: int, after: int>>"), "scored")
