@@ -41,7 +41,7 @@ ROOM = 0.5
 #: Sweeps go on while the information between neighbouring classes grows by this share.
 RISE = 0.002
 #: Words in one row of neighbour counts, counts of a word, and groups that add up rows first.
-BLOCK, WIDTH, SALTS = 64, 2 * CLASSES + 1, 64
+BLOCK, WIDTH, SALTS = 64, 2 * CLASSES + 1, 8
 
 
 def ending(word: bytes) -> int:
@@ -351,7 +351,8 @@ def sweep(paths: DataFrame, classes: np.ndarray, swept: int) -> np.ndarray:
 
 def further(paths: DataFrame, classes: np.ndarray, swept: int) -> DataFrame:
     """(code, word, n, class) of each word outside the sweeps: the code of those in the
-    head, the word of others."""
+    head, the word of others. A task tells how often it met each word between two classes;
+    the rows of a word meet sorted, and no more than some thousands of them are held."""
     end, size = len(classes) - 1, len(classes) - 1 - ENDINGS
     sent = paths.sparkSession.sparkContext.broadcast((_bigrams(paths, classes, CLASSES), classes))
 
@@ -389,13 +390,17 @@ def further(paths: DataFrame, classes: np.ndarray, swept: int) -> DataFrame:
     def settled(batches):
         table, waiting = sent.value[0], None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
+            rows = pa.Table.from_batches([batch]).select(["code", "word", "pair", "n"])
             rows = rows if waiting is None else pa.concat_tables([waiting, rows])
             if not len(rows):
                 continue
             first = starts(rows)
             yield from decided(rows.slice(0, first[-1]), first[:-1], table)
             waiting = rows.slice(first[-1])  # the last word may go on in the next batch
+            if len(waiting) > 4 * CLASSES**2:
+                number = np.bincount(waiting["pair"].to_numpy(), waiting["n"].to_numpy()).astype(np.int64)
+                pairs = np.flatnonzero(number)
+                waiting = waiting.slice(0, len(pairs)).set_column(2, "pair", pa.array(pairs.astype(np.int16))).set_column(3, "n", pa.array(number[pairs]))
         if waiting is not None:
             yield from decided(waiting, np.array([0]), table)
 
@@ -420,8 +425,7 @@ def further(paths: DataFrame, classes: np.ndarray, swept: int) -> DataFrame:
 
     place = F.coalesce(F.col("code").cast("long"), F.xxhash64("word")).alias("place")  # quickly sorted
     tallied = paths.mapInArrow(beside, "code int, word binary, pair short, n long").select(place, "code", "word", "pair", "n")
-    salted = tallied.groupBy("place", "code", "word", "pair").agg(F.sum("n").alias("n"))
-    return salted.repartition("place").sortWithinPartitions("place", "word").mapInArrow(settled, "code int, word binary, n long, class int")
+    return tallied.repartition("place").sortWithinPartitions("place", "word").select("code", "word", "pair", "n").mapInArrow(settled, "code int, word binary, n long, class int")
 
 
 def learn(training: DataFrame, head: int = HEAD, swept: int = SWEPT, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
