@@ -29,6 +29,9 @@ def configure(spark: SparkSession) -> SparkSession:
     # Java never compiles methods above 8000 bytes; run such stages operator by
     # operator, in methods it does compile.
     conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # Rows go to Python in batches of few bytes, so that what a worker holds does not grow
+    # with the length of texts.
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     # Read and write CSV in any charset Java knows, Shift_JIS among them.
     conf.set("spark.sql.legacy.javaCharsets", "true")
     if conf.get("spark.sql.files.minPartitionNum", None) is None:
