@@ -172,25 +172,35 @@ class JsonLinesTestCell(Cell):
         return self.shown
 
 
-def with_cells(lines: DataFrame, keys: Iterable[str], exact: bool = True, prefix: str = "cell") -> DataFrame:
+def with_cells(lines: DataFrame, keys: Iterable[str], exact: bool = True, prefix: str = "cell", raw: bool = True) -> DataFrame:
     """Add one CELL struct column per key: ``<prefix>_0``, ``<prefix>_1``, ...
 
-    Strings, integers, booleans, nulls and absent members come from the variant.
-    With ``exact`` (the default) lines with other members under these keys, and
-    lines the variant parser refuses, are read once more by the exact reader.
+    Strings, numbers, booleans, nulls and absent members come from the variant, where
+    it keeps their spelling. With ``exact`` (the default) lines with other members under
+    these keys, and lines the variant parser refuses, are read once more by the exact
+    reader. Without ``raw`` cells have no field of that name, and strings in lines with
+    escapes come from the variant as well.
     """
     keys = list(keys)
     parsed, base = _with_record(lines)
     if not keys:
         return parsed
     line = F.col(LINE)
-    found = F.transform(_typed(keys), lambda c: _plain_cell(c["value"], c["type"], line, exact))
-    first = parsed.select("*", F.when(_readable(), found).alias("__plain"))
+    # What the parser refuses goes to the exact reader as it stands: ``record``, for which
+    # such lines are written anew in Python, is not needed here.
+    first = parsed.withColumn("__record", F.try_parse_json(LINE)) if exact else parsed
+    record = "__record" if exact else "record"
+    found = F.transform(_typed(keys, record), lambda c: _plain_cell(c["value"], c["type"], line, exact, raw))
+    first = first.select("*", F.when(_readable(record), found).alias("__plain"))
     if not exact:
-        broken = _cell_struct("invalid", None)
+        broken = _cell_struct("invalid", None, keep_raw=raw)
         return first.select(*base, *(F.coalesce(F.col("__plain")[i], broken).alias(f"{prefix}_{i}") for i in range(len(keys))))
     some_open = F.col("__plain").isNull() | F.exists("__plain", lambda c: c.isNull())
     read = first.select("*", exact_cells(F.when(some_open, line), keys).alias("__exact"))
+    # A null has no text, whichever way it was read.
+    fields = ("text", "raw") if raw else ("text",)
+    same = F.transform("__exact", lambda c: F.struct(c["kind"].alias("kind"), *(F.when(c["kind"] != "null", c[f]).alias(f) for f in fields)))
+    read = read.withColumn("__exact", same)
     return read.select(
         *base, *(F.coalesce(F.col("__plain")[i], F.col("__exact")[i]).alias(f"{prefix}_{i}") for i in range(len(keys)))
     )
@@ -201,44 +211,55 @@ def _with_record(lines: DataFrame) -> tuple[DataFrame, list[str]]:
     return parsed, parsed.columns
 
 
-def _readable() -> Column:
-    return F.col("record").isNotNull() & J.is_object_line(F.col(LINE))
+def _readable(record: str = "record") -> Column:
+    return F.col(record).isNotNull() & J.is_object_line(F.col(LINE))
 
 
-def _typed(keys: list[str]) -> Column:
+def _typed(keys: list[str], record: str = "record") -> Column:
     """The members as an array of (value, type). Cells are made of it by one expression
     over the array, so that neither code nor work grows faster than the number of keys."""
-    values = F.array(*(J.member(F.col("record"), key) for key in keys))
+    values = F.array(*(J.member(F.col(record), key) for key in keys))
     return F.transform(values, lambda v: F.struct(v.alias("value"), J.variant_type(v).alias("type")))
 
 
-def _cell_struct(kind: str | Column, text: Column | None, raw: Column | None = None) -> Column:
-    nothing = F.lit(None).cast("string")
+def _cell_struct(kind: str | Column, text: Column | None, keep_raw: bool = True) -> Column:
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    text = nothing if text is None else text
-    return F.struct(kind.alias("kind"), text.alias("text"), (text if raw is None else raw).alias("raw"))
+    text = F.lit(None).cast("string") if text is None else text
+    return F.struct(kind.alias("kind"), text.alias("text"), *([text.alias("raw")] if keep_raw else ()))
 
 
-def _plain_cell(value: Column, type_name: Column, line: Column, exact: bool) -> Column:
+# Lines in which some member may be a fraction that ends in zeros. Variants drop these zeros,
+# and keep every other decimal as it is written.
+_ENDS_IN_ZEROS = r'"\s*:\s*-?[0-9]+\.[0-9]*0(?![0-9])'
+
+
+def _plain_cell(value: Column, type_name: Column, line: Column, exact: bool, raw: bool = True) -> Column:
     """CELL where the variant keeps the source text, NULL where it may not."""
     text = F.try_variant_get(value, "$", "string")
+
+    def cell(kind: str, text: Column | None) -> Column:
+        return _cell_struct(kind, text, raw)
+
     out = (
-        F.when(value.isNull(), _cell_struct("missing", None))
-        .when(type_name == "VOID", _cell_struct("null", None))
-        .when(type_name == "BOOLEAN", _cell_struct("boolean", text))
+        F.when(value.isNull(), cell("missing", None))
+        .when(type_name == "VOID", cell("null", None))
+        .when(type_name == "BOOLEAN", cell("boolean", text))
     )
     if exact:
         # Without a backslash in the line, a string is its own raw form.
-        raw_is_text = ~F.contains(line, F.lit("\\"))
+        as_written = ~F.contains(line, F.lit("\\")) if raw else F.lit(True)
         signed_zero = (text == "0") & F.contains(line, F.lit("-0"))
-        return out.when((type_name == "STRING") & raw_is_text, _cell_struct("string", text)).when(
-            (type_name == "BIGINT") & ~signed_zero, _cell_struct("number", text)
+        as_decimal = ~F.contains(text, F.lit("E")) & ~F.rlike(line, F.lit(_ENDS_IN_ZEROS))
+        return (
+            out.when((type_name == "STRING") & as_written, cell("string", text))
+            .when((type_name == "BIGINT") & ~signed_zero, cell("number", text))
+            .when((type_name == "DECIMAL") & as_decimal, cell("number", text))
         )
     return (
-        out.when(type_name == "STRING", _cell_struct("string", text))
-        .when(type_name == "OBJECT", _cell_struct("object", F.to_json(value)))
-        .when(type_name == "ARRAY", _cell_struct("array", F.to_json(value)))
-        .otherwise(_cell_struct("number", text))
+        out.when(type_name == "STRING", cell("string", text))
+        .when(type_name == "OBJECT", cell("object", F.to_json(value)))
+        .when(type_name == "ARRAY", cell("array", F.to_json(value)))
+        .otherwise(cell("number", text))
     )
 
 

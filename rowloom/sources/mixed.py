@@ -32,7 +32,7 @@ def read_mixed(spark: SparkSession, path: str | list[str], names: Sequence[str],
         if data_format == "csv":
             rows = read_csv(spark, files, quoted_breaks=quoted_breaks).select(*(column(n) for n in names))
         else:
-            cells = with_cells(readers[data_format](spark, files), names)
+            cells = with_cells(readers[data_format](spark, files), names, raw=False)
             rows = cells.select(*(JsonLinesCell(F.col(f"cell_{i}")).table_value.alias(n) for i, n in enumerate(names)))
         frames.append(rows.select(F.lit(data_format).alias("format"), *(column(n) for n in names)))
     return reduce(lambda a, b: a.unionByName(b), frames)
