@@ -36,7 +36,7 @@ def recipe_over_lines(
         tests: dict[str, Cell] = {s: JsonLinesTestCell(F.col(f"shown_{i}")) for i, s in enumerate(sources)}
         rows = keep_rows(rows, plan, tests, computed=True).drop(*(f"shown_{i}" for i in range(len(sources))))
     read = plan.read_sources
-    rows = with_cells(rows, read, exact)
+    rows = with_cells(rows, read, exact, raw=False)
     return rows, plan, {source: JsonLinesCell(F.col(f"cell_{i}")) for i, source in enumerate(read)} | _blank_cells(plan)
 
 
