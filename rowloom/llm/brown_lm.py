@@ -21,7 +21,6 @@ is left room for in every ending.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import cut, texts
-from .text import lower_words
 
 HEAD, SWEPT, FREQUENT, ENDINGS, CLASSES, HELD, STRENGTH = 131_072, 16_384, 512, 512, 64, 200_000, 5.0
 TYPES = FREQUENT + ENDINGS + 1
@@ -49,18 +47,40 @@ def ending(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS
 
 
-class Codes(dict):
+class Codes:
     """Word -> place in the head, or the head's size plus its ending."""
 
     def __init__(self, head: list[bytes]):
-        super().__init__(zip(head, range(len(head))))
-        self.size = len(head)
-
-    def __missing__(self, word: bytes) -> int:
-        return self.size + ending(word)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        self.head, self.size = pa.array(head, pa.binary()), len(head)
+
+    def of(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        code = np.array(pc.fill_null(pc.index_in(words, value_set=self.head), -1), np.int32)
+        rare = np.flatnonzero(code < 0)
+        tails = pc.binary_slice(words.take(pa.array(rare)), -3).dictionary_encode()
+        endings = np.array([ending(tail) for tail in tails.dictionary.to_pylist()], np.int32)
+        code[rare] = self.size + endings[tails.indices.to_numpy()]
+        return code
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (bytes) of a batch in one row, A-Z in lower case, and where
+    those of each text begin, with the end of the last."""
+    # Only ASCII bytes are looked at, so the text need not be valid.
+    shown = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(shown, "")))
+    words, starts = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy().astype(np.int64)
+    # White space at an end of a text leaves an empty word there.
+    filled = np.array(pc.greater(pc.binary_length(words), 0), np.bool_)
+    if not filled.all():
+        words, starts = words.filter(pa.array(filled)), np.concatenate([[0], np.cumsum(filled)])[starts]
+    return words, starts
+
+
+def added_up(tables: list[pa.Table], keys: list[str]) -> pa.Table:
+    """The tables as one, in which `n` is summed up by `keys`."""
+    found = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+    return found.select([*keys, "n_sum"]).rename_columns([*keys, "n"])
 
 
 @dataclass
@@ -79,20 +99,19 @@ def word_counts(training: DataFrame) -> DataFrame:
     """(word, n) over all training texts (text as bytes)."""
 
     def tally(batches):
-        seen = Counter()
-
-        def told():
-            words, counts = list(seen), list(seen.values())
-            for at in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], ["word", "n"])
-            seen.clear()
-
+        seen, many = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(lower_words(text.as_py()))
-                if len(seen) > HELD:
-                    yield from told()
-        yield from told()
+            found = pc.value_counts(split_words(batch.column(0))[0])
+            seen.append(pa.Table.from_arrays(found.flatten(), ["word", "n"]))
+            many += len(found)
+            if many > HELD:
+                seen = [added_up(seen, ["word"])]
+                many = len(seen[0])
+            if many > HELD:
+                yield from seen[0].to_batches(50_000)
+                seen, many = [], 0
+        if seen:
+            yield from added_up(seen, ["word"]).to_batches(50_000)
 
     return training.select("text").mapInArrow(tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -214,20 +233,24 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return of
 
 
+def _outside(code: np.ndarray, starts: np.ndarray, size: int, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Places of the words outside the head, and these words in a list for each text."""
+    at = np.flatnonzero(code >= size)
+    return at, pa.ListArray.from_arrays(pa.array(np.searchsorted(at, starts).astype(np.int32)), words.take(pa.array(at)))
+
+
 def coded(source: DataFrame, sent) -> DataFrame:
     """Each text as the codes of its words and the end, and its words outside the head."""
 
     def run(batches):
         codes = Codes(sent.value)
-        end = np.array([codes.size + ENDINGS], np.int32).tobytes()
         for batch in batches:
-            paths, rare = [], []
-            for text in batch.column(0):
-                words = lower_words(text.as_py())
-                code = codes.of(words)
-                paths.append(code.tobytes() + end)
-                rare.append([words[k] for k in np.flatnonzero(code >= codes.size).tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], ["codes", "rare"])
+            words, starts = split_words(batch.column(0))
+            code = codes.of(words)
+            stream = np.insert(code, starts[1:], codes.size + ENDINGS)
+            places = ((starts + np.arange(len(starts))) * 4).astype(np.int32)
+            paths = pa.Array.from_buffers(pa.binary(), len(batch.column(0)), [None, pa.py_buffer(places), pa.py_buffer(stream)])
+            yield pa.RecordBatch.from_arrays([paths, _outside(code, starts, codes.size, words)[1]], ["codes", "rare"])
 
     return cut(source.select("text").mapInArrow(run, "codes binary, rare array<binary>"), "coded")
 
@@ -357,7 +380,7 @@ def further(paths: DataFrame, classes: np.ndarray, swept: int) -> DataFrame:
     sent = paths.sparkSession.sparkContext.broadcast((_bigrams(paths, classes, CLASSES), classes))
 
     def beside(batches):
-        classes, seen, held, many = sent.value[1], Counter(), [], 0
+        classes, seen, fresh, held, many = sent.value[1], [], 0, [], 0
 
         def told():
             if held:
@@ -365,10 +388,8 @@ def further(paths: DataFrame, classes: np.ndarray, swept: int) -> DataFrame:
                 for low in range(0, len(keys), 50_000):
                     key = keys[low : low + 50_000]
                     yield rows(pa.array((key >> 12).astype(np.int32)), pa.nulls(len(key), pa.binary()), key & 4095, counts[low : low + 50_000])
-            found, numbers = list(seen), list(seen.values())
-            for low in range(0, len(found), 50_000):
-                words, pairs = zip(*found[low : low + 50_000])
-                yield rows(pa.nulls(len(words), pa.int32()), pa.array(words, pa.binary()), np.array(pairs), np.array(numbers[low : low + 50_000]))
+            for part in added_up(seen, ["word", "pair"]).to_batches(50_000) if seen else ():
+                yield rows(pa.nulls(len(part), pa.int32()), part["word"], part["pair"].to_numpy(), part["n"].to_numpy())
 
         def rows(code, word, pair, n):
             return pa.RecordBatch.from_arrays([code, word, pa.array(pair.astype(np.int16)), pa.array(n.astype(np.int64))], ["code", "word", "pair", "n"])
@@ -380,11 +401,15 @@ def further(paths: DataFrame, classes: np.ndarray, swept: int) -> DataFrame:
             middle = (code >= swept) & (code < size)
             held.append(code[middle] << 12 | pair[middle])
             many += int(middle.sum())
-            seen.update(zip(batch.column(1).flatten().to_pylist(), pair[(code >= size) & (code < end)].tolist()))
-            if many > 2_000_000 or len(seen) > HELD:
+            rare = batch.column(1).flatten()
+            seen.append(added_up([pa.Table.from_arrays([rare, pa.array(pair[(code >= size) & (code < end)].astype(np.int16)), pa.array(np.ones(len(rare), np.int64))], ["word", "pair", "n"])], ["word", "pair"]))
+            fresh += len(seen[-1])
+            if fresh > HELD:
+                seen = [added_up(seen, ["word", "pair"])]
+                fresh = len(seen[0])
+            if many > 2_000_000 or fresh > HELD:
                 yield from told()
-                seen.clear()
-                held, many = [], 0
+                seen, fresh, held, many = [], 0, [], 0
         yield from told()
 
     def settled(batches):
@@ -488,23 +513,20 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, held_out: Column) -> D
         steps[:CLASSES, :CLASSES] = model.steps
         end, last = model.classes[-1], np.log10(model.ends + 1.0)
         for batch in batches:
-            n_tokens, n_known, bases, scores, lengths, tails, rare_words = [], [], [], [], [0], [np.zeros((4, 0), np.int64)], []
-            for text in batch.column(1):
-                words = lower_words(text.as_py())
-                code = codes.of(words)
-                path = np.concatenate([[end], classes[code], [end]])
-                n_tokens.append(len(words) + 1)
-                n_known.append(int((code < size).sum()) + (model.ends > 0))
-                bases.append(float(counts[code].sum()) + last)
-                scores.append(float(emitted[code].sum() + steps[path[:-1], path[1:]].sum()))
-                at = np.flatnonzero(code >= size)
-                lengths.append(len(at))
-                tails.append(np.stack([at, path[at], path[at + 1] - CLASSES, path[at + 2]]))
-                rare_words += [words[k] for k in at.tolist()]
-            places, before, own, after = (pa.array(part.astype(np.int32)) for part in np.concatenate(tails, axis=1))
-            tail = pa.StructArray.from_arrays([places, pa.array(rare_words, pa.binary()), before, own, after], ["at", "word", "before", "own", "after"])
+            words, starts = split_words(batch.column(1))
+            code, length = codes.of(words), np.diff(starts)
+            text, step_of = (np.repeat(np.arange(len(length)), length + more) for more in (0, 1))
+            # All texts in a row, an end before each and after the last: word i of text k is at 1 + i + k.
+            path = np.concatenate([[end], np.insert(classes[code], starts[1:], end)])
+            scores = np.bincount(text, emitted[code], len(length)) + np.bincount(step_of, steps[path[:-1], path[1:]], len(length))
+            bases = np.bincount(text, counts[code], len(length)) + last
+            at, rare = _outside(code, starts, size, words)
+            n_known = length - np.diff(rare.offsets.to_numpy()) + (model.ends > 0)
+            own = at + text[at] + 1
+            places, before, own, after = (pa.array(part.astype(np.int32)) for part in (at - starts[text[at]], path[own - 1], path[own] - CLASSES, path[own + 1]))
+            tail = pa.StructArray.from_arrays([places, rare.values, before, own, after], ["at", "word", "before", "own", "after"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), tail)],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(length + 1), pa.array(n_known.astype(np.int64)), pa.array(bases.astype(np.float64)), pa.array(scores.astype(np.float64)), pa.ListArray.from_arrays(rare.offsets, tail)],
                 ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "tail"],
             )
 

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.words import invented, lower
 from pyspark.sql import functions as F
@@ -172,3 +173,26 @@ def test_empty(docs):
     assert score(docs([]), model, rare, F.lit(True)).collect() == []
     (row,) = score(docs([(1, "a b")]), model, rare, F.lit(True)).collect()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_batches_of_words_against_single_words():
+    """Words, their codes and their counts, text by text."""
+    texts = [b" Two  WORDS\t", None, b"", b"\x0b \x0c", "é É x\x1cy\x85z".encode(), b"\xff\xfeA b\r\nc", b"two \xc3"]
+    expected = [(text or b"").lower().split() for text in texts]
+    for low in (0, 2):
+        words, starts = brown_lm.split_words(pa.array(texts, pa.binary())[low:])
+        assert [words[a:b].to_pylist() for a, b in zip(starts, starts[1:])] == expected[low:]
+    head = [b"two", b"b"]
+    code = brown_lm.Codes(head).of(words)
+    assert code.tolist() == [head.index(w) if w in head else 2 + brown_lm.ending(w) for part in expected[2:] for w in part]
+
+
+def test_word_counts_that_do_not_fit(docs, monkeypatch):
+    rows = [(k, " ".join(invented(k, 80, 5000))) for k in range(40)]
+    monkeypatch.setattr(brown_lm, "HELD", 50)
+    docs([]).sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = {bytes(r["word"]): r["n"] for r in brown_lm.word_counts(brown_lm.texts(docs(rows))).collect()}
+    finally:
+        docs([]).sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == Counter(word for _, text in rows for word in lower(text))
